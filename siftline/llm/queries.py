@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules
-from .common import table
+from . import decontaminate, langid, line_dedup, mixing, ngram_join, pii, quality, quality_rules, toxicity
+from .common import fold_of, table
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = fold_of(F.col("doc_id"), 5)
+    model = langid.train(docs.where(fold != 0))
+    return langid.identify(docs, model).withColumn("held_out", fold == 0)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +24,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, label) of the rows that may teach: fold 1 of 3 is held out."""
+    return table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 3) != 1).select("doc_id", F.col(label).alias("label"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.select("doc_id", "text").join(_labelled(spark, sf_dir, "toxic"), "doc_id"))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.policy_mask("v1"))) != 0
@@ -32,5 +55,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_exact", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), "n_left", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality.score(docs, quality.train(docs, _labelled(spark, sf_dir, "quality")))
+    return rows.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
