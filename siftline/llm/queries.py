@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, ngram_join, pii, quality, quality_rules, toxicity
+from . import decontaminate, langid, line_dedup, mixing, ngram_join, pii, quality, quality_rules, substring_dedup, toxicity
 from .common import fold_of, table
 
 
@@ -50,6 +50,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_exact", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), "n_left", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

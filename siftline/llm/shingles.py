@@ -6,8 +6,8 @@ import numpy as np
 
 _rng = np.random.RandomState(20240601)
 _BYTE = _rng.randint(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -22,7 +22,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -38,9 +38,9 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     begin, end = edge[::2], edge[1::2]
     sums = np.zeros(len(raw) + 1, np.uint64)
-    power = _powers(_BASE, len(raw) + 1)
+    power = powers(BASE, len(raw) + 1)
     np.cumsum(_BYTE[raw] * power[:-1], out=sums[1:])
-    words = mixed((sums[end] - sums[begin]) * _powers(_INVERSE, len(raw) + 1)[begin] + (end - begin).astype(np.uint64))
+    words = mixed((sums[end] - sums[begin]) * powers(INVERSE, len(raw) + 1)[begin] + (end - begin).astype(np.uint64))
     ends = np.cumsum([0, *(len((t or "").encode("utf-8", "replace")) + 1 for t in texts)])
     return words, np.searchsorted(begin, ends + 1)
 
