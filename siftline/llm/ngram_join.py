@@ -5,9 +5,10 @@ cut into fragments; each fragment's overlap of a pair is counted apart and the c
 
 Candidates come from the low end of that order. Of a set of n shingles, any partner shares at least one of the
 first n - ceil(0.8 n) + 1, so only these are dealt out by shingle. Equal sets are one class from the start. Within
-the documents that share a shingle, a first round tests each only against its neighbour and the first one of about
-its length: that joins large groups of near copies without listing their pairs. A second round tests what is left:
-pairs that share such a shingle and aren't in one component yet. So components are exact, whatever the groups.
+the documents that share a shingle and are of about one length, a first round tests each only against the one
+before it and the first in a random order; some more rounds do so with the first of another order, where components
+still differ. That joins large groups of near copies without listing their pairs. The last round tests all that is
+left: pairs that share such a shingle and aren't in one component yet. So components are exact, whatever the groups.
 Before the texts' whole sets are fetched, the parity of a 2048-bit count sketch gives a lower bound of each pair's
 symmetric difference, which drops chance candidates and never a true one.
 """
@@ -27,6 +28,8 @@ SIZE = 5
 #: The global order is cut here, by the top bits of the shingle's hash.
 FRAGMENTS = 8
 SKETCH_BITS = 2048
+#: Rounds that test candidates against one document per shingle and length, before all that is left is tested.
+ROUNDS = 4
 #: Which shingles come last in the order: seen this often among one in SAMPLE documents; at most so many of them.
 #: Any order gives the same links; this one keeps the groups of candidates small.
 SAMPLE, OFTEN, MOST = 16, 4, 500_000
@@ -96,7 +99,7 @@ def _possible(n1, p1, n2, p2):
 
 
 def _neighbours(frames):
-    """Of rows sorted by (h, n, rep): those whose h occurs again, with the row before and the first of like length.
+    """Of rows sorted by (h, length): those whose h occurs again, with the row before and the first of like length.
 
     Holds one batch and one row, so a shingle that fills many documents needs no more memory than a rare one.
     """
@@ -117,7 +120,7 @@ def _marked(rows: pd.DataFrame, carried: bool, end: bool):
     same[1:] = h[1:] == h[:-1]
     if carried:
         same[0] = rows["follows"].iloc[0]
-    length = np.floor(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int64)
+    length = rows["length"].to_numpy()
     starts = np.ones(len(rows), bool)
     starts[1:] = (h[1:] != h[:-1]) | (length[1:] != length[:-1])
     at = np.maximum.accumulate(np.where(starts, np.arange(len(rows)), 0))
@@ -129,7 +132,7 @@ def _marked(rows: pd.DataFrame, carried: bool, end: bool):
     again = same.copy()
     again[:-1] |= same[1:]
     out = pd.DataFrame({
-        "h": h, "rep": rep, "n": n, "pos": pos,
+        "h": h, "rep": rep, "n": n, "pos": pos, "length": length,
         "hub": np.where((hub != rep) & _possible(hub_n, hub_pos, n, pos), hub, -1),
         "before": np.where(same & (before != rep) & _possible(before_n, before_pos, n, pos), before, -1),
     })
@@ -138,8 +141,9 @@ def _marked(rows: pd.DataFrame, carried: bool, end: bool):
     yield out[use & again]
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of representatives those that are alike: (a, b, overlap)."""
+def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of pairs (a, b) of representatives those that are alike, (a, b, overlap); and the fragments (rep, fragment,
+    piece) known by now: texts are read for those only that held lacks."""
 
     @F.pandas_udf("int")
     def differ(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -169,12 +173,14 @@ def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
         pairs.join(side("a"), "a").join(side("b"), "b").where(9 * differ("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "pairs"
     )
     wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    held = written(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(pieces, "rep long, fragment int, piece binary"), "fragments")
+    wanted = written(wanted if held is None else wanted.join(held.select("rep").distinct(), "rep", "left_anti"), "wanted")
+    if held is None or not wanted.isEmpty():
+        new = written(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(pieces, "rep long, fragment int, piece binary"), "fragments")
+        held = new if held is None else held.unionByName(new)
     met = near.join(held.select(F.col("rep").alias("a"), "fragment", F.col("piece").alias("x")), "a").join(held.select(F.col("rep").alias("b"), "fragment", F.col("piece").alias("y")), ["b", "fragment"])
-    return (
-        met.select("a", "b", "n_a", "n_b", shared("x", "y").alias("part")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
-        .where(100 * F.col("overlap") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap")
-    )
+    counted = met.select("a", "b", "n_a", "n_b", shared("x", "y").alias("part")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
+    links = counted.where(100 * F.col("overlap") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap")
+    return written(links, "links"), held
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -189,21 +195,34 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sets = rows.join(member.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch", "prefix")
     sets = written(sets, "class-sets")
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    spread = entries.repartition("h").sortWithinPartitions("h", "n", "rep").select("h", "n", "rep", "pos")
-    shared = written(spread.mapInPandas(_neighbours, "h long, rep long, n int, pos int, hub long, before long"), "shared")
-    first = shared.select("rep", F.explode(F.array_distinct(F.array("hub", "before"))).alias("other")).where("other >= 0").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    links = written(_alike(first, sets, docs), "links")
-    named = components(links)
-    label = lambda x: F.coalesce(F.col("component"), F.col(x))
-    marked = shared.select("h", "rep", "n", "pos").join(named.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", label("rep")).drop("component")
-    mixed_up = marked.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    open_ = written(marked.join(mixed_up, "h", "left_semi"), "open")
-    l, r = open_.alias("l"), open_.alias("r")
-    second = (
-        l.join(r, F.expr("l.h = r.h and l.rep < r.rep and l.c <> r.c and 5 * least(l.n, r.n) >= 4 * greatest(l.n, r.n) and 9 * (1 + least(l.n - l.pos - 1, r.n - r.pos - 1)) >= 4 * (l.n + r.n)"))
-        .select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    )
-    links = written(links.unionByName(_alike(second, sets, docs)), "all-links")
+    length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    entries = entries.withColumn("length", length)
+    spread = entries.repartition("h").sortWithinPartitions("h", "length", F.xxhash64("rep"), "rep").select("h", "length", "n", "rep", "pos")
+    shared = written(spread.mapInPandas(_neighbours, "h long, rep long, n int, pos int, length int, hub long, before long"), "shared")
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    tried = shared.select("rep", F.explode(F.array_distinct(F.array("hub", "before"))).alias("other")).where("other >= 0").select(*pair("rep", "other")).distinct()
+    links, held = _alike(tried, sets, docs)
+
+    def undecided() -> DataFrame:
+        """Entries of those shingles whose documents aren't all in one component, with the component as c."""
+        named = components(links).withColumnRenamed("id", "rep")
+        marked = shared.select("h", "rep", "n", "pos", "length").join(named, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        return written(marked.join(marked.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"), "h", "left_semi"), "open")
+
+    may = lambda l, r: f"5 * least({l}.n, {r}.n) >= 4 * greatest({l}.n, {r}.n) and 9 * (1 + least({l}.n - {l}.pos - 1, {r}.n - {r}.pos - 1)) >= 4 * ({l}.n + {r}.n)"  # noqa: E731, E741
+    rows = undecided()
+    for seed in range(ROUNDS):
+        firsts = rows.groupBy("h", "length").agg(F.min_by(F.struct("rep", "n", "pos", "c"), F.xxhash64(F.lit(seed), "rep")).alias("f"))
+        met = rows.join(firsts, ["h", "length"]).where(F.col("c") != F.col("f.c")).withColumn("e", F.struct("n", "pos")).where(may("e", "f"))
+        more, held = _alike(met.select(*pair("rep", "f.rep")).distinct(), sets, docs, held)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        rows = undecided()
+    l, r = rows.alias("l"), rows.alias("r")
+    rest = l.join(r, F.expr(f"l.h = r.h and l.rep < r.rep and l.c <> r.c and {may('l', 'r')}")).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+    more, held = _alike(rest, sets, docs, held)
+    links = written(links.unionByName(more), "all-links")
     final = components(links).select(F.col("id").alias("rep"), "component")
     return member.join(final, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
