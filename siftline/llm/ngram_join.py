@@ -175,7 +175,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, held: DataFrame |
     wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = written(wanted if held is None else wanted.join(held.select("rep").distinct(), "rep", "left_anti"), "wanted")
     if held is None or not wanted.isEmpty():
-        new = written(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(pieces, "rep long, fragment int, piece binary"), "fragments")
+        new = written(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(pieces, "rep long, fragment int, piece binary"), "fragments")
         held = new if held is None else held.unionByName(new)
     met = near.join(held.select(F.col("rep").alias("a"), "fragment", F.col("piece").alias("x")), "a").join(held.select(F.col("rep").alias("b"), "fragment", F.col("piece").alias("y")), ["b", "fragment"])
     counted = met.select("a", "b", "n_a", "n_b", shared("x", "y").alias("part")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
@@ -187,13 +187,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document.
 
     class_id is the least doc_id with the same set; component_id the least that links reach. A text without words
-    has no shingles and is linked with nothing. docs needs doc_id, unique and not null, and text.
+    has no shingles and is linked with nothing. docs needs doc_id and text.
+    Of rows with one doc_id any one stands for it; a null doc_id is linked with nothing but equal texts.
     """
     rows = written(shingle_sets(docs), "sets")
     known = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = written(rows.select("doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     sets = rows.join(member.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch", "prefix")
-    sets = written(sets, "class-sets")
+    sets = written(sets.dropDuplicates(["rep"]), "class-sets")
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
     length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     entries = entries.withColumn("length", length)

@@ -1,5 +1,60 @@
-"""DuckDB SQL for those queries of this subpackage that SQL can express."""
+"""DuckDB SQL for those queries of this subpackage that SQL can express; tests/llm covers the others by brute force."""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+_BLANK_WORDS = r"'[^\x20\x09-\x0D]+'"
+_TERMS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_TERMS}) AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_FOLDED}, {_TERMS}) AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, ws[s:s + least(len(ws), 13) - 1] AS g FROM i, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) t(s) WHERE len(ws) > 0),
+dw AS (SELECT doc_id, p, n, ws[p:p + n - 1] AS g FROM d, (SELECT DISTINCT n FROM iw) l, unnest(range(1, len(ws) - n + 2)) t(p) WHERE len(ws) >= n),
+m AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN iw USING (g)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+_OP6 = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANK_WORDS}) AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM w, unnest(range(1, len(ws) - 1)) t(i)),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g, (VALUES (0), (1), (2)) o(j) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper
+  FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, CAST(CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(5 * n_symbols > n_words AS INT) + 8 * CAST(10 * word_chars < 25 * n_words AS INT)
+  + 16 * CAST(word_chars > 12 * n_words AS INT) + 32 * CAST(2 * n_dup_lines > n_lines AS INT) + 64 * CAST(2 * n_upper > word_chars AS INT) AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+"""
+
+_OP7 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_BLANK_WORDS}) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i:i + 4] AS g FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, n.n
+"""
+
+_OP9 = rf"""
+WITH l AS (SELECT doc_id, i - 1 AS k, line, regexp_extract_all(line, {_BLANK_WORDS}) AS ws, doc_id * 1000000 + i - 1 AS place
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) t(i), LATERAL (SELECT lines[i] AS line)),
+c AS (SELECT ws, min(place) AS place FROM l WHERE len(ws) > 0 GROUP BY ws),
+v AS (SELECT place, len(ws) AS n, k, ws[1:k - 1] || ws[k + 1:] AS v FROM c, unnest(range(1, len(ws) + 1)) t(k) WHERE len(ws) >= 5),
+near AS (SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY v, n, k) AS other FROM v) WHERE other < place
+  UNION SELECT greatest(v.place, c.place) FROM v JOIN c ON c.ws = v.v WHERE len(c.ws) >= 5),
+j AS (SELECT l.*, CASE WHEN len(l.ws) = 0 THEN NULL WHEN l.place > c.place THEN 'exact' WHEN c.place IN (SELECT place FROM near) THEN 'near' END AS verdict FROM l LEFT JOIN c ON c.ws = l.ws),
+g AS (SELECT doc_id, count(*) FILTER (WHERE verdict = 'exact') AS n_exact, count(*) FILTER (WHERE verdict = 'near') AS n_near, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (WHERE verdict IS NOT NULL) AS removed,
+  count(*) FILTER (WHERE verdict IS NULL AND len(ws) > 0) AS n_left, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE verdict IS NULL) AS kept FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, coalesce(removed, '') AS removed, coalesce(n_left, 0) AS n_left, sha256(coalesce(kept, '')) AS text_sha256 FROM documents LEFT JOIN g USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": _OP3, "op6_quality_rules": _OP6, "op7_ngram_join": _OP7, "op9_line_dedup": _OP9}
