@@ -33,9 +33,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their domain posteriors and sampling rates."""
+    """All documents with their domain posteriors and sampling rates, which replace columns of those names."""
     rates = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.TARGETS)
-    return docs.join(rates, "doc_id", "left")
+    return docs.drop(*(c for c in rates.columns if c != "doc_id")).join(rates, "doc_id", "left")
 
 
 STAGES = [
