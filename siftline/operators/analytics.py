@@ -228,6 +228,6 @@ def recent_samples(samples: DataFrame, n: int = 1000) -> DataFrame:
 def control_states(controls: DataFrame, disabled: DataFrame) -> DataFrame:
     """A18. Adds status: off if the control or a control above it is disabled, else on. controls: control, value, source."""
     c, d = controls.alias("c"), disabled.select(F.col("control").alias("d")).distinct()
-    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("control", r"\."))), lambda k: F.substring_index("control", ".", k))).alias("d")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("control", r"\."))), lambda k: F.array_join(F.slice(F.split("control", r"\."), F.lit(1), k), "."))).alias("d")
     off = c.select("control", above).join(d, "d").select("control").distinct().withColumn("hit", F.lit(True))
     return controls.join(off, "control", "left").select(*controls.columns, F.when(F.col("hit"), "off").otherwise("on").alias("status"))
