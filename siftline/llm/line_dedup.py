@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import NOT_BLANK, blank_words, let, written
 
 MIN_WORDS = 5
+#: Tasks that share the occurrences of one line.
+SALTS = 8
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -72,15 +74,15 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
         .select(F.struct("doc_id", "x.line_no").alias("at"), blank_words(F.col("x.line")).alias("words")),
         "near-lines",
     )
-    variants = written(
-        texts.select("at", F.size("words").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda k: let(_without(F.col("words"), k), lambda w: F.struct(k.alias("k"), *[h.alias(a) for h, a in zip(_hashes(w), ("v1", "v2"), strict=True)])))).alias("v"))
-        .select("at", "n", "v.*"),
-        "variants",
-    )
-    earliest = variants.groupBy("v1", "v2", "n", "k").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    replaced = variants.join(earliest, ["v1", "v2", "n", "k"]).where("first < at").select("at", F.col("first").alias("other"))
-    whole = texts.select(F.col("at").alias("short"), F.size("words").alias("m"), *[h.alias(a) for h, a in zip(_hashes(F.col("words")), ("v1", "v2"), strict=True)])
-    inserted = variants.join(whole, ["v1", "v2"]).where("m = n - 1").select(F.greatest("at", "short").alias("at"), F.least("at", "short").alias("other"))
+    # xxhash64 goes on from part to part, so a variant's key is that of a whole line of the same words
+    key = lambda k: F.xxhash64(F.slice("words", 1, k), F.slice("words", k + 2, F.size("words")))
+    emitted = F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.struct(k.alias("k"), key(k).alias("v"))))
+    variants = written(texts.select("at", F.size("words").alias("n"), emitted.alias("x")).select("at", F.xxhash64("x.v", "n", "x.k").alias("same"), "x.v"), "variants")
+    dealt = variants.select("same", "at").repartition("same")
+    earliest = dealt.groupBy("same").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("same", "first")
+    replaced = dealt.join(earliest, "same").where("first < at").select("at", F.col("first").alias("other"))
+    whole = texts.select(F.col("at").alias("short"), F.xxhash64("words").alias("v"))
+    inserted = variants.select("v", "at").join(whole, "v").where("at <> short").select(F.greatest("at", "short").alias("at"), F.least("at", "short").alias("other"))
     pairs = replaced.unionByName(inserted).groupBy("at").agg(F.min("other").alias("other"))
     a, b = F.col("words"), F.col("other_words")
     short, long = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
@@ -93,8 +95,10 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     near = classes.join(verified, "at", "left_semi").select("h1", "h2", "at", F.lit(True).alias("near"))
     copied = classes.where("copies > 1").select("h1", "h2", "at", F.lit(False).alias("near"))
     gone = near.unionByName(copied).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("near").alias("near"))
+    # a line of a third of the documents is one key: its rows go to SALTS tasks, and each gets the class's row
+    salted = gone.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     return (
-        lines.join(gone, ["h1", "h2"]).where(F.col("near") | (at > F.col("first")))
+        lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"]).where(F.col("near") | (at > F.col("first")))
         .select("doc_id", "line_no", F.when(at > F.col("first"), "exact").otherwise("near").alias("verdict"))
     )
 
