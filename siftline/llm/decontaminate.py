@@ -62,7 +62,8 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = written(diagonals(_postings(docs), written(rarest_terms(tests, _postings(docs)), "rarest")), "diagonals")
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("met"))
     cut = (
-        docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "met", terms(F.col("text")).alias("words"))
+        # merged at every size, so that the shuffle of the texts grows with them instead of setting in at some size
+        docs.select("doc_id", "text").join(per_doc.hint("merge"), "doc_id").select("doc_id", "met", terms(F.col("text")).alias("words"))
         .select("doc_id", let(F.col("words"), lambda ws: F.transform("met", lambda m: F.struct(
             m["item_id"].alias("item_id"), m["shift"].alias("shift"),
             F.slice(ws, F.greatest(m["shift"], F.lit(0)) + 1, F.greatest(m["n"] + F.least(m["shift"], F.lit(0)), F.lit(0))).alias("part")))).alias("cut"))
