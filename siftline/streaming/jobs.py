@@ -5,6 +5,7 @@ Rows later than the watermark are dropped; the batch job over the whole log stay
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,9 +105,19 @@ def deduplicated(log: DataFrame, late: str = LATE) -> DataFrame:
     return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is and returns its rows: for tests and backfills of results that fit the driver."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is and returns its rows, as a table in the shared folder: for backfills.
+
+    Each micro-batch is written by the executors; nothing passes through the driver. name must be new.
+    """
+    spark = stream.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siftline-')}").rstrip("/")
+    path, schema = f"{folder}/stream-{name}", stream.schema
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(schema).parquet(path)
