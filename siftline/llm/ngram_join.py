@@ -6,8 +6,8 @@ cut into fragments; each fragment's overlap of a pair is counted apart and the c
 Candidates come from the low end of that order. Of a set of n shingles, any partner shares at least one of the
 first n - ceil(0.8 n) + 1, so only these are dealt out by shingle. Equal sets are one class from the start. Within
 the documents that share a shingle and are of about one length, a first round tests each only against the one
-before it and the first in a random order; some more rounds do so with the first of another order, where components
-still differ. That joins large groups of near copies without listing their pairs. The last round tests all that is
+before it and the first few in a random order: that joins large groups of near copies without listing their pairs, and
+is all there is to test in small groups. A second round tests what is
 left: pairs that share such a shingle and aren't in one component yet. So components are exact, whatever the groups.
 Before the texts' whole sets are fetched, the parity of a 2048-bit count sketch gives a lower bound of each pair's
 symmetric difference, which drops chance candidates and never a true one.
@@ -28,8 +28,10 @@ SIZE = 5
 #: The global order is cut here, by the top bits of the shingle's hash.
 FRAGMENTS = 8
 SKETCH_BITS = 2048
-#: Rounds that test candidates against one document per shingle and length, before all that is left is tested.
-ROUNDS = 4
+#: Tasks that share the copies of one text.
+SALTS = 8
+#: Documents per shingle and length that each further one is compared with before components are formed.
+HUBS = 16
 #: Which shingles come last in the order: seen this often among one in SAMPLE documents; at most so many of them.
 #: Any order gives the same links; this one keeps the groups of candidates small.
 SAMPLE, OFTEN, MOST = 16, 4, 500_000
@@ -99,46 +101,36 @@ def _possible(n1, p1, n2, p2):
 
 
 def _neighbours(frames):
-    """Of rows sorted by (h, length): those whose h occurs again, with the row before and the first of like length.
+    """Of rows sorted by (h, length): those whose h occurs again, other = -1; and for each of these a row per candidate
+    partner: the row before, and the first HUBS rows of like length, with the partner's rep as other.
 
-    Holds one batch and one row, so a shingle that fills many documents needs no more memory than a rare one.
+    Holds one batch and HUBS + 1 rows, so a shingle that fills many documents needs no more memory than a rare one.
     """
     carry = None
     for frame in frames:
-        frame = frame.assign(first=-1, first_n=0, first_pos=0, follows=False)
-        rows = frame if carry is None else pd.concat([carry, frame], ignore_index=True)
-        if len(rows):
-            yield from _marked(rows, carry is not None, False)
-            carry = rows.iloc[-1:].copy()
-    if carry is not None:
-        yield from _marked(carry, True, True)
-
-
-def _marked(rows: pd.DataFrame, carried: bool, end: bool):
-    h, n, rep, pos = (rows[c].to_numpy() for c in ("h", "n", "rep", "pos"))
-    same = np.zeros(len(rows), bool)
-    same[1:] = h[1:] == h[:-1]
-    if carried:
-        same[0] = rows["follows"].iloc[0]
-    length = rows["length"].to_numpy()
-    starts = np.ones(len(rows), bool)
-    starts[1:] = (h[1:] != h[:-1]) | (length[1:] != length[:-1])
-    at = np.maximum.accumulate(np.where(starts, np.arange(len(rows)), 0))
-    hub, hub_n, hub_pos = rep[at].copy(), n[at].copy(), pos[at].copy()
-    if carried and rows["first"].iloc[0] >= 0:
-        hub[at == 0], hub_n[at == 0], hub_pos[at == 0] = rows["first"].iloc[0], rows["first_n"].iloc[0], rows["first_pos"].iloc[0]
-    rows["first"], rows["first_n"], rows["first_pos"], rows["follows"] = hub, hub_n, hub_pos, same
-    before, before_n, before_pos = (np.concatenate([x[:1], x[:-1]]) for x in (rep, n, pos))
-    again = same.copy()
-    again[:-1] |= same[1:]
-    out = pd.DataFrame({
-        "h": h, "rep": rep, "n": n, "pos": pos, "length": length,
-        "hub": np.where((hub != rep) & _possible(hub_n, hub_pos, n, pos), hub, -1),
-        "before": np.where(same & (before != rep) & _possible(before_n, before_pos, n, pos), before, -1),
-    })
-    # the last row waits for the next batch, as the row after it may hold the same shingle
-    use = np.arange(len(rows)) < (len(rows) if end else len(rows) - 1)
-    yield out[use & again]
+        rows = frame.assign(out=False)
+        if carry is not None:
+            rows = pd.concat([carry, rows], ignore_index=True)
+        if not len(rows):
+            continue
+        h, n, rep, pos, length, out = (rows[c].to_numpy() for c in ("h", "n", "rep", "pos", "length", "out"))
+        same = np.concatenate([[False], h[1:] == h[:-1]])
+        again = same | np.append(same[1:], False)
+        at = np.arange(len(rows))
+        start = np.maximum.accumulate(np.where(same & np.concatenate([[False], length[1:] == length[:-1]]), 0, at))
+        mine = np.flatnonzero(again & ~out)
+        found = [(mine, np.full(len(mine), -1))]
+        for k in range(-1, HUBS):
+            other = mine - 1 if k < 0 else start[mine] + k
+            fits = same[mine] if k < 0 else other < mine
+            i, j = mine[fits], other[fits]
+            fits = (rep[i] != rep[j]) & _possible(n[j], pos[j], n[i], pos[i])
+            found.append((i[fits], rep[j[fits]]))
+        i, other = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield pd.DataFrame({"h": h[i], "rep": rep[i], "n": n[i], "pos": pos[i], "length": length[i], "other": other})
+        # the last row waits if nothing before it has its h; it and the first rows of its run meet the next batch
+        kept = np.unique(np.append(np.arange(start[-1], min(start[-1] + HUBS, len(rows))), len(rows) - 1))
+        carry = rows.iloc[kept].assign(out=again[kept])
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -191,38 +183,28 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     Of rows with one doc_id any one stands for it; a null doc_id is linked with nothing but equal texts.
     """
     rows = written(shingle_sets(docs), "sets")
-    known = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = written(rows.select("doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    known = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # thousands of copies of one text are one key: its rows go to SALTS tasks, and each gets the class's row
+    salted = known.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    member = rows.select("doc_id", "n", "s1", "s2", salt.alias("salt")).join(salted, ["n", "s1", "s2", "salt"], "left")
+    member = written(member.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     sets = rows.join(member.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch", "prefix")
     sets = written(sets.dropDuplicates(["rep"]), "class-sets")
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
     length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     entries = entries.withColumn("length", length)
     spread = entries.repartition("h").sortWithinPartitions("h", "length", F.xxhash64("rep"), "rep").select("h", "length", "n", "rep", "pos")
-    shared = written(spread.mapInPandas(_neighbours, "h long, rep long, n int, pos int, length int, hub long, before long"), "shared")
-    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    tried = shared.select("rep", F.explode(F.array_distinct(F.array("hub", "before"))).alias("other")).where("other >= 0").select(*pair("rep", "other")).distinct()
+    met = written(spread.mapInPandas(_neighbours, "h long, rep long, n int, pos int, length int, other long"), "shared")
+    tried = met.where("other >= 0").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     links, held = _alike(tried, sets, docs)
-
-    def undecided() -> DataFrame:
-        """Entries of those shingles whose documents aren't all in one component, with the component as c."""
-        named = components(links).withColumnRenamed("id", "rep")
-        marked = shared.select("h", "rep", "n", "pos", "length").join(named, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        return written(marked.join(marked.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"), "h", "left_semi"), "open")
-
-    may = lambda l, r: f"5 * least({l}.n, {r}.n) >= 4 * greatest({l}.n, {r}.n) and 9 * (1 + least({l}.n - {l}.pos - 1, {r}.n - {r}.pos - 1)) >= 4 * ({l}.n + {r}.n)"  # noqa: E731, E741
-    rows = undecided()
-    for seed in range(ROUNDS):
-        firsts = rows.groupBy("h", "length").agg(F.min_by(F.struct("rep", "n", "pos", "c"), F.xxhash64(F.lit(seed), "rep")).alias("f"))
-        met = rows.join(firsts, ["h", "length"]).where(F.col("c") != F.col("f.c")).withColumn("e", F.struct("n", "pos")).where(may("e", "f"))
-        more, held = _alike(met.select(*pair("rep", "f.rep")).distinct(), sets, docs, held)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        rows = undecided()
-    l, r = rows.alias("l"), rows.alias("r")
-    rest = l.join(r, F.expr(f"l.h = r.h and l.rep < r.rep and l.c <> r.c and {may('l', 'r')}")).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    more, held = _alike(rest, sets, docs, held)
+    named = components(links).withColumnRenamed("id", "rep")
+    marked = met.where("other < 0").select("h", "rep", "n", "pos").join(named, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    mixed_up = marked.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+    open_ = written(marked.join(mixed_up, "h", "left_semi"), "open")
+    may = "5 * least(l.n, r.n) >= 4 * greatest(l.n, r.n) and 9 * (1 + least(l.n - l.pos - 1, r.n - r.pos - 1)) >= 4 * (l.n + r.n)"
+    rest = open_.alias("l").join(open_.alias("r"), F.expr(f"l.h = r.h and l.rep < r.rep and l.c <> r.c and {may}")).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+    more, _ = _alike(rest.join(tried, ["a", "b"], "left_anti"), sets, docs, held)
     links = written(links.unionByName(more), "all-links")
     final = components(links).select(F.col("id").alias("rep"), "component")
     return member.join(final, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
