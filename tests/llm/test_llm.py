@@ -395,3 +395,18 @@ def test_streamed_groups_dont_depend_on_batches():
     whole = pd.concat(substring_dedup._met([rows])).sort_values(["v", "doc"]).values.tolist()
     parts = pd.concat(substring_dedup._met([rows[k : k + 7].reset_index(drop=True) for k in range(0, 300, 7)])).sort_values(["v", "doc"]).values.tolist()
     assert whole == parts == [x for x in sorted(rows.values.tolist()) if len(set(rows[rows.v == x[0]].doc)) > 1]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 50, 1000])
+def test_candidates_dont_depend_on_batches(size):
+    rng = np.random.RandomState(6)
+    rows = pd.DataFrame({"h": rng.randint(0, 12, 400), "length": rng.randint(0, 3, 400), "n": 100, "rep": np.arange(400), "pos": 0}).sort_values(["h", "length"]).reset_index(drop=True)
+    out = pd.concat(ngram_join._neighbours([rows[k : k + size].reset_index(drop=True) for k in range(0, 400, size)]))
+    assert sorted(out[out.other < 0].rep) == sorted(rows.rep)
+    want = set()
+    for k, r in enumerate(rows.itertuples()):
+        run = rows[(rows.h == r.h) & (rows.length == r.length)].rep.tolist()
+        want |= {(r.rep, x) for x in run[: min(ngram_join.HUBS, run.index(r.rep))]}
+        if k and rows.h[k - 1] == r.h:
+            want.add((r.rep, rows.rep[k - 1]))
+    assert set(zip(out[out.other >= 0].rep, out[out.other >= 0].other, strict=True)) == want
