@@ -11,11 +11,9 @@ from ..operators import consumption, governance, injection, leaks
 from ..streaming import jobs
 from .audit_view import AUDIT_SQL, audit_view, table
 
-_K = F.get_json_object("props", "$.k").cast("int")
-
 
 def _events(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").withColumn("k", _K)
+    return table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def g1_principals(s: SparkSession, d: str) -> DataFrame:
