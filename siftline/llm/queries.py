@@ -31,7 +31,7 @@ def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs.select("doc_id", "text").join(_labelled(spark, sf_dir, "toxic"), "doc_id"))
+    model = toxicity.train(docs, _labelled(spark, sf_dir, "toxic"))
     rows = toxicity.score(docs, model)
     return rows.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
 

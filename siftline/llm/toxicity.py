@@ -74,10 +74,12 @@ def _hits(text: str, known: _Features) -> list[tuple[int, int]]:
     return sorted({(int(s) - 1, f) for s, (_, f) in zip(np.searchsorted(starts, [p for p, _ in found], "right"), found, strict=True)})
 
 
-def train(rows: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """(words, weights, bias) from rows (doc_id, text, label 0/1); null texts and labels are left out."""
-    rows = rows.where("text is not null and label is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    rows = written(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "toxic-train")
+def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
+    """(words, weights, bias) from docs (doc_id, text) and labels (doc_id, label 0/1); null texts and labels are left out."""
+    labels = labels.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    chosen = written(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "toxic-ids")
+    # TRAIN_ROWS ids at most: they go to the texts, so that no text is shuffled
+    rows = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxic-train")
     words = features(rows)
 
     def each(batches):

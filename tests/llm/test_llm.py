@@ -267,14 +267,14 @@ def test_toxicity_finds_sentences(spark, odd):
             text[rng.randint(len(text))] = "wa wb scumbag wc."
         rows.append((d, " ".join(text), int(toxic)))
     frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    model = toxicity.train(frame.where("doc_id < 400"))
+    model = toxicity.train(frame.drop("label"), frame.where("doc_id < 400").drop("text"))
     got = {r.doc_id: r for r in toxicity.score(frame, model).collect()}
     assert all((got[d].score >= 0.7) == bool(y) for d, _, y in rows)
     a, b = map(int, got[0].offending.split(",")[0].split(":"))
     assert "scumbag" in rows[0][1][a:b] and rows[0][1][a:b].count(".") == 1
     out = {r.doc_id: r.score for r in toxicity.score(odd, model).collect()}
     assert out[1] == out[2] == 0 and all(0 <= s <= 1 for s in out.values())
-    assert toxicity.train(frame.limit(0))[0] == []
+    assert toxicity.train(frame, frame.limit(0))[0] == []
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------
