@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     good = labels.where("label = 1").select("doc_id").orderBy(*order).limit(TRAIN_ROWS).withColumn("kind", F.lit(1))
     any_ = texts.select("doc_id").orderBy(*order).limit(TRAIN_ROWS).withColumn("kind", F.lit(0))
     chosen = written(good.unionByName(any_), "quality-train")
-    rows = _frame(texts.join(chosen.groupBy("doc_id").agg(F.max("kind").alias("p"), F.min("kind").alias("u")), "doc_id"), "doc_id", "p", "u").toPandas()
+    rows = _frame(texts.join(F.broadcast(chosen.groupBy("doc_id").agg(F.max("kind").alias("p"), F.min("kind").alias("u"))), "doc_id"), "doc_id", "p", "u").toPandas()
     rows = rows.sort_values("doc_id")
     x = np.stack(rows["x"]) if len(rows) else np.zeros((0, len(NAMES)))
     p, u = rows["p"].to_numpy() == 1, rows["u"].to_numpy() == 0
