@@ -375,6 +375,46 @@ def test_substring_dedup(spark, docs, odd):
     assert substring_dedup.passages(odd.limit(0)).count() == 0
 
 
+def test_substring_dedup_behind_a_first_document(spark):
+    """Passages of later documents of which the first document with their anchors holds a piece only."""
+    rng = np.random.RandomState(19)
+    fresh = lambda n: [f"w{x}" for x in rng.randint(0, 10**6, n)]
+    rows, want = [], {}
+    for k in range(60):
+        passage = fresh(int(rng.randint(50, 71)))
+        size = int(rng.randint(27, 50))
+        at = int(rng.randint(0, len(passage) - size + 1))
+        rows.append((k, " ".join(fresh(30) + passage[at : at + size] + fresh(30))))
+        for j in (1, 2, 3):
+            before = int(rng.randint(0, 60))
+            rows.append((1000 * j + k, " ".join(fresh(before) + passage + fresh(20))))
+            want[1000 * j + k] = set(range(before, before + len(passage)))
+    got, first = defaultdict(set), defaultdict(set)
+    for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+        first[r.doc_id].add(r.first)
+    assert got == want
+    assert all((True in first[d]) >= (d < 2000) and (False in first[d]) == (d >= 2000) for d in want)
+
+
+def test_substring_dedup_shifted_words(spark):
+    """A word put into or taken out of the middle of a passage of 60 words."""
+    rng = np.random.RandomState(29)
+    fresh = lambda n: [f"w{x}" for x in rng.randint(0, 10**6, n)]
+    rows = []
+    for k in range(100):
+        passage = fresh(60)
+        changed = [passage[:30] + fresh(1) + passage[30:], passage[:30] + passage[31:]][k % 2]
+        rows += [(k, " ".join(fresh(30) + passage + fresh(30))), (1000 + k, " ".join(fresh(45) + changed + fresh(15)))]
+    got = defaultdict(set)
+    for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    found = [k for k in range(100) if got[k] and got[1000 + k]]
+    print("recall of shifted passages", len(found))
+    assert len(found) >= 90
+    assert all(got[k] == set(range(30, 90)) and got[1000 + k] == set(range(45, 106 - k % 2 * 2)) for k in found)
+
+
 def test_windows_are_those_of_the_tree():
     keys = np.random.RandomState(0).permutation(300).astype(np.uint64)
     low = substring_dedup._minima(keys, 46)
