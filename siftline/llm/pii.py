@@ -2,8 +2,9 @@
 
 Seeds are the spans of four strict patterns. The words beside them are lexical patterns; pattern and instance form a
 graph whose edges Spark scores in rounds: a pattern is worth the share of its instances that are known, an instance
-what its patterns say together. Tokens that look like a kind's seeds but fail its strict pattern become spans where
-confident patterns speak for them. Spans of the strict patterns always stay.
+what its patterns say together. Tokens, runs of tokens and spelled-out addresses that fail a kind's strict pattern
+become spans where confident patterns speak for them, the sooner if they look like the kind's seeds. Spans of the
+strict patterns always stay.
 """
 
 from __future__ import annotations
@@ -27,9 +28,18 @@ _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){13}",
 ORDER = list(KINDS)
 #: Tokens that could be an identifier: parted by blanks, with a digit or an at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Candidates of several tokens: identifiers side by side, with lone punctuation between, and 'name at domain dot com'.
+_TOKEN = r"[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
+RUN = rf"(?<![^\x20\x09-\x0D]){_TOKEN}(?:\x20(?:[-./()]++\x20)?+{_TOKEN})++"
+_AT = r"(?i:\x20at\x20|\x20?[\[({]\x20?at\x20?[\])}]\x20?)"
+SPELLED = rf"(?<![{_LOCAL}])[{_LOCAL}]++{_AT}[A-Za-z0-9-]++(?:(?i:\x20dot\x20|\x20?[\[({{]\x20?dot\x20?[\])}}]\x20?|\.)[A-Za-z0-9-]++)++"
+#: Punctuation around a candidate that isn't part of it.
+_OPEN, _CLOSE = r"^[\[({<\"'`,;:.!?]++", r"[\])}>\"'`,;:.!?]+$"
 ROUNDS = 3
 #: A pattern counts from so many different instances; it is confident, and an instance accepted, from these scores.
 MIN_INSTANCES, CONFIDENT, ACCEPTED = 5, 0.7, 0.85
+#: What an instance's score is worth if no seed of the kind has its shape.
+UNSEEN = 0.9
 _MARK, _OTHER = "\x01", "\x02"
 
 
@@ -81,8 +91,8 @@ def found(docs: DataFrame) -> DataFrame:
     text = F.when(F.contains(raw, F.lit(_MARK)), F.translate(raw, _MARK, _OTHER)).otherwise(raw)
     none = F.array().cast(_SPAN)
     has = {k: F.contains(F.col("t"), F.lit(h)) if len(h) == 1 else F.col("t").rlike(h) for k, h in _HINTS.items()}
-    # texts that hold no digit and no at sign have neither spans nor candidates
-    rows = docs.select("doc_id", F.when(raw.rlike("[0-9@]"), text).alias("t"))
+    # texts that hold no digit, no at sign and no spelled-out address have neither spans nor candidates
+    rows = docs.select("doc_id", F.when(raw.rlike("[0-9@]") | raw.rlike(_AT), text).alias("t"))
     base = F.concat(*[F.when(has[k], _matches(F.col("t"), KINDS[k], k, lambda x, k=k: _valid(k, x))).otherwise(none) for k in ORDER])
     rows = rows.withColumn("base", F.when(F.col("t").isNull(), none).otherwise(base))
 
@@ -92,7 +102,13 @@ def found(docs: DataFrame) -> DataFrame:
             _word(F.substring(F.col("t"), F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))), True).alias("left"),
             _word(F.substring(F.col("t"), s["end"] + 1, F.lit(40)), False).alias("right")))
 
-    tokens = _matches(F.col("t"), CANDIDATE, "", lambda x: F.char_length(x).between(5, 64))
+    def trimmed(s: Column) -> Column:
+        bare = let(F.regexp_replace(s["value"], _OPEN, ""), lambda x: F.struct(x.alias("x"), F.regexp_replace(x, _CLOSE, "").alias("y")))
+        return let(bare, lambda b: F.struct(
+            s["kind"].alias("kind"), (s["end"] - F.char_length(b["x"])).alias("start"), (s["end"] - F.char_length(b["x"]) + F.char_length(b["y"])).alias("end"), b["y"].alias("value")))
+
+    every = F.concat(*[_matches(F.col("t"), p, "", lambda x: F.char_length(x) >= 5) for p in (CANDIDATE, RUN)], F.when(F.col("t").rlike(_AT), _matches(F.col("t"), SPELLED, "", lambda x: F.lit(True))).otherwise(none))
+    tokens = F.filter(F.transform(every, trimmed), lambda s: F.char_length(s["value"]) >= 5)
     free = F.filter(tokens, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return rows.select("doc_id", F.transform("base", lambda b: b.dropFields("value")).alias("base"), F.when(F.col("t").isNotNull(), beside(F.concat("base", free))).alias("near"))
 
@@ -100,21 +116,23 @@ def found(docs: DataFrame) -> DataFrame:
 def bootstrap(near: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Accepted candidates (doc_id, kind, start, end) of near: (doc_id, kind or '', start, end, shape, value, left, right).
 
-    A pattern is a word beside an instance, with its side. Only candidates of a shape that some seed of the kind has
-    can join the kind. Scores: pattern = mean score of its different instances, from MIN_INSTANCES on; instance =
-    1 minus the product of 1 - score over its confident patterns. Seeds score 1 throughout.
+    A pattern is a word beside an instance, with its side. Every candidate can join any kind. Scores: pattern = mean
+    score of its different instances, from MIN_INSTANCES on; instance = 1 minus the product of 1 - score over its
+    confident patterns, times UNSEEN if no seed of the kind has its shape. Seeds score 1 throughout. Of candidates
+    that overlap the best one is accepted, on a tie the longest.
     """
     near = written(near, "near")
     seeds = near.where("kind <> ''")
     shapes = written(seeds.select("kind", "shape").distinct(), "shapes")
-    candidates = near.where("kind = ''").drop("kind").join(shapes, "shape")
+    kinds = F.explode(F.array(*map(F.lit, ORDER))).alias("kind")
+    candidates = near.where("kind = ''").drop("kind").select("*", kinds).join(shapes.withColumn("seen", F.lit(True)), ["kind", "shape"], "left").withColumn("worth", F.when(F.col("seen"), 1.0).otherwise(UNSEEN)).drop("seen")
     sides = F.explode(F.filter(F.array(F.concat(F.lit("<"), F.col("left")), F.concat(F.lit(">"), F.col("right"))), lambda p: F.length(p) > 1)).alias("pattern")
-    edges = seeds.select("kind", "value", sides).withColumn("seed", F.lit(True)).unionByName(candidates.select("kind", "value", sides).withColumn("seed", F.lit(False)))
-    edges = written(edges.groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed")), "edges")
+    edges = seeds.select("kind", "value", F.lit(1.0).alias("worth"), sides).withColumn("seed", F.lit(True)).unionByName(candidates.select("kind", "value", "worth", sides).withColumn("seed", F.lit(False)))
+    edges = written(edges.groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed"), F.max("worth").alias("worth")), "edges")
     scores = edges.select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("kind", "value").agg(F.max("score").alias("score"))
     for _ in range(rounds):
         patterns = edges.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(F.avg("score").alias("p"), F.count("*").alias("n")).where((F.col("n") >= MIN_INSTANCES) & (F.col("p") >= CONFIDENT))
-        told = edges.where("not seed").join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - F.product(1 - F.col("p"))).alias("told"))
+        told = edges.where("not seed").join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((F.max("worth") * (1 - F.product(1 - F.col("p")))).alias("told"))
         scores = written(
             edges.groupBy("kind", "value").agg(F.max("seed").alias("seed")).join(told, ["kind", "value"], "left")
             .select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("told", F.lit(0.0))).alias("score")), "scores",
@@ -123,7 +141,13 @@ def bootstrap(near: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spans = candidates.join(good, ["kind", "value"])
     # a token that two kinds claim goes to the better one, on a tie to the first in order
     rank = F.struct(-F.col("score"), F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind")))
-    return spans.groupBy("doc_id", "start", "end").agg(F.min_by("kind", rank).alias("kind"))
+    best = spans.groupBy("doc_id", "start", "end").agg(F.min(rank).alias("rank"), F.min_by("kind", rank).alias("kind"))
+    order = F.struct(F.col("rank.col1").alias("a"), (F.col("start") - F.col("end")).alias("b"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("kind").alias("kind"))
+    rows = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("x"))
+    free = lambda a, s: ~F.exists(a, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    none = F.filter("x", lambda s: F.lit(False))
+    kept = F.aggregate("x", none, lambda a, s: F.when(free(a, s), F.concat(a, F.array(s))).otherwise(a))
+    return rows.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.kind", "s.start", "s.end")
 
 
 def extract(docs: DataFrame) -> DataFrame:

@@ -339,6 +339,16 @@ def test_pii_bootstraps_from_context(spark):
     assert all(got[200 + k].spans == "" for k in range(30))
 
 
+def test_pii_finds_unseen_forms_in_known_contexts(spark):
+    rng = np.random.RandomState(3)
+    digits = lambda n: "".join(map(str, rng.randint(0, 10, n)))
+    rows = [(k, f"please call +49{digits(9)} today") for k in range(30)] + [(100 + k, f"write to user{digits(4)}@host{k}.com soon") for k in range(30)]
+    odd = {200: ("please call 030 1234 567 today", "phone:12:24"), 201: ("please call (0301234567), today", "phone:13:23"), 202: ("write to jane at example dot com soon", "email:9:32"), 203: ("write to jane [at] example.com, soon", "email:9:30"), 204: ("order number 030 7654 321 shipped", "")}
+    rows += [(d, t) for d, (t, _) in odd.items()]
+    got = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: got[d] for d in odd} == {d: want for d, (_, want) in odd.items()}
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
