@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import integer_form, markdown_escape, number_form, number_spellings
@@ -22,8 +22,6 @@ UNGUARDED = ("request_id", "timestamp", "policy_version", "feed_version", "verdi
 MIN_GUARDED = 3
 #: A whole token; a number isn't the start or end of a longer one.
 _BEFORE, _AFTER = r"(?<![^\W_])(?<!\d[.,])", r"(?![^\W_])(?![.,]\d)"
-#: Thousands groups of one number beyond which not every run of groups is tried; such numbers are reported.
-MOST_GROUPS = 64
 
 
 def _canonical(whole: str, part: str = "") -> str:
@@ -45,14 +43,24 @@ def text_number_forms(text: str) -> set[str]:
     return forms
 
 
-def token_forms(token: str) -> set[str]:
-    """L4. Forms of a number in text and of each run of its thousands groups, so that values glued together show."""
+def token_forms(token: str, most_digits: int | None = None) -> set[str]:
+    """L4. Forms of a number in text and of each run of its thousands groups, so that values glued together show.
+
+    most_digits: digits of the longest form that is looked for; longer forms may be left out.
+    """
     groups = re.split(r"[  .,](?=\d{3}(?!\d))", token)
     forms = text_number_forms(token)
-    reach = len(groups) if len(groups) <= MOST_GROUPS else 4
     for a in range(len(groups)):
-        for b in range(a + 1, min(len(groups), a + reach) + 1):
+        digits = 0
+        for b in range(a + 1, len(groups) + 1):
+            # zeros in front and at the end of a decimal part don't count in a form
+            part = groups[b - 1] if digits else groups[b - 1].lstrip("0")
+            digits += len(re.split("[.,]", part)[0])
+            if most_digits is not None and digits > most_digits:
+                break
             forms |= text_number_forms("".join(groups[a:b]))
+            if not digits and re.fullmatch("0+", groups[a]):
+                break  # longer runs have the forms of those that begin at the next group
     return forms
 
 
@@ -99,19 +107,27 @@ def protected_index(tables: dict[str, DataFrame], protected: DataFrame, min_digi
     return rows.where(long).distinct().join(protected, ["table", "column"]).select("role", "form").distinct()
 
 
-def number_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
-    """L4. Adds s, end, form rows: each number of a text with each of its forms; texts without a digit yield none."""
+def number_tokens(texts: DataFrame, text: str = "text", most_digits: Column | None = None) -> DataFrame:
+    """L4. Adds s, end, form rows: each number of a text with each of its forms; texts without a digit yield none.
+
+    most_digits: digits of the longest form that is looked for; all forms if null.
+    """
 
     @F.pandas_udf("array<struct<start:int,end:int,form:string>>")
-    def find(xs: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": m.start(), "end": m.end(), "form": f} for m in re.finditer(NUMBER, x or "") for f in sorted(token_forms(m[0]))] for x in xs])
+    def find(xs: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": m.start(), "end": m.end(), "form": f} for m in re.finditer(NUMBER, x or "") for f in sorted(token_forms(m[0], None if pd.isna(n) else int(n)))] for x, n in zip(xs, most, strict=True)])
+
+    most = F.lit(None).cast("int") if most_digits is None else most_digits
 
-    return texts.where(F.col(text).rlike("[0-9]")).withColumn("_n", F.explode(find(text))).select(*texts.columns, "_n.start", "_n.end", "_n.form")
+    return texts.where(F.col(text).rlike("[0-9]")).withColumn("_n", F.explode(find(text, most))).select(*texts.columns, "_n.start", "_n.end", "_n.form")
 
 
 def find_protected(texts: DataFrame, index: DataFrame, min_digits: int = 4, key: str = "id") -> DataFrame:
     """L4. (key, role, start, end) of numbers in texts (key, role, text) that the role's index holds."""
-    tokens = number_tokens(texts.select(key, "role", "text")).drop("text").where(F.length(F.regexp_replace("form", "[^0-9]", "")) >= min_digits)
+    digits = F.length(F.regexp_replace("form", "[^0-9]", ""))
+    most = index.agg(F.coalesce(F.max(digits), F.lit(0)).alias("_most"))  # one row
+    rows = texts.select(key, "role", "text").crossJoin(F.broadcast(most))
+    tokens = number_tokens(rows, most_digits=F.col("_most")).drop("text", "_most").where(digits >= min_digits)
     return tokens.join(index, ["role", "form"], "left_semi").select(key, "role", "start", "end").distinct()
 
 

@@ -211,3 +211,14 @@ def test_policy_tables(spark):
     assert "a\\|b" in policy.shaped(frame, "list").first().value and policy.shaped(frame, "scalar").first().value == "1"
     with pytest.raises(KeyError):
         policy.column_values({"t": frame}, [("t", "nope")])
+
+
+def test_protected_number_within_many_groups(spark):
+    table = " ".join(["111"] * 40 + ["123", "456", "789", "012", "345"] + ["000"] * 40)
+    texts = spark.createDataFrame([(1, "r", f"a {table} b"), (2, "r", " ".join(["111"] * 90)), (3, "r", " ".join(["000"] * 3000 + ["123", "456", "789", "012", "345"]))], "id long, role string, text string")
+    index = spark.createDataFrame([("r", "123456789012345")], "role string, form string")
+    assert sorted(r.id for r in leaks.find_protected(texts, index).collect()) == [1, 3]
+    assert leaks.find_protected(texts, index.limit(0)).count() == 0
+    every = {f for a in range(85) for b in range(a + 1, 86) for f in leaks.text_number_forms("".join(table.split(" ")[a:b]))}
+    assert every <= leaks.token_forms(table)
+    assert {f for f in every if len(f) <= 15} == {f for f in leaks.token_forms(table, 15) if len(f) <= 15}
