@@ -184,13 +184,26 @@ def final_verdict(log: DataFrame) -> DataFrame:
     return log.withColumn("final_verdict", F.get(F.array(*map(F.lit, VERDICTS)), rank.cast("int")))
 
 
-def latency_by_kind(prompts: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A15. Pairs the n-th prompt (n, kind, expected) with the n-th record: latencies by kind, and wrong verdicts.
+def numbered(log: DataFrame) -> DataFrame:
+    """Adds n: the position of each record by ts, then request_id, from 1; nulls come first.
 
-    The position comes from one sort of each side; a bench run is small.
+    Records are numbered within their second; the counts of seconds within a day, and of days, are added.
     """
-    place = lambda rows, *order: rows.withColumn("n", F.row_number().over(Window.orderBy(*order)))
-    both = prompts.join(place(log, "ts", "request_id"), "n")
+    rows = log.withColumn("_second", F.date_trunc("second", "ts"))
+    seconds = rows.groupBy("_second").agg(F.count("*").alias("_n")).withColumn("_day", F.to_date("_second"))
+    days = seconds.groupBy("_day").agg(F.sum("_n").alias("_n"))
+    sum_before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # as many rows as days
+    days = days.select(F.col("_day").alias("_d"), sum_before(Window.orderBy("_day")).alias("_days"))
+    seconds = seconds.select(F.col("_second").alias("_s"), "_day", sum_before(Window.partitionBy("_day").orderBy("_second")).alias("_seconds"))
+    before = seconds.join(days, F.col("_day").eqNullSafe(F.col("_d"))).select("_s", (F.col("_days") + F.col("_seconds")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_second").orderBy("ts", "request_id"))
+    return rows.withColumn("_within", within).join(before, F.col("_second").eqNullSafe(F.col("_s"))).withColumn("n", F.col("_before") + F.col("_within")).drop("_second", "_within", "_s", "_before")
+
+
+def latency_by_kind(prompts: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A15. Pairs the n-th prompt (n, kind, expected) with the n-th record: latencies by kind, and wrong verdicts."""
+    both = prompts.join(numbered(log), "n")
     kinds = both.select("kind", "total_latency_ms").unionByName(both.select(F.lit("all").alias("kind"), "total_latency_ms"))
     wrong = both.where("verdict <> expected").select("n", "kind", "expected", "verdict")
     return nearest_rank(kinds, ["kind"], "total_latency_ms").select("kind", "count", F.round("median", 2).alias("median"), F.round("p95", 2).alias("p95")), wrong

@@ -67,7 +67,7 @@ QUERIES = {
     "a13_feed_rows": lambda s, d: A.feed_rows(A.last_requests(audit_view(s, d))),
     "a14_final_verdict": lambda s, d: A.final_verdict(audit_view(s, d)).groupBy("verdict", "final_verdict").agg(F.count("*").alias("n")),
     "a15_latency_by_kind": lambda s, d: A.latency_by_kind(
-        table(s, d, "benchmark").select((F.col("item_id") + 1).alias("n"), F.when(F.col("item_id") % 3 == 0, "plain").otherwise("data").alias("kind"), F.lit("allow").alias("expected")), audit_view(s, d).where("ts < '2024-01-03'"))[0],
+        table(s, d, "benchmark").select((F.col("item_id") + 1).alias("n"), F.when(F.col("item_id") % 3 == 0, "plain").otherwise("data").alias("kind"), F.lit("allow").alias("expected")), audit_view(s, d))[0],
     "a16_model_comparison": lambda s, d: A.model_comparison(calls(s, d).select(
         "model", F.when(F.col("tokens") % 300 == 0, "data").otherwise("plain").alias("kind"), (F.col("tokens") % 500 == 0).alias("called_query_data"),
         F.array(F.col("tokens") % 700 == 0, F.col("tokens") % 200 == 0).alias("sql_ok"), F.col("judge").alias("used_placeholder"), (F.col("tokens") / 10).alias("latency_s"), F.lit(None).cast("string").alias("error")))

@@ -222,3 +222,23 @@ def test_protected_number_within_many_groups(spark):
     every = {f for a in range(85) for b in range(a + 1, 86) for f in leaks.text_number_forms("".join(table.split(" ")[a:b]))}
     assert every <= leaks.token_forms(table)
     assert {f for f in every if len(f) <= 15} == {f for f in leaks.token_forms(table, 15) if len(f) <= 15}
+
+
+def test_records_are_numbered_without_one_task(spark):
+    rows = [(None if k % 50 == 0 else dt.datetime(2024, 1, 1 + k % 3, 5, k % 7, k % 11, k % 5 * 1000), str(k)) for k in range(400)]
+    log = spark.createDataFrame(rows, "ts timestamp, request_id string")
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = analytics.numbered(log)
+    assert [r.request_id for r in got.orderBy("n").collect()] == [x for _, x in want]
+    assert sorted(r.n for r in got.collect()) == list(range(1, 401))
+
+
+def test_latency_by_kind_reads_the_whole_log(spark, tmp_path):
+    from siftline.plans import audit_queries
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("ts >= '2024-01-03'").write.parquet(f"{tmp_path}/events.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.kind: r["count"] for r in audit_queries.QUERIES["a15_latency_by_kind"](spark, str(tmp_path)).collect()}
+    late = spark.read.parquet(f"{tmp_path}/events.parquet").count()
+    assert late > 0 and got["all"] == items.where(F.col("item_id") < late).count()
