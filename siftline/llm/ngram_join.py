@@ -211,6 +211,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, the one with the least doc_id; a text without words is a group of its own."""
-    stays = similar_groups(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi")
+    """docs with one document of each group, the one with the least doc_id; a text without words is a group of its own.
+
+    Rows with a null doc_id stay.
+    """
+    goes = similar_groups(docs).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes")).where("goes").select("doc_id")
+    return docs.join(goes, "doc_id", "left_anti")

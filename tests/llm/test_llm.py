@@ -166,6 +166,12 @@ def test_ngram_join_odd(odd):
     assert ngram_join.similar_groups(odd.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_null_ids(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "q r s t u v w"), (None, "one of its own kind of text")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, rows[3][1]), rows[0], rows[2]]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (102, 101), (200, 201)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
