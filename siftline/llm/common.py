@@ -1,14 +1,12 @@
-"""What the operators of this subpackage share: word splitting, tables cut from their lineage, folds."""
+"""What the operators of this subpackage share: word splitting, folds, repeated ids, components."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: The blank characters that part words, and the same set with their negation, as Java regexes.
 BLANK = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
@@ -39,42 +37,40 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-@functools.cache
-def _own_dir() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='siftline-')}"
-
+def kind_of(df: DataFrame, column: str = "doc_id") -> str:
+    """The type of a column, as schemas of helpers spell it: ids need not be numbers."""
+    return df.schema[column].dataType.simpleString()
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
+def one_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with one row per doc_id, that of the least text; rows with a null doc_id stay as they are.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Ids alone are counted first, so that texts are shuffled only where an id does repeat.
+    """
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    again = written(again, "repeated-ids")
+    if again.isEmpty():
+        return docs
+    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return written(docs.join(again, "doc_id", "left_anti").unionByName(least), "documents")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b), a != b: rows (id, component), component the least id that can be reached.
 
-    Alternates the large-star and small-star contractions, both joins and groupings only, until the
-    set of edges stays the same; that takes a number of rounds logarithmic in the longest path.
+    Alternates the large-star and small-star contractions, both joins and groupings only, until all
+    edges lead to the least id of their component; that takes a number of rounds logarithmic in the longest path. Minima are written
+    before they are joined: of two plain sides Spark can split the rows of a hub that has very many neighbours.
     """
     edges = written(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), name)
-    before = None
     while True:
+        # stars: no vertex has two edges up, and none has edges up and down
+        ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(down, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        )
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least")
+        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{name}-large")
+        down = written(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-down")
+        small = large.join(down, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = written(small, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before = now

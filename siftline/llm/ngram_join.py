@@ -21,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, kind_of, one_each, written
 from .shingles import mixed, shingle_hashes, signed, word_hashes
 
 SIZE = 5
 #: The global order is cut here, by the top bits of the shingle's hash.
 FRAGMENTS = 8
+PIECE = 6
 SKETCH_BITS = 2048
-#: Tasks that share the copies of one text.
-SALTS = 8
+#: Bits of the short sketch that goes with each document of a shingle; it tells sets of up to 500 shingles apart.
+SMALL_BITS = 256
+#: Documents of one shingle that are compared with each other in one go.
+BLOCK = 1024
 #: Documents per shingle and length that each further one is compared with before components are formed.
 HUBS = 16
 #: Which shingles come last in the order: seen this often among one in SAMPLE documents; at most so many of them.
@@ -71,28 +74,31 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2, sketch, prefix): set size, 128-bit signature of the set, parity sketch, least shingles."""
+    """(doc_id, n, s1, s2, sketch, small, prefix): set size, 128-bit signature of the set, parity sketch and the same
+    in fewer bits, least shingles."""
     often = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def each(batches):
         last = often.value
         for batch in _halved(batches):
-            n, s1, s2, sketch, prefix = [], [], [], [], []
+            n, s1, s2, sketch, small, prefix = [], [], [], [], [], []
             for _, u in _sets(batch):
                 n.append(len(u))
                 s1.append(int(signed(u.sum(dtype=np.uint64, keepdims=True))[0]))
                 s2.append(int(signed(mixed(u + np.uint64(77)).sum(dtype=np.uint64, keepdims=True))[0]))
-                sketch.append(np.packbits(np.bincount((u & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes())
+                odd = np.packbits(np.bincount((u & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1)
+                sketch.append(odd.tobytes())
+                small.append(np.bitwise_xor.reduce(odd.reshape(-1, SMALL_BITS // 8)).tobytes())
                 if len(last) and len(u):
                     common = last[np.minimum(np.searchsorted(last, u), len(last) - 1)] == u
                     u = np.concatenate([u[~common], u[common]])
                 prefix.append(signed(u[: len(u) - (4 * len(u) + 4) // 5 + 1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n", "s1", "s2", "sketch", "prefix"],
+                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(small, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "n", "s1", "s2", "sketch", "small", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n int, s1 long, s2 long, sketch binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind_of(docs)}, n int, s1 long, s2 long, sketch binary, small binary, prefix array<long>")
 
 
 def _possible(n1, p1, n2, p2):
@@ -101,7 +107,7 @@ def _possible(n1, p1, n2, p2):
 
 
 def _neighbours(frames):
-    """Of rows sorted by (h, length): those whose h occurs again, other = -1; and for each of these a row per candidate
+    """Of rows sorted by (h, length): those whose h occurs again, with themselves as other; and for each of these a row per candidate
     partner: the row before, and the first HUBS rows of like length, with the partner's rep as other.
 
     Holds one batch and HUBS + 1 rows, so a shingle that fills many documents needs no more memory than a rare one.
@@ -119,7 +125,7 @@ def _neighbours(frames):
         at = np.arange(len(rows))
         start = np.maximum.accumulate(np.where(same & np.concatenate([[False], length[1:] == length[:-1]]), 0, at))
         mine = np.flatnonzero(again & ~out)
-        found = [(mine, np.full(len(mine), -1))]
+        found = [(mine, rep[mine])]
         for k in range(-1, HUBS):
             other = mine - 1 if k < 0 else start[mine] + k
             fits = same[mine] if k < 0 else other < mine
@@ -127,15 +133,15 @@ def _neighbours(frames):
             fits = (rep[i] != rep[j]) & _possible(n[j], pos[j], n[i], pos[i])
             found.append((i[fits], rep[j[fits]]))
         i, other = (np.concatenate(x) for x in zip(*found, strict=True))
-        yield pd.DataFrame({"h": h[i], "rep": rep[i], "n": n[i], "pos": pos[i], "length": length[i], "other": other})
+        yield pd.DataFrame({"h": h[i], "rep": rep[i], "n": n[i], "pos": pos[i], "other": other})
         # the last row waits if nothing before it has its h; it and the first rows of its run meet the next batch
         kept = np.unique(np.append(np.arange(start[-1], min(start[-1] + HUBS, len(rows))), len(rows) - 1))
         carry = rows.iloc[kept].assign(out=again[kept])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Of pairs (a, b) of representatives those that are alike, (a, b, overlap); and the fragments (rep, fragment,
-    piece) known by now: texts are read for those only that held lacks."""
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that their sketches don't rule out: (a, b, n_a, n_b, apart), apart a lower bound of how
+    many shingles only one of them has."""
 
     @F.pandas_udf("int")
     def differ(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -144,70 +150,161 @@ def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, held: DataFrame |
         u, v = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
         return pd.Series(np.bitwise_count(u ^ v).sum(axis=1).astype(np.int32))
 
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    # merged at every size, so that what is shuffled grows with the input instead of setting in at some size
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    apart = both.select("a", "b", "n_a", "n_b", differ("sketch_a", "sketch_b").alias("apart"))
+    return written(apart.where(9 * F.col("apart") <= F.col("n_a") + F.col("n_b")), "pairs")
+
+
+def _fragments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, pieces): the sets of the wanted (rep), cut into FRAGMENTS where the global order is cut. Within its
+    fragment a shingle goes by PIECE bytes of its hash."""
+
     def pieces(batches):
         for batch in _halved(batches):
-            ids, parts, held = [], [], []
+            ids, parts = [], []
             for k, u in _sets(batch):
                 cuts = np.searchsorted(u >> np.uint64(64 - FRAGMENTS.bit_length() + 1), np.arange(FRAGMENTS + 1))
-                for f in range(FRAGMENTS):
-                    if cuts[f] < cuts[f + 1]:
-                        ids.append(batch.column("rep")[k].as_py())
-                        parts.append(f)
-                        held.append(u[cuts[f] : cuts[f + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(held, pa.binary())], ["rep", "fragment", "piece"])
+                raw = (u << np.uint64(FRAGMENTS.bit_length() - 1)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PIECE]
+                ids.append(k)
+                parts.append([raw[cuts[f] : cuts[f + 1]].tobytes() for f in range(FRAGMENTS)])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(ids, pa.int64())), pa.array(parts, pa.list_(pa.binary()))], ["rep", "pieces"])
+
+    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    return written(rows.mapInArrow(pieces, f"rep {kind_of(docs)}, pieces array<binary>"), "fragments")
+
+
+def _links(near: DataFrame, held: DataFrame) -> DataFrame:
+    """Of pairs (a, b, n_a, n_b) those that are alike, (a, b, overlap): overlaps are counted fragment by fragment and
+    summed per pair. held: fragments of all that the pairs name."""
 
     @F.pandas_udf("int")
     def shared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int32")
-
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    near = written(
-        pairs.join(side("a"), "a").join(side("b"), "b").where(9 * differ("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "pairs"
-    )
-    wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = written(wanted if held is None else wanted.join(held.select("rep").distinct(), "rep", "left_anti"), "wanted")
-    if held is None or not wanted.isEmpty():
-        new = written(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(pieces, "rep long, fragment int, piece binary"), "fragments")
-        held = new if held is None else held.unionByName(new)
-    met = near.join(held.select(F.col("rep").alias("a"), "fragment", F.col("piece").alias("x")), "a").join(held.select(F.col("rep").alias("b"), "fragment", F.col("piece").alias("y")), ["b", "fragment"])
-    counted = met.select("a", "b", "n_a", "n_b", shared("x", "y").alias("part")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
-    links = counted.where(100 * F.col("overlap") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap")
-    return written(links, "links"), held
+        def numbers(piece: bytes) -> np.ndarray:
+            out = np.zeros((len(piece) // PIECE, 8), np.uint8)
+            out[:, :PIECE] = np.frombuffer(piece, np.uint8).reshape(-1, PIECE)
+            return out.view(np.uint64).ravel()
+
+        return pd.Series([len(np.intersect1d(numbers(p), numbers(q))) for p, q in zip(x, y, strict=True)], dtype="int32")
+
+    # a document's fragments lie side by side, so that one shuffle of them serves both sides
+    of = lambda x, y: held.select(F.col("rep").alias(x), F.col("pieces").alias(y))
+    met = near.select("a", "b", "n_a", "n_b").hint("merge").join(of("a", "x"), "a").hint("merge").join(of("b", "y"), "b")
+    parts = met.select("a", "b", "n_a", "n_b", F.explode(F.arrays_zip("x", "y")).alias("part")).where("octet_length(part.x) > 0 and octet_length(part.y) > 0")
+    counted = parts.select("a", "b", "n_a", "n_b", shared("part.x", "part.y").alias("part")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
+    return written(counted.where(100 * F.col("overlap") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap"), "links")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Of pairs (a, b, ...) those whose ends aren't in one component of named (rep, component) yet."""
+    of = lambda x: named.select(F.col("rep").alias(x), F.col("component").alias(f"c_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+
+
+def _one_partner(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, n_a, n_b, apart) one for each document that has a partner before it in the order by hash: the
+    first one that the sketches say is alike, or else the nearest. So a group meets at few documents."""
+    order = lambda x: F.struct(F.xxhash64(x).alias("hash"), F.col(x).alias("rep"))
+    # apart counts the odd ones of SKETCH_BITS buckets; so many shingles are in one set only, on average
+    only = -SKETCH_BITS / 2 * F.log(F.greatest(1 - 2 * F.col("apart") / SKETCH_BITS, F.lit(1e-9)))
+    sided = pairs.withColumns({"first": F.least(order("a"), order("b")), "last": F.greatest(order("a"), order("b"))})
+    rank = F.when(9 * only <= F.col("n_a") + F.col("n_b"), 0.0).otherwise(only / (F.col("n_a") + F.col("n_b")))
+    return sided.groupBy("last.rep").agg(F.min_by(F.struct("a", "b", "n_a", "n_b"), F.struct(rank, "first")).alias("x")).select("x.*")
+
+
+def _blocks(frames):
+    """Of rows sorted by (h, i, j): the pairs (a, b) of each block that aren't in one component, can be alike by their
+    sizes and places, and aren't ruled out by their short sketches. Holds one batch and one block."""
+    carry = None
+    for frame in frames:
+        rows = frame if carry is None else pd.concat([carry, frame], ignore_index=True)
+        if not len(rows):
+            continue
+        key = rows[["h", "i", "j"]].to_numpy()
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        yield from _pairs(rows, [0, *edge])
+        carry = rows.iloc[edge[-1] if len(edge) else 0 :]
+    if carry is not None:
+        yield from _pairs(carry, [0, len(carry)])
+
+
+def _pairs(rows: pd.DataFrame, edges: list[int]):
+    rep, n, pos, c, own = (rows[x].to_numpy() for x in ("rep", "n", "pos", "c", "own"))
+    i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+    small = np.frombuffer(b"".join(rows["small"]), np.uint64).reshape(len(rows), -1)
+    a, b = [], []
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        for k in range(start, end - 1):
+            m = np.arange(k + 1, end)
+            fits = (c[m] != c[k]) & (rep[m] != rep[k]) & _possible(n[k], pos[k], n[m], pos[m]) & ((i[k] == j[k]) | (own[m] != own[k]))
+            m = m[fits]
+            m = m[9 * np.bitwise_count(small[m] ^ small[k]).sum(axis=1, dtype=np.int64) <= n[m].astype(np.int64) + n[k]]
+            a += [rep[k]] * len(m)
+            b += rep[m].tolist()
+    if a:
+        yield pd.DataFrame({"a": a, "b": b})
+
+
+def _open_pairs(met: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a shingle of met, aren't in one component and may be alike.
+
+    The documents of a shingle are dealt out to blocks of about BLOCK, and each pair of blocks is one task's work, so
+    that a frequent shingle neither fills a task nor makes a row for each of its pairs.
+    """
+    own = met.where("other = rep").select("h", "rep", "n", "pos")
+    marked = own.join(named, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    mixed_up = marked.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = written(marked.join(written(mixed_up, "mixed"), "h"), "open")
+    rows = open_.join(sets.select(F.col("doc_id").alias("rep"), "small").hint("merge"), "rep").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("blocks")).cast("int"))
+    dealt = rows.select("h", "rep", "n", "pos", "c", "small", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "pos", "c", "small")
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    found = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInPandas(_blocks, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document.
 
-    class_id is the least doc_id with the same set; component_id the least that links reach. A text without words
-    has no shingles and is linked with nothing. docs needs doc_id and text.
-    Of rows with one doc_id any one stands for it; a null doc_id is linked with nothing but equal texts.
+    class_id is the least doc_id with the same set; component_id the least that links reach. A text without words, and
+    a null one, has no shingles and is linked with nothing. docs needs doc_id, of any type that has an order, and text.
+    Rows with one doc_id are one document, that with the least text, and come back as one row; those with a null
+    doc_id come back one by one, linked with nothing. Extra columns are ignored; an empty table gives an empty one.
     """
+    docs = one_each(docs.select("doc_id", "text"))
     rows = written(shingle_sets(docs), "sets")
-    known = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    # thousands of copies of one text are one key: its rows go to SALTS tasks, and each gets the class's row
-    salted = known.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    member = rows.select("doc_id", "n", "s1", "s2", salt.alias("salt")).join(salted, ["n", "s1", "s2", "salt"], "left")
-    member = written(member.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    sets = rows.join(member.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch", "prefix")
-    sets = written(sets.dropDuplicates(["rep"]), "class-sets")
-    entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
+    first = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = written(first, "first-copies")  # of its own, so that the rows of a text with many copies can be split in the join
+    member = rows.select("doc_id", "n", "s1", "s2").join(first.hint("merge"), ["n", "s1", "s2"], "left")
+    member = written(member.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
+    sets = rows.join(member.where("doc_id = rep and n > 0").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    entries = sets.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "h"))
     length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    entries = entries.withColumn("length", length)
-    spread = entries.repartition("h").sortWithinPartitions("h", "length", F.xxhash64("rep"), "rep").select("h", "length", "n", "rep", "pos")
-    met = written(spread.mapInPandas(_neighbours, "h long, rep long, n int, pos int, length int, other long"), "shared")
-    tried = met.where("other >= 0").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    links, held = _alike(tried, sets, docs)
+    spread = entries.repartition("h").withColumn("length", length).sortWithinPartitions("h", "length", F.xxhash64("rep"), "rep").select("h", "length", "n", "rep", "pos")
+    kind = kind_of(docs)
+    met = written(spread.mapInPandas(_neighbours, f"h long, rep {kind}, n int, pos int, other {kind}"), "shared")
+    tried = met.where("other <> rep").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    near = _near(tried, rows)
+    # one partner of each first, the first one in the order by hash: that joins most groups with a pair for each document
+    chosen = written(_one_partner(near), "chosen")
+    held = _fragments(docs, _ends(chosen))
+    links = _links(chosen, held)
     named = components(links).withColumnRenamed("id", "rep")
-    marked = met.where("other < 0").select("h", "rep", "n", "pos").join(named, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed_up = marked.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    open_ = written(marked.join(mixed_up, "h", "left_semi"), "open")
-    may = "5 * least(l.n, r.n) >= 4 * greatest(l.n, r.n) and 9 * (1 + least(l.n - l.pos - 1, r.n - r.pos - 1)) >= 4 * (l.n + r.n)"
-    rest = open_.alias("l").join(open_.alias("r"), F.expr(f"l.h = r.h and l.rep < r.rep and l.c <> r.c and {may}")).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    more, _ = _alike(rest.join(tried, ["a", "b"], "left_anti"), sets, docs, held)
-    links = written(links.unionByName(more), "all-links")
+    # what is left: pairs that share a shingle and aren't in one component yet
+    rest = _near(_open_pairs(met, rows, named).join(near, ["a", "b"], "left_anti"), rows)
+    rest = written(rest.unionByName(_apart(near.join(chosen, ["a", "b"], "left_anti"), named)), "rest")
+    ends = written(_ends(rest), "ends")
+    new = _fragments(docs, ends.join(_ends(chosen), "rep", "left_anti"))
+    links = links.unionByName(_links(rest, held.join(ends, "rep", "left_semi").unionByName(new)))
     final = components(links).select(F.col("id").alias("rep"), "component")
-    return member.join(final, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    out = member.join(final.hint("merge"), "rep", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -215,5 +312,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    goes = similar_groups(docs).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes")).where("goes").select("doc_id")
+    goes = similar_groups(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(goes, "doc_id", "left_anti")
