@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kind_of, written
 
 ORDER = 3
-#: Leaves (contexts of ORDER bytes with a follower) that a language's tree keeps at most, the most frequent ones.
-MOST_LEAVES = 200_000
+#: Up to so many leaves (contexts of ORDER bytes with a follower, per language) the trees go to the tasks as a whole;
+#: beyond, texts' contexts are joined with them. Both give the same code lengths.
+MOST_LEAVES = 2_000_000
 UNKNOWN = "und"
 _START = b"\n" * ORDER
 _SLOTS = 21
@@ -63,26 +64,16 @@ def count_contexts(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(each, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, most_leaves: int = MOST_LEAVES) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language the leaves and counts of its tree. rows: lang, text; null languages and texts are left out.
+def train(rows: DataFrame) -> DataFrame:
+    """The trees of all languages: their leaves (lang, code, n), all of them. rows: lang, text; null languages and texts
+    are left out, repeated rows count as often as they come."""
+    return written(count_contexts(rows.where("lang is not null and text is not null")), "contexts")
 
-    A tree of more than most_leaves leaves keeps those counted oftener than a bound that is the same for all of
-    them, so the model's size doesn't follow the corpus.
-    """
-    counts = written(count_contexts(rows.where("lang is not null and text is not null")), "contexts")
-    bounds: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    # at most sqrt(2 * most_leaves) distinct counts can lie above the bound, and a few rows more
-    spread = counts.groupBy("lang", "n").agg(F.count("*").alias("leaves")).orderBy("lang", F.desc("n"))
-    for r in spread.toLocalIterator():
-        seen[r["lang"]] = seen.get(r["lang"], 0) + r["leaves"]
-        if seen[r["lang"]] <= most_leaves:
-            bounds[r["lang"]] = r["n"]
-    model = {}
-    for lang, least in sorted(bounds.items()):
-        kept = counts.where((F.col("lang") == lang) & (F.col("n") >= least)).select("code", "n").toPandas().sort_values("code")
-        model[lang] = kept["code"].to_numpy().astype(np.uint32), kept["n"].to_numpy(np.int64)
-    return model
+
+def collected(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language the leaves and counts of its tree; for models of at most MOST_LEAVES rows."""
+    whole = model.toPandas().sort_values(["lang", "code"])
+    return {lang: (x["code"].to_numpy().astype(np.uint32), x["n"].to_numpy(np.int64)) for lang, x in whole.groupby("lang")}
 
 
 class Trees:
@@ -145,14 +136,18 @@ class Trees:
         return sums[begin[1:]] - sums[begin[:-1]]
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
+def identify(docs: DataFrame, model: DataFrame, most_leaves: int = MOST_LEAVES) -> DataFrame:
     """docs' doc_id and text scored: (doc_id, lang_pred, score, bits_per_byte).
 
     score is the share of the best language when each is weighted by 2 to the minus code length. A null text, one
-    without a letter, or an empty model gives 'und' with score 0. Of equal code lengths the first name wins.
+    without a letter, or an empty model gives 'und' with score 0. Of equal code lengths the first name wins. A row for
+    each of docs, repeated ones too; doc_id may have any type, other columns are ignored.
     """
+    if model.count() > most_leaves:
+        return _identify_joined(docs, model)
+    trees_of = collected(model)
     # plain arrays, so that executors can read them without this package
-    frozen = docs.sparkSession.sparkContext.broadcast(vars(Trees(model))) if model else None
+    frozen = docs.sparkSession.sparkContext.broadcast(vars(Trees(trees_of))) if trees_of else None
 
     def each(batches):
         trees = None
@@ -175,4 +170,44 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                     rate = np.where(letters, least / [max(1, len((t or "").encode("utf-8", "replace"))) for t in texts], 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind_of(docs)}, lang_pred string, score double, bits_per_byte double")
+
+
+def _joined_costs(codes: DataFrame, model: DataFrame) -> DataFrame:
+    """(code, lang, bits): the code length of each code (code) in each language, by joins with the trees' levels."""
+    langs = model.select("lang").distinct()
+    rows = codes.crossJoin(F.broadcast(langs)).withColumns({"bits": F.lit(0.0), "open": F.lit(True)})  # a row per language
+    for k in range(ORDER, -1, -1):
+        leaf = F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        leaves = written(model.groupBy("lang", leaf.alias("leaf")).agg(F.sum("n").alias("count")), f"leaves-{k}")
+        contexts = leaves.groupBy("lang", F.shiftrightunsigned("leaf", 8).alias("context")).agg(F.sum("count").alias("total"), F.count("*").alias("distinct"))
+        rows = rows.withColumn("leaf", leaf).join(leaves, ["lang", "leaf"], "left").withColumn("context", F.shiftrightunsigned("leaf", 8)).join(contexts, ["lang", "context"], "left")
+        known, found = F.col("total").isNotNull(), F.col("count").isNotNull()
+        step = F.when(F.col("open") & known, F.log2(F.col("total") + F.col("distinct")) - F.log2(F.when(found, F.col("count")).otherwise(F.col("distinct")))).otherwise(0.0)
+        rows = rows.withColumn("bits", F.col("bits") + step).withColumn("open", F.col("open") & ~found).select("code", "lang", "bits", "open")
+    return rows.select("code", "lang", F.when(F.col("open"), F.col("bits") + 8).otherwise(F.col("bits")).alias("bits"))
+
+
+def _identify_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """identify() for trees of any size: each text's contexts are counted, and joined with their code lengths."""
+
+    def each(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 64):
+                batch = whole.slice(k, 64)
+                found, begin = _codes(batch.column("text").to_pylist())
+                parts = [np.unique(found[a:b], return_counts=True) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                of = np.repeat(np.arange(len(parts)), [len(c) for c, _ in parts])
+                codes, n = (np.concatenate([np.empty(0, np.int64), *(p[j].astype(np.int64) for p in parts)]) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of)) for c in ("h1", "h2")), pa.array(codes), pa.array(n)], ["h1", "h2", "code", "n"])
+
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    counts = texts.where("text is not null").mapInArrow(each, "h1 long, h2 long, code long, n long")
+    counts = written(counts.groupBy("h1", "h2", "code").agg(F.max("n").alias("n")), "text-codes")  # equal texts are one
+    costs = written(_joined_costs(counts.select("code").distinct(), model), "code-lengths")
+    bits = counts.join(costs, "code").groupBy("h1", "h2", "lang").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
+    told = bits.groupBy("h1", "h2").agg(F.min(F.struct("bits", "lang")).alias("least"), F.collect_list("bits").alias("all"))
+    rows = texts.join(told, ["h1", "h2"], "left")
+    fine = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.col("least").isNotNull()
+    share = 1 / F.aggregate("all", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), F.greatest(F.col("least.bits") - x, F.lit(-1000.0))))
+    return rows.select("doc_id", F.when(fine, F.col("least.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(fine, share).otherwise(0.0).alias("score"), F.when(fine, F.col("least.bits") / F.greatest(F.octet_length("text"), F.lit(1))).otherwise(0.0).alias("bits_per_byte"))
