@@ -14,15 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kind_of, written
 
 #: The model is fitted on so many labelled rows at most, those with the least hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Words that the model weighs: those that tell the labels apart best, found by Spark among all training rows.
-FEATURES = 512
-MIN_DOCS = 6
+#: Words that the model weighs: all that so many training rows hold and whose dependence on the label is beyond chance.
+MIN_DOCS, MIN_CHI = 6, 20
 #: Lengths of the word beginnings that count as features beside whole words, marked by a final "~".
 BEGINNINGS = (3, 4, 5, 6, 7)
+#: The one letter whose small form takes two characters.
+_DOTTED = "\u0130"
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 
@@ -32,8 +33,8 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def features(train: DataFrame) -> list[str]:
-    """The FEATURES words whose presence depends most on the label, by chi squared; train: text, label."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    """The words whose presence depends on the label, MIN_CHI or more by chi squared; train: text, label."""
+    words = F.regexp_extract_all(F.lower(F.translate("text", _DOTTED, "i")), F.lit(r"(\p{L}+)"), 1)
     begun = [F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.left(w, F.lit(k)), F.lit("~"))) for k in BEGINNINGS]  # noqa: B023
     word = F.explode(F.array_distinct(F.concat(words, *begun))).alias("word")
     size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
@@ -43,8 +44,7 @@ def features(train: DataFrame) -> list[str]:
     counts = train.select("label", word).groupBy("word").agg(F.count("*").alias("df"), F.sum("label").alias("a")).where(F.col("df") >= MIN_DOCS)
     expected = F.col("df") * F.lit(pos / n)
     chi = (F.col("a") - expected) * (F.col("a") - expected) * F.lit(n / (n - pos)) / (expected * (1 - F.col("df") / F.lit(n + 1)))
-    top = counts.withColumn("chi", chi).where("chi > 20").orderBy(F.desc("chi"), "word").limit(FEATURES)
-    return sorted(r["word"] for r in top.select("word").collect())
+    return sorted(r["word"] for r in counts.where(chi > MIN_CHI).select("word").collect())  # bounded by the words of TRAIN_ROWS texts
 
 
 class _Features(dict):
@@ -64,9 +64,7 @@ class _Features(dict):
 
 def _hits(text: str, known: _Features) -> list[tuple[int, int]]:
     """(sentence, feature) pairs of a text, each once."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = text
+    low = text.replace(_DOTTED, "i").lower()  # place for place
     if not any(known[w] for w in set(_WORD.findall(low))):
         return []
     found = [(m.start(), f) for m in _WORD.finditer(low) for f in known[m.group()]]
@@ -75,7 +73,11 @@ def _hits(text: str, known: _Features) -> list[tuple[int, int]]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """(words, weights, bias) from docs (doc_id, text) and labels (doc_id, label 0/1); null texts and labels are left out."""
+    """(words, weights, bias) from docs (doc_id, text) and labels (doc_id, label 0/1); null texts and labels are left out.
+
+    Of more than TRAIN_ROWS labels those with the least hash of doc_id, on a tie the least id, count; repeated rows of
+    docs count as often as they come. Without labels there are no words, and each sentence scores next to nothing.
+    """
     labels = labels.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = written(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "toxic-ids")
     # TRAIN_ROWS ids at most: they go to the texts, so that no text is shuffled
@@ -92,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
                 ["doc_id", "label", "n", "s", "f"],
             )
 
-    bags = rows.mapInArrow(each, "doc_id long, label int, n int, s array<int>, f array<int>").toPandas()
+    bags = rows.mapInArrow(each, f"doc_id {kind_of(rows)}, label int, n int, s array<int>, f array<int>").toPandas()
     bags = bags.sort_values(["doc_id", "n", "label"]).reset_index(drop=True)
     return words, *fit(bags, len(words))
 
@@ -130,7 +132,8 @@ def fit(bags: pd.DataFrame, k: int, steps: int = 600, rate: float = 0.1, decay:
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float], offending: float = 0.5) -> DataFrame:
     """(doc_id, score, offending): noisy-or probability, and start:end of the sentences that reach `offending`.
 
-    Offsets are code points, end exclusive. A null or empty text scores 0 and has no sentences.
+    Offsets are code points, end exclusive. A null or empty text scores 0 and has no sentences. A row for each of docs,
+    repeated ones too; doc_id may have any type, other columns are ignored.
     """
     words, w, b = model
 
@@ -150,4 +153,4 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float], offending
             got = [one(t, index) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g for g, _ in got], pa.float64()), pa.array([s for _, s in got], pa.string())], ["doc_id", "score", "offending"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double, offending string")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind_of(docs)}, score double, offending string")
