@@ -1,9 +1,14 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives and unlabelled web text train a small network g on measurements of the text. With the class prior
-pi the risk is pi * E_P[l(g, +1)] + max(0, E_U[l(g, -1)] - pi * E_P[l(g, -1)]): negatives are never needed, and the
-clipped term keeps the network from overfitting the positives. Where the clipped term is negative, a step goes
-against its gradient, as its authors propose.
+Trusted positives and unlabelled web text train g on measurements of the text. With the class prior pi the risk is
+pi * E_P[l(g, +1)] + max(0, E_U[l(g, -1)] - pi * E_P[l(g, -1)]): negatives are never needed, and the clipped term keeps g
+from overfitting the positives. Where the clipped term is negative, a step goes against its gradient, as its authors
+propose.
+
+The loss is the squared one and g is linear in steps of the measurements, so that the risk needs the means and mean
+products of the steps only. Spark sums these over every unlabelled text, however many there are. The prior comes from
+positives and unlabelled texts alone: among the texts that look most like positives nearly all are, so the least ratio
+of the shares of unlabelled texts and of positives above a threshold estimates it.
 """
 
 from __future__ import annotations
@@ -13,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kind_of, written
 from .shingles import shingle_hashes, word_hashes
 
-#: Rows that the model is fitted on at most, of positives and of unlabelled texts each: least hash of doc_id.
-TRAIN_ROWS = 12_000
-#: The prior where no labelled row says otherwise.
-PRIOR = 0.85
-HIDDEN = 12
+#: Labelled positives that the model is fitted on at most: least hash of doc_id. Unlabelled texts all count.
+TRAIN_ROWS = 20_000
+#: Where each measurement steps: these quantiles of it over all texts.
+STEPS_AT = (0.01, 0.03, 0.1, 0.25, 0.5, 0.75, 0.9, 0.97, 0.99)
+#: Thresholds tried for the prior, and the least share of positives above one.
+CELLS, LEAST_SHARE = 400, 0.2
+#: Weight of the squared coefficients: so much at least, and more with few positives (this over their number).
+RIDGE, RIDGE_ROWS = 0.01, 10
 #: Measurements: each a share or a logarithm, so that the length of a text doesn't set their scale.
 NAMES = ("log_words", "word_length", "symbols", "marks", "upper", "digits", "other_punctuation", "distinct_words", "distinct_trigrams", "lines", "distinct_lines", "not_ascii")
 _CLASSES = [b"#*$%&|<>", b"!?", bytes(range(65, 91)), bytes(range(48, 58)), b",.;:-'\"()"]
@@ -59,72 +67,128 @@ def _frame(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(each, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "x array<double>"]))
 
 
-def class_prior(labels: DataFrame, default: float = PRIOR) -> float:
-    """Share of good texts among labelled rows (label 0/1); they are a sample of the web text. Within 0.05 and 0.99."""
-    mean = labels.agg(F.avg("label").alias("p"), F.count_if(F.col("label") == 0).alias("bad")).first()
-    return float(np.clip(mean["p"], 0.05, 0.99)) if mean["bad"] else default
+def _steps(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The basis of g: 1, and for each measurement and cut whether the one exceeds the other."""
+    return np.concatenate([np.ones((len(x), 1)), (x[:, :, None] > cuts[None]).reshape(len(x), -1)], axis=1)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, rate: float = 0.02, seed: int = 7) -> dict:
-    """The network's weights, by full-batch Adam on the non-negative risk with the logistic loss."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    rng = np.random.RandomState(seed)
-    x = np.clip((both - mean) / scale, -6, 6)
-    n_p, n_u = len(positive), len(unlabelled)
-    w = [rng.randn(x.shape[1], HIDDEN) * 0.3, np.zeros(HIDDEN), rng.randn(HIDDEN) * 0.3, np.zeros(1)]
-    m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+def _summed(rows: DataFrame, of, size: int) -> np.ndarray:
+    """Sums of of(x), an array of size numbers, over the measurements x of all rows: first within tasks, then by Spark
+    in a few tasks; the driver gets a row from each of these."""
+    fan = 16
+
+    def each(batches):
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += of(np.stack(b.column("x").to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([pa.array([list(total)], pa.list_(pa.float64()))], ["x"])
+
+    def again(batches):
+        total = np.zeros(size)
+        for b in batches:
+            for v in b.column("x").to_numpy(zero_copy_only=False):
+                total += v
+        yield pa.RecordBatch.from_arrays([pa.array([list(total)], pa.list_(pa.float64()))], ["x"])
+
+    parts = rows.select("x").mapInArrow(each, "x array<double>").repartition(fan).mapInArrow(again, "x array<double>").toPandas()["x"]
+    return np.sum([np.asarray(v) for v in parts], axis=0)
+
+
+def class_prior(above_p: np.ndarray, above_u: np.ndarray, n_p: int, n_u: int) -> float:
+    """Share of positives among the unlabelled from the shares of both above falling thresholds, within 0.05 and 0.99.
+
+    A ratio counts with a margin for chance, so that thresholds with few texts above them don't decide.
+    """
+    fits = above_p >= LEAST_SHARE
+    if not fits.any():
+        return 0.99
+    p, u = above_p[fits], above_u[fits]
+    margin = np.sqrt(u / n_u) + np.sqrt(p * (1 - p) / n_p) * u / p
+    ratio = (u + margin) / p
+    k = int(ratio.argmin())
+    return float(np.clip(u[k] / p[k], 0.05, 0.99))
+
+
+def fit(mean_p: np.ndarray, gram_p: np.ndarray, mean_u: np.ndarray, gram_u: np.ndarray, prior: float, ridge: float = RIDGE, steps: int = 400, rate: float = 0.005) -> np.ndarray:
+    """Coefficients of g that lessen the non-negative risk with the loss (1 - z)^2 / 4, from means and mean products.
+
+    Starts where the risk without the clipping is least, which equations give, and goes on by Adam where that makes
+    the clipped term negative.
+    """
+    k = len(mean_p)
+    w = np.linalg.solve(gram_u + ridge * np.eye(k), 2 * prior * mean_p - mean_u)
+    m, v = np.zeros(k), np.zeros(k)
     for t in range(1, steps + 1):
-        h = np.tanh(x @ w[0] + w[1])
-        g = h @ w[2] + w[3]
-        negative = np.logaddexp(0, g[n_p:]).mean() - prior * np.logaddexp(0, g[:n_p]).mean()
-        plus = np.concatenate([-prior * sigmoid(-g[:n_p]) / n_p, np.zeros(n_u)])
-        minus = np.concatenate([-prior * sigmoid(g[:n_p]) / n_p, sigmoid(g[n_p:]) / n_u])
-        d = plus + minus if negative >= 0 else -minus
-        dh = np.outer(d, w[2]) * (1 - h * h)
-        grads = [x.T @ dh + 1e-4 * w[0], dh.sum(axis=0), h.T @ d + 1e-4 * w[2], d.sum(keepdims=True)]
-        for k, grad in enumerate(grads):
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            v[k] = 0.999 * v[k] + 0.001 * grad * grad
-            w[k] = w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return {"mean": mean, "scale": scale, "w": w}
+        loss = lambda mean, gram: (1 + 2 * mean @ w + w @ gram @ w) / 4  # noqa: E731  of the label -1
+        slope = lambda mean, gram: (mean + gram @ w) / 2
+        minus = loss(mean_u, gram_u) - prior * loss(mean_p, gram_p)
+        if minus >= 0 and t == 1:
+            return w
+        d_minus = slope(mean_u, gram_u) - prior * slope(mean_p, gram_p)
+        grad = prior * (gram_p @ w - mean_p) / 2 + d_minus + ridge * w / 2 if minus >= 0 else -d_minus
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model from unlabelled docs (doc_id, text) and labels (doc_id, label 0/1); None without positives.
+    """The model from unlabelled docs (doc_id, text) and labels (doc_id, label 0/1); None without positives or texts.
 
-    Labelled zeros only serve the prior. Null texts and labels are left out.
+    Of the labels only the ones serve. Null texts and labels are left out. Repeated rows of docs count as often as
+    they come; of more than TRAIN_ROWS positives those with the least hash of doc_id, on a tie the least id, count.
     """
-    labels = labels.where("label is not null").select("doc_id", "label")
-    texts = docs.where("text is not null").select("doc_id", "text")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # ids first, so that no text is sorted
-    good = labels.where("label = 1").select("doc_id").orderBy(*order).limit(TRAIN_ROWS).withColumn("kind", F.lit(1))
-    any_ = texts.select("doc_id").orderBy(*order).limit(TRAIN_ROWS).withColumn("kind", F.lit(0))
-    chosen = written(good.unionByName(any_), "quality-train")
-    rows = _frame(texts.join(F.broadcast(chosen.groupBy("doc_id").agg(F.max("kind").alias("p"), F.min("kind").alias("u"))), "doc_id"), "doc_id", "p", "u").toPandas()
-    rows = rows.sort_values("doc_id")
-    x = np.stack(rows["x"]) if len(rows) else np.zeros((0, len(NAMES)))
-    p, u = rows["p"].to_numpy() == 1, rows["u"].to_numpy() == 0
-    if not p.any() or not u.any():
+    # ids alone are sorted; there are TRAIN_ROWS at most, so that they go to the texts
+    good = written(labels.where("label = 1").select("doc_id").distinct().orderBy(*order).limit(TRAIN_ROWS), "quality-ids")
+    rows = written(_frame(docs.where("text is not null"), "doc_id"), "measured")
+    positive = written(rows.join(F.broadcast(good), "doc_id", "left_semi"), "positives")
+    n_u, n_p = rows.count(), positive.count()
+    if not n_p or not n_u:
         return None
-    return fit(x[p], x[u], class_prior(labels))
+    at = rows.agg(*[F.percentile_approx(F.col("x")[k], list(STEPS_AT), 2000).alias(f"q{k}") for k in range(len(NAMES))]).first()
+    cuts = np.array([list(q) for q in at])
+    k = 1 + cuts.size
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        s = _steps(x, cuts)
+        return (s.T @ s).ravel()
+
+    gram_u = _summed(rows, moments, k * k).reshape(k, k) / n_u
+    # each half of the positives tells the prior by how the other half's likeness to positives is spread
+    side = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    halves = [written(positive.where(side == i), "half") for i in (0, 1)]
+    sizes = [h.count() for h in halves]
+    sums = [_summed(h, moments, k * k).reshape(k, k) for h in halves]
+    gram_p, ridge = (sums[0] + sums[1]) / n_p, max(RIDGE, RIDGE_ROWS / n_p)
+    edges = np.linspace(0, 4, CELLS + 1)[1:-1]
+    priors = []
+    for i in (0, 1):
+        if not sizes[i] or not sizes[1 - i]:
+            continue
+        likeness = np.linalg.solve(gram_u + ridge * np.eye(k), sums[i][0] / sizes[i])  # density of positives over that of all texts
+
+        def cells(x: np.ndarray, likeness=likeness) -> np.ndarray:
+            return np.bincount(np.searchsorted(edges, _steps(x, cuts) @ likeness), minlength=CELLS).astype(float)
+
+        above_u, above_p = (np.cumsum(_summed(r, cells, CELLS)[::-1]) / n for r, n in ((rows, n_u), (halves[1 - i], sizes[1 - i])))
+        priors.append(class_prior(above_p, above_u, sizes[1 - i], n_u))
+    prior = float(np.mean(priors)) if priors else 0.99
+    return {"cuts": cuts, "w": fit(gram_p[0], gram_p, gram_u[0], gram_u, prior, ridge), "prior": prior}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """(doc_id, score): probability of good quality; 0 for a null text or one without words, 0.5 without a model."""
+    """(doc_id, score): probability of good quality; 0 for a null text or one without words, 0.5 without a model.
+
+    A row for each of docs, repeated ones too; doc_id may have any type, other columns are ignored.
+    """
 
     def each(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
                 x = measurements(b.column("text").to_pylist())
-                if model is None:
-                    s = np.full(len(x), 0.5)
-                else:
-                    w = model["w"]
-                    s = 1 / (1 + np.exp(-(np.tanh(np.clip((x - model["mean"]) / model["scale"], -6, 6) @ w[0] + w[1]) @ w[2] + w[3])))
+                s = np.full(len(x), 0.5) if model is None else np.clip((1 + _steps(x, model["cuts"]) @ model["w"]) / 2, 0, 1)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.where(x.any(axis=1), s, 0.0))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind_of(docs)}, score double")
