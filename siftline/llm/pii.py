@@ -5,6 +5,9 @@ graph whose edges Spark scores in rounds: a pattern is worth the share of its in
 what its patterns say together. Tokens, runs of tokens and spelled-out addresses that fail a kind's strict pattern
 become spans where confident patterns speak for them, the sooner if they look like the kind's seeds. Spans of the
 strict patterns always stay.
+
+A pattern is one or two words on the left, one or two on the right, or the word on either side, in whole; rounds go on
+until no further instance is accepted.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ _AT = r"(?i:\x20at\x20|\x20?[\[({]\x20?at\x20?[\])}]\x20?)"
 SPELLED = rf"(?<![{_LOCAL}])[{_LOCAL}]++{_AT}[A-Za-z0-9-]++(?:(?i:\x20dot\x20|\x20?[\[({{]\x20?dot\x20?[\])}}]\x20?|\.)[A-Za-z0-9-]++)++"
 #: Punctuation around a candidate that isn't part of it.
 _OPEN, _CLOSE = r"^[\[({<\"'`,;:.!?]++", r"[\])}>\"'`,;:.!?]+$"
-ROUNDS = 3
+#: Characters looked at for the words beside an instance; where they don't hold two whole words, more are.
+SIGHT = 80
 #: A pattern counts from so many different instances; it is confident, and an instance accepted, from these scores.
 MIN_INSTANCES, CONFIDENT, ACCEPTED = 5, 0.7, 0.85
 #: What an instance's score is worth if no seed of the kind has its shape.
@@ -74,10 +78,17 @@ def _matches(text: Column, pattern: str, kind: str, valid) -> Column:
     return F.aggregate(parts, start, step, lambda a: a["spans"])
 
 
-def _word(part: Column, last: bool) -> Column:
-    """The last or first word of a stretch of text, in lower case and without punctuation; '' where there is none."""
-    words = F.array_remove(F.split(F.regexp_replace(F.lower(part), r"[^\p{L}=:@#]+", " "), " "), "")
-    return F.coalesce(F.try_element_at(words, F.lit(-1)) if last else F.get(words, F.lit(0)), F.lit(""))
+def _words(part: Column) -> Column:
+    """The words of a stretch of text, in lower case and without punctuation."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(part), r"[^\p{L}=:@#]+", " "), " "), "")
+
+
+def _patterns(left: Column, right: Column) -> Column:
+    """The lexical patterns around an instance, from the words (up to two) on its left and on its right."""
+    one = F.array(F.when(F.size(left) > 0, F.concat(F.lit("<"), F.element_at(left, -1))), F.when(F.size(right) > 0, F.concat(F.lit(">"), F.get(right, 0))))
+    two = F.array(F.when(F.size(left) > 1, F.concat(F.lit("<"), F.array_join(left, " "))), F.when(F.size(right) > 1, F.concat(F.lit(">"), F.array_join(right, " "))))
+    both = F.array(F.when((F.size(left) > 0) & (F.size(right) > 0), F.concat(F.lit("<"), F.element_at(left, -1), F.lit(">"), F.get(right, 0))))
+    return F.array_compact(F.concat(one, two, both))
 
 
 def _shape(value: Column) -> Column:
@@ -86,21 +97,33 @@ def _shape(value: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, near): the strict spans, and both these and the candidate tokens with the words beside them."""
+    """(doc_id, h, base, near): a hash of the text, the strict spans, and both these and the candidate tokens with the words beside them."""
     raw = F.coalesce(F.col("text"), F.lit(""))
     text = F.when(F.contains(raw, F.lit(_MARK)), F.translate(raw, _MARK, _OTHER)).otherwise(raw)
     none = F.array().cast(_SPAN)
     has = {k: F.contains(F.col("t"), F.lit(h)) if len(h) == 1 else F.col("t").rlike(h) for k, h in _HINTS.items()}
     # texts that hold no digit, no at sign and no spelled-out address have neither spans nor candidates
-    rows = docs.select("doc_id", F.when(raw.rlike("[0-9@]") | raw.rlike(_AT), text).alias("t"))
+    rows = docs.select("doc_id", F.xxhash64(raw).alias("h"), F.when(raw.rlike("[0-9@]") | raw.rlike(_AT), text).alias("t"))
     base = F.concat(*[F.when(has[k], _matches(F.col("t"), KINDS[k], k, lambda x, k=k: _valid(k, x))).otherwise(none) for k in ORDER])
     rows = rows.withColumn("base", F.when(F.col("t").isNull(), none).otherwise(base))
 
+    def words_by(at: Column, end: bool) -> Column:
+        """The two words that end (or begin) at a place: from SIGHT characters, from more where these hold no two whole ones."""
+        def seen(n: int) -> Column:
+            return _words(F.substring(F.col("t"), F.greatest(at - n + 1, F.lit(1)), F.least(at, F.lit(n))) if end else F.substring(F.col("t"), at + 1, n))
+
+        def enough(words: Column, n: int) -> Column:
+            return (F.size(words) > 2) | ((at if end else F.char_length("t") - at) <= n)
+
+        whole = _words(F.substring(F.col("t"), F.lit(1), at) if end else F.substring(F.col("t"), at + 1, F.char_length("t")))
+        more = let(seen(50 * SIGHT), lambda w: F.when(enough(w, 50 * SIGHT), w).otherwise(whole))
+        found = let(seen(SIGHT), lambda w: F.when(enough(w, SIGHT), w).otherwise(more))
+        return let(found, lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)) if end else F.slice(w, 1, 2))
+
     def beside(spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(
             s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _shape(s["value"]).alias("shape"), F.xxhash64(s["value"]).alias("value"),
-            _word(F.substring(F.col("t"), F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))), True).alias("left"),
-            _word(F.substring(F.col("t"), s["end"] + 1, F.lit(40)), False).alias("right")))
+            words_by(s["start"], True).alias("left"), words_by(s["end"], False).alias("right")))
 
     def trimmed(s: Column) -> Column:
         bare = let(F.regexp_replace(s["value"], _OPEN, ""), lambda x: F.struct(x.alias("x"), F.regexp_replace(x, _CLOSE, "").alias("y")))
@@ -110,59 +133,65 @@ def found(docs: DataFrame) -> DataFrame:
     every = F.concat(*[_matches(F.col("t"), p, "", lambda x: F.char_length(x) >= 5) for p in (CANDIDATE, RUN)], F.when(F.col("t").rlike(_AT), _matches(F.col("t"), SPELLED, "", lambda x: F.lit(True))).otherwise(none))
     tokens = F.filter(F.transform(every, trimmed), lambda s: F.char_length(s["value"]) >= 5)
     free = F.filter(tokens, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.select("doc_id", F.transform("base", lambda b: b.dropFields("value")).alias("base"), F.when(F.col("t").isNotNull(), beside(F.concat("base", free))).alias("near"))
+    return rows.select("doc_id", "h", F.transform("base", lambda b: b.dropFields("value")).alias("base"), F.when(F.col("t").isNotNull(), beside(F.concat("base", free))).alias("near"))
 
 
-def bootstrap(near: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Accepted candidates (doc_id, kind, start, end) of near: (doc_id, kind or '', start, end, shape, value, left, right).
+def bootstrap(near: DataFrame) -> DataFrame:
+    """Accepted candidates (doc_id, h, kind, start, end) of near: (doc_id, h, kind or '', start, end, shape, value, left, right).
 
-    A pattern is a word beside an instance, with its side. Every candidate can join any kind. Scores: pattern = mean
-    score of its different instances, from MIN_INSTANCES on; instance = 1 minus the product of 1 - score over its
-    confident patterns, times UNSEEN if no seed of the kind has its shape. Seeds score 1 throughout. Of candidates
-    that overlap the best one is accepted, on a tie the longest.
+    Every candidate can join any kind. A pattern is worth the share of its different instances that are known, from
+    MIN_INSTANCES on: seeds, and what was accepted. An instance's score is 1 minus the product of 1 - worth over its
+    confident patterns, times UNSEEN if no seed of the kind has its shape; from ACCEPTED on it is known, and stays so.
+    Rounds end when nothing new is known. Of candidates that overlap the best one is taken, on a tie the longest.
     """
     near = written(near, "near")
     seeds = near.where("kind <> ''")
     shapes = written(seeds.select("kind", "shape").distinct(), "shapes")
     kinds = F.explode(F.array(*map(F.lit, ORDER))).alias("kind")
     candidates = near.where("kind = ''").drop("kind").select("*", kinds).join(shapes.withColumn("seen", F.lit(True)), ["kind", "shape"], "left").withColumn("worth", F.when(F.col("seen"), 1.0).otherwise(UNSEEN)).drop("seen")
-    sides = F.explode(F.filter(F.array(F.concat(F.lit("<"), F.col("left")), F.concat(F.lit(">"), F.col("right"))), lambda p: F.length(p) > 1)).alias("pattern")
+    sides = F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern")
     edges = seeds.select("kind", "value", F.lit(1.0).alias("worth"), sides).withColumn("seed", F.lit(True)).unionByName(candidates.select("kind", "value", "worth", sides).withColumn("seed", F.lit(False)))
     edges = written(edges.groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed"), F.max("worth").alias("worth")), "edges")
-    scores = edges.select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("kind", "value").agg(F.max("score").alias("score"))
-    for _ in range(rounds):
-        patterns = edges.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(F.avg("score").alias("p"), F.count("*").alias("n")).where((F.col("n") >= MIN_INSTANCES) & (F.col("p") >= CONFIDENT))
-        told = edges.where("not seed").join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((F.max("worth") * (1 - F.product(1 - F.col("p")))).alias("told"))
-        scores = written(
-            edges.groupBy("kind", "value").agg(F.max("seed").alias("seed")).join(told, ["kind", "value"], "left")
-            .select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("told", F.lit(0.0))).alias("score")), "scores",
-        )
-    good = scores.where(F.col("score") >= ACCEPTED)
-    spans = candidates.join(good, ["kind", "value"])
+    known, count, scores = edges.where("seed").select("kind", "value").distinct(), 0, None
+    while True:
+        marked = edges.join(known.withColumn("known", F.lit(True)), ["kind", "value"], "left")
+        patterns = marked.groupBy("kind", "pattern").agg(F.avg(F.when(F.col("known"), 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("n")).where((F.col("n") >= MIN_INSTANCES) & (F.col("p") >= CONFIDENT))
+        # written, so that the rows of a frequent pattern can be split in the join
+        told = edges.where("not seed").join(written(patterns, "patterns"), ["kind", "pattern"]).groupBy("kind", "value").agg((F.max("worth") * (1 - F.product(1 - F.col("p")))).alias("score"))
+        told = told.where(F.col("score") >= ACCEPTED)
+        if scores is not None:
+            told = told.unionByName(scores).groupBy("kind", "value").agg(F.max("score").alias("score"))
+        scores = written(told, "accepted")
+        if (now := scores.count()) == count:
+            break
+        count = now
+        known = edges.where("seed").select("kind", "value").unionByName(scores.select("kind", "value")).distinct()
+    spans = candidates.join(scores, ["kind", "value"])
     # a token that two kinds claim goes to the better one, on a tie to the first in order
     rank = F.struct(-F.col("score"), F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind")))
-    best = spans.groupBy("doc_id", "start", "end").agg(F.min(rank).alias("rank"), F.min_by("kind", rank).alias("kind"))
+    best = spans.groupBy("doc_id", "h", "start", "end").agg(F.min(rank).alias("rank"), F.min_by("kind", rank).alias("kind"))
     order = F.struct(F.col("rank.col1").alias("a"), (F.col("start") - F.col("end")).alias("b"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("kind").alias("kind"))
-    rows = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("x"))
+    rows = best.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(order)).alias("x"))
     free = lambda a, s: ~F.exists(a, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     none = F.filter("x", lambda s: F.lit(False))
     kept = F.aggregate("x", none, lambda a, s: F.when(free(a, s), F.concat(a, F.array(s))).otherwise(a))
-    return rows.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.kind", "s.start", "s.end")
+    return rows.select("doc_id", "h", F.explode(kept).alias("s")).select("doc_id", "h", "s.kind", "s.start", "s.end")
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every document.
 
     n_* count strict spans; spans lists all, kind:start:end in code points, end exclusive, by kind and start. A null
-    text has no spans. docs needs doc_id, unique and not null, and text.
+    text has no spans. docs needs doc_id, of any type, and text; other columns are ignored. A row for each of docs: rows
+    with one doc_id, or none, have the spans of their own texts.
     """
     rows = written(found(docs), "found")
-    near = rows.where("size(near) > 0").select("doc_id", F.explode("near").alias("s")).select("doc_id", "s.*")
-    added = bootstrap(near).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    near = rows.where("size(near) > 0").select("doc_id", "h", F.explode("near").alias("s")).select("doc_id", "h", "s.*")
+    added = bootstrap(near).groupBy(F.col("doc_id").alias("id"), F.col("h").alias("h2")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     listed = lambda spans, k: F.array_join(F.transform(F.array_sort(F.filter(spans, lambda s: s["kind"] == k)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     text = lambda spans: F.array_join(F.filter(F.array(*[listed(spans, k) for k in ORDER]), lambda x: x != ""), ",")
     more = F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    return rows.select("doc_id", "base").join(added, "doc_id", "left").select(
+    return rows.select("doc_id", "h", "base").join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")), "left").select(
         "doc_id", *[F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ORDER],  # noqa: B023
         F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.concat("base", more)).alias("spans"), F.size(more).alias("n_added"),
     )
