@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,23 +25,15 @@ MIN_GUARDED = 3
 _BEFORE, _AFTER = r"(?<![^\W_])(?<!\d[.,])", r"(?![^\W_])(?![.,]\d)"
 
 
-def _canonical(whole: str, part: str = "") -> str:
-    whole, part = re.sub("[.,]", "", whole).lstrip("0") or "0", part.rstrip("0")
-    return f"{whole}.{part}" if part else whole
-
-
 def text_number_forms(text: str) -> set[str]:
     """L1. Normal forms of a number as text: both readings of '48.000'; none for anything but a number."""
-    s = text.strip()
-    if not re.fullmatch(NUMBER, s):
+    if not re.fullmatch(NUMBER, text.strip()):
         return set()
-    s = re.sub("[  ]", "", s)
-    forms = set()
-    if m := re.fullmatch(r"(\d+(?:[.,]\d{3})*)(?:[.,](\d+))?", s):
-        forms.add(_canonical(m[1], m[2] or ""))
-    whole, separator, part = re.match(r"(.*?)(?:([.,])(\d+))?$", s).groups()
-    forms.add(_canonical(whole, part or "") if separator else _canonical(s))
-    return forms
+    whole, *later = re.split("[.,]", "".join(c for c in text if c.isdigit() or c in ".,"))
+    readings = [(whole, "")] if not later else [("".join([whole, *later[:-1]]), later[-1])]
+    if all(len(p) == 3 for p in later):
+        readings.append(("".join([whole, *later]), ""))  # every mark parts thousands
+    return {".".join(filter(None, (w.lstrip("0") or "0", part.rstrip("0")))) for w, part in readings}
 
 
 def token_forms(token: str, most_digits: int | None = None) -> set[str]:
@@ -50,17 +43,12 @@ def token_forms(token: str, most_digits: int | None = None) -> set[str]:
     """
     groups = re.split(r"[  .,](?=\d{3}(?!\d))", token)
     forms = text_number_forms(token)
-    for a in range(len(groups)):
-        digits = 0
-        for b in range(a + 1, len(groups) + 1):
-            # zeros in front and at the end of a decimal part don't count in a form
-            part = groups[b - 1] if digits else groups[b - 1].lstrip("0")
-            digits += len(re.split("[.,]", part)[0])
-            if most_digits is not None and digits > most_digits:
+    for k, first in enumerate(groups):
+        # what follows a group of zeros has the forms of the runs that begin there
+        for run in accumulate(groups[k:] if first.strip("0") else [first]):
+            if most_digits is not None and len(re.split("[.,]", run.lstrip("0"))[0]) > most_digits:
                 break
-            forms |= text_number_forms("".join(groups[a:b]))
-            if not digits and re.fullmatch("0+", groups[a]):
-                break  # longer runs have the forms of those that begin at the next group
+            forms |= text_number_forms(run)
     return forms
 
 
@@ -131,89 +119,129 @@ def find_protected(texts: DataFrame, index: DataFrame, min_digits: int = 4, key:
     return tokens.join(index, ["role", "form"], "left_semi").select(key, "role", "start", "end").distinct()
 
 
-def _model_parts(length: int, spans) -> list[tuple[int, int]]:
-    parts, at = [], 0
-    for a, b in sorted((s["start"], s["end"]) for s in spans if s["source"] == "gateway"):
-        if a > at:
-            parts.append((at, a))
-        at = max(at, b)
-    return [*parts, (at, length)] if at < length else parts
-
-
-def answer_findings(text: str, spans, protected) -> list[tuple[int, int, str]]:
-    """L5. What to redact: matches that touch text the model wrote, merged where they overlap, the first kind kept."""
-    parts = _model_parts(len(text), spans)
-    touches = lambda a, b: any(a < y and x < b for x, y in parts)
-    found = {(x + a, x + b, k) for x, y in parts for a, b, k in find_spans(text[x:y])}
-    found |= {f for f in find_spans(text) if touches(f[0], f[1])}
-    found |= {(p["start"], p["end"], "protected value") for p in protected if touches(p["start"], p["end"])}
-    found |= {(m.start(), m.end(), "placeholder") for m in re.finditer(PLACEHOLDER, text) if touches(*m.span())}
-    out: list[tuple[int, int, str]] = []
-    for a, b, k in sorted(found):
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2])
-        else:
-            out.append((a, b, k))
-    return out
+def _by_model(text: str, spans) -> bytearray:
+    """A mark per character: 1 where the model wrote it, 0 where the gateway put it in."""
+    marks = bytearray(b"\x01" * len(text))
+    for s in spans:
+        if s["source"] == "gateway":
+            marks[s["start"] : s["end"]] = bytes(max(0, min(s["end"], len(text)) - s["start"]))
+    return marks
+
+
+def cleaned(text: str, spans, protected) -> tuple[str, list[str], int]:
+    """L5. (text, kinds found, placeholders marked): whatever touches text of the model and is a secret, personal data or
+    a protected value is redacted; placeholders that the model left outside of these are marked.
+
+    Stretches of the model's are looked at alone and within the whole, so that a value put in can neither complete nor
+    hide a match. Matches that overlap go as one, named for the first.
+    """
+    marks = _by_model(text, spans)
+    stretches = [m.span() for m in re.finditer(b"\x01+", marks)]
+    hits = [(x + a, x + b, k) for x, y in stretches for a, b, k in find_spans(text[x:y])]
+    hits += find_spans(text) if stretches != [(0, len(text))] else []
+    hits += [(p["start"], p["end"], "protected value") for p in protected]
+    gone, kinds = bytearray(len(text)), []
+    starts = set()
+    for a, b, kind in sorted(h for h in hits if marks.find(1, h[0], h[1]) >= 0):
+        if gone.find(1, a, b) < 0:
+            kinds.append(kind)
+            starts.add(a)
+        gone[a:b] = b"\x01" * (b - a)
+    edits, left = [], 0
+    for m in re.finditer(b"\x01+", gone):
+        cuts = [m.start(), *(k for k in range(m.start() + 1, m.end()) if k in starts), m.end()]
+        edits += [(x, y, REDACTED) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    for x, y in stretches:
+        for part in re.finditer(b"\x00+", gone[x:y]):
+            for m in re.finditer(PLACEHOLDER, text[x + part.start() : x + part.end()]):
+                edits.append((x + part.start() + m.start(), x + part.start() + m.end(), MARKER))
+                left += 1
+    return rewritten(text, sorted(edits)), sorted(set(kinds)), left
 
 
 def filter_answers(answers: DataFrame, index: DataFrame | None, mode: str = "redact", min_digits: int = 4) -> DataFrame:
     """L5. Adds filtered, verdict and kinds to answers (id, role, text, spans array<struct<start,end,source,binding>>).
 
-    Without an index every answer is blocked. Mode block empties an answer that holds a finding; left-over
-    placeholders are marked but don't count as one.
+    Without an index every answer is blocked. Mode block empties an answer that holds a finding; one with nothing but
+    left-over placeholders, which are marked, has the verdict redact in either mode.
     """
     if index is None:
         return answers.withColumns({"filtered": F.lit(""), "verdict": F.lit("block"), "kinds": F.array(F.lit("index missing"))})
     hits = find_protected(answers, index, min_digits).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("_p"))
 
-    @F.pandas_udf("struct<text:string,kinds:array<string>>")
+    @F.pandas_udf("struct<text:string,kinds:array<string>,left:int>")
     def clean(text: pd.Series, spans: pd.Series, protected: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, s, p in zip(text, spans, protected, strict=True):
-            found = answer_findings(t or "", s if s is not None else [], p if p is not None else [])
-            rows.append((rewritten(t or "", [(a, b, MARKER if k == "placeholder" else REDACTED) for a, b, k in found]), sorted({k for _, _, k in found if k != "placeholder"})))
-        return pd.DataFrame(rows, columns=["text", "kinds"])
+        none = lambda x: x if x is not None else []
+        return pd.DataFrame([cleaned(t or "", none(s), none(p)) for t, s, p in zip(text, spans, protected, strict=True)], columns=["text", "kinds", "left"])
 
     rows = answers.join(hits, "id", "left").withColumn("_c", clean("text", "spans", "_p"))
     caught = F.size("_c.kinds") > 0
-    return rows.select(*answers.columns, F.when(caught & F.lit(mode == "block"), "").otherwise(F.col("_c.text")).alias("filtered"), F.when(caught, mode).otherwise("allow").alias("verdict"), F.col("_c.kinds").alias("kinds"))
+    return rows.select(*answers.columns, F.when(caught & F.lit(mode == "block"), "").otherwise(F.col("_c.text")).alias("filtered"), F.when(caught, mode).when(F.col("_c.left") > 0, "redact").otherwise("allow").alias("verdict"), F.col("_c.kinds").alias("kinds"))
+
+
+def filter_arguments(calls: DataFrame, approved: DataFrame | None = None, index: DataFrame | None = None, min_digits: int = 4) -> DataFrame:
+    """L10. Adds filtered and changed to calls (call_id, arguments, and role if there is an index): in every string, key and
+    number of the JSON what is a secret, personal data, or a number that the role's index protects is redacted, and
+    placeholders are marked; a changed number becomes text. approved: call_id, args left as they are."""
+
+    def parts_of(value):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield k
+                yield from parts_of(v)
+        elif isinstance(value, list):
+            for v in value:
+                yield from parts_of(v)
+        elif isinstance(value, str):
+            yield value
+        elif isinstance(value, int | float) and not isinstance(value, bool):
+            yield str(value)
+
+    def parsed(text: str | None):
+        try:
+            return json.loads(text)
+        except (TypeError, ValueError):
+            return text
 
+    @F.pandas_udf("array<string>")
+    def texts(arguments: pd.Series) -> pd.Series:
+        return pd.Series([sorted({p for p in parts_of(parsed(a)) if re.search("[0-9]", p)}) for a in arguments], dtype=object)
 
-def filter_arguments(calls: DataFrame, approved: DataFrame | None = None) -> DataFrame:
-    """L10. Adds filtered and changed to calls (call_id, arguments): every string, key and number of the JSON that holds
-    a secret or personal data is redacted; a changed number becomes text. approved: call_id, args left as they are."""
+    hits = calls.select("call_id", F.lit(None).cast("map<string,array<struct<start:int,end:int>>>").alias("_p")).limit(0)
+    if index is not None:
+        parts = calls.select("call_id", "role", F.explode(texts("arguments")).alias("text")).withColumn("id", F.struct("call_id", "text"))
+        found = find_protected(parts, index, min_digits).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("p"))
+        hits = found.groupBy("id.call_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("id.text"), "p"))).alias("_p"))
 
     @F.pandas_udf("struct<text:string,changed:boolean>")
-    def clean(arguments: pd.Series, keep: pd.Series) -> pd.DataFrame:
-        def one(text: str) -> str:
-            return rewritten(text, [(a, b, REDACTED) for a, b, _ in find_spans(text)])
-
-        def walk(x):
+    def clean(arguments: pd.Series, keep: pd.Series, protected: pd.Series) -> pd.DataFrame:
+        def walk(x, known):
             if isinstance(x, dict):
-                return {one(k): walk(v) for k, v in x.items()}
+                return {cleaned(k, [], known.get(k, []))[0]: walk(v, known) for k, v in x.items()}
             if isinstance(x, list):
-                return [walk(v) for v in x]
+                return [walk(v, known) for v in x]
             if isinstance(x, str):
-                return one(x)
+                return cleaned(x, [], known.get(x, []))[0]
             if isinstance(x, int | float) and not isinstance(x, bool):
-                return x if one(json.dumps(x)) == json.dumps(x) else one(json.dumps(x))
+                shown = cleaned(str(x), [], known.get(str(x), []))[0]
+                return x if shown == str(x) else shown
             return x
 
         rows = []
-        for a, k in zip(arguments, keep, strict=True):
-            try:
-                value = json.loads(a)
-            except (TypeError, ValueError):
-                rows.append((None if a is None else one(a), a is not None and one(a) != a))
-                continue
-            spared = set(k) if k is not None else set()
-            new = {x: v if x in spared else walk({x: v}).popitem()[1] for x, v in value.items()} if isinstance(value, dict) and spared else walk(value)
-            rows.append((json.dumps(new, ensure_ascii=False), new != value))
+        for a, k, p in zip(arguments, keep, protected, strict=True):
+            value, spared, known = parsed(a), set(k) if k is not None else set(), dict(p) if p is not None else {}
+            if isinstance(value, dict):
+                new = {}
+                for x, v in value.items():
+                    new |= {x: v} if x in spared else walk({x: v}, known)
+            else:
+                new = walk(value, known)
+            rows.append((new if value is a or a is None else json.dumps(new, ensure_ascii=False), new != value))
         return pd.DataFrame(rows, columns=["text", "changed"])
 
     rows = calls.join(approved, "call_id", "left") if approved is not None else calls.withColumn("args", F.lit(None).cast("array<string>"))
-    return rows.withColumn("_c", clean("arguments", "args")).select(*calls.columns, F.col("_c.text").alias("filtered"), F.col("_c.changed").alias("changed"))
+    rows = rows.join(hits, "call_id", "left").withColumn("_c", clean("arguments", "args", "_p"))
+    return rows.select(*calls.columns, F.col("_c.text").alias("filtered"), F.col("_c.changed").alias("changed"))
 
 
 def value_forms(values: DataFrame) -> DataFrame:
