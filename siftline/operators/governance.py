@@ -5,10 +5,16 @@ All decisions fail closed: a missing grant denies, an unknown label is sensitive
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .scan import redacted_text
 
 #: Labels from the freest to the strictest.
 LABELS = ("public", "internal", "sensitive")
@@ -108,39 +114,108 @@ def disclosure(bindings: DataFrame) -> DataFrame:
     return bindings.withColumn("reason", failing).withColumn("disclosed", F.col("reason").isNull())
 
 
-def folded_name(name: Column) -> Column:
-    """A name without case and punctuation, for spotting look-alike argument names."""
-    return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
+def _folded(name: str) -> str:
+    """A name without case, width and punctuation, for spotting look-alike argument names."""
+    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", name).casefold()))
+
+
+@F.pandas_udf(T.StringType())
+def folded_name(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: None if x is None else _folded(x))
+
+
+#: Fixed value: JSON arguments nested deeper than this are malformed.
+MOST_DEPTH = 32
+_TEXTS = lambda *names: [T.StructField(n, T.StringType()) for n in names]
+_DECODED = T.StructType([
+    T.StructField("ok", T.BooleanType()), T.StructField("leaves", T.ArrayType(T.StructType(_TEXTS("arg", "text")))),
+    T.StructField("top", T.ArrayType(T.StructType([*_TEXTS("arg", "folded", "kind", "text"), T.StructField("number", T.DoubleType())]))),
+])
+
+
+@F.pandas_udf(_DECODED)
+def decoded_arguments(arguments: pd.Series) -> pd.DataFrame:
+    """A call's JSON object with escapes resolved. leaves: each key, string and number with the argument it lies in (none
+    for the arguments' own names); top: each argument's folded name, kind (text, number, other) and value. Not ok: no
+    object, or one nested too deep. Blank arguments are an empty object."""
+
+    def walk(value, arg: str, depth: int, leaves: list) -> bool:
+        if isinstance(value, dict | list):
+            if depth > MOST_DEPTH:
+                return False
+            inner = value.items() if isinstance(value, dict) else ((None, x) for x in value)
+            for k, x in inner:
+                if k is not None:
+                    leaves.append({"arg": arg, "text": k})
+                if not walk(x, arg, depth + 1, leaves):
+                    return False
+        elif isinstance(value, str | int | float) and not isinstance(value, bool):
+            leaves.append({"arg": arg, "text": str(value)})
+        return True
+
+    def one(text: str | None):
+        if text is not None and not text.strip():
+            return True, [], []
+        try:
+            found = json.loads(text)
+        except (TypeError, ValueError, RecursionError):
+            return False, [], []
+        if not isinstance(found, dict):
+            return False, [], []
+        leaves, top = [], []
+        for k, v in found.items():
+            leaves.append({"arg": None, "text": k})
+            number = float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
+            kind = "text" if isinstance(v, str) else "other" if number is None else "number"
+            top.append({"arg": k, "folded": _folded(k), "kind": kind, "text": v if kind == "text" else None, "number": number})
+            if not walk(v, k, 2, leaves):
+                return False, [], []
+        return True, leaves, top
+
+    return pd.DataFrame([one(t) for t in arguments], columns=["ok", "leaves", "top"])
 
 
 def authorize_calls(calls: DataFrame, listed: DataFrame, rules: DataFrame, bindings: DataFrame, tool_labels: DataFrame) -> DataFrame:
     """G8, G9. (call_id, verdict, rule): the first rule that a client's tool call breaks.
 
     calls: call_id, request_id, role, tool, arguments (a JSON text); listed: role, tool; rules: role, tool, arg, rule
-    (allow_pattern, deny_pattern, max), value; bindings: request_id, name, label, disclosed, value; tool_labels: role,
-    tool, max_label. Order: not_listed, malformed_arguments, then per rule argument_name, egress, its own check, and at
-    last label egress of placeholders and of disclosed values that were copied.
+    (allow_pattern, deny_pattern, max), value; bindings: request_id, name, status, label, disclosed, value; tool_labels:
+    role, tool, max_label. Order: not_listed, malformed_arguments, argument_name, then per ruled argument egress of a
+    placeholder and its own checks, and at last egress of query results: a placeholder anywhere, or a disclosed value
+    that was copied, needs a resolved binding with a label within the tool's max_label. Without one nothing may pass.
     """
-    args = F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>")
-    rows = calls.withColumn("args", args).join(listed.select("role", "tool", F.lit(True).alias("ok")), ["role", "tool"], "left")
-    base = rows.select("call_id", F.when(F.col("ok").isNull(), F.struct(F.lit(0).alias("o"), F.lit("not_listed").alias("rule"))).when(F.col("args").isNull(), F.struct(F.lit(1).alias("o"), F.lit("malformed_arguments").alias("rule"))).alias("f"))
-    each = rows.join(rules, ["role", "tool"]).where("args is not null")
-    text = F.try_variant_get(F.get(F.map_values(F.map_filter("args", lambda k, _: k == F.col("arg"))), F.lit(0)), "$", "string")
-    lookalike = F.exists(F.map_keys("args"), lambda k: (k != F.col("arg")) & (folded_name(k) == folded_name(F.col("arg"))))
-    number = F.try_variant_get(F.get(F.map_values(F.map_filter("args", lambda k, _: k == F.col("arg"))), F.lit(0)), "$", "double")
+    rows = calls.withColumn("d", decoded_arguments("arguments")).join(listed.select("role", "tool", F.lit(True).alias("ok")), ["role", "tool"], "left")
+    rows = rows.select("call_id", "request_id", "role", "tool", "ok", F.col("d.ok").alias("fine"), "d.leaves", "d.top")
+    flaw = lambda order, rule: F.struct(F.lit(order).alias("o"), rule.alias("rule"))
+    base = rows.select("call_id", F.when(F.col("ok").isNull(), flaw(0, F.lit("not_listed"))).when(~F.col("fine"), flaw(1, F.lit("malformed_arguments"))).alias("f"))
+    each = rows.where("ok and fine").join(rules.withColumn("folded", folded_name("arg")), ["role", "tool"])
+    lookalike = F.exists("top", lambda t: (t["arg"] != F.col("arg")) & (t["folded"] == F.col("folded")))
+    v = F.get(F.filter("top", lambda t: t["arg"] == F.col("arg")), F.lit(0))
+    there, is_text = v.isNotNull(), F.coalesce(v["kind"] == "text", F.lit(False))
+    placed = F.exists("leaves", lambda x: F.coalesce(x["arg"] == F.col("arg"), F.lit(False)) & x["text"].rlike(PLACEHOLDER))
+    matches = F.coalesce(F.rlike(v["text"], F.concat(F.lit("^(?:"), F.col("value"), F.lit(r")\z"))), F.lit(False))
+    limit = F.col("value").try_cast("double")
+    within = F.coalesce((v["kind"] == "number") & ~F.isnan(v["number"]) & (F.abs(v["number"]) < float("inf")) & (v["number"] <= limit), F.lit(False))
     broken = (
-        F.when(lookalike, "argument_name").when(F.coalesce(text.rlike(PLACEHOLDER), F.lit(False)), "egress")
-        .when((F.col("rule") == "allow_pattern") & ~F.coalesce(F.rlike(text, F.concat(F.lit("^(?:"), F.col("value"), F.lit(r")\z"))), F.lit(False)), "allow_pattern")
-        .when((F.col("rule") == "deny_pattern") & F.coalesce(F.rlike(text, F.col("value")), F.lit(False)), "deny_pattern")
-        .when((F.col("rule") == "max") & ~F.coalesce(number <= F.col("value").try_cast("double"), F.lit(False)), "max")
+        F.when(lookalike, flaw(2, F.lit("argument_name"))).when(placed, flaw(3, F.lit("egress")))
+        .when((F.col("rule") == "allow_pattern") & ~(is_text & matches), flaw(4, F.lit("allow_pattern")))
+        .when((F.col("rule") == "deny_pattern") & there & ~(is_text & ~F.coalesce(F.rlike(v["text"], F.col("value")), F.lit(True))), flaw(5, F.lit("deny_pattern")))
+        .when((F.col("rule") == "max") & there & ~within, flaw(6, F.lit("max")))
     )
-    ruled = each.withColumn("b", broken).where("b is not null").select("call_id", F.struct(F.lit(2).alias("o"), F.col("b").alias("rule")).alias("f"))
-    limit = rows.join(tool_labels, ["role", "tool"], "left").withColumn("most", F.when(F.col("max_label").isNull(), 0).otherwise(label_rank(F.col("max_label"))))
-    held = limit.select("call_id", "request_id", "arguments", "most").join(bindings, "request_id")
-    quoted = lambda v: F.concat(F.lit(r"(?i)(?<![0-9A-Za-z])\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![0-9A-Za-z])"))
-    sent = F.contains("arguments", F.col("name")) | (F.col("disclosed") & F.coalesce(F.rlike("arguments", quoted(F.col("value").cast("string"))), F.lit(False)))
-    egress = held.where(sent & (label_rank(F.col("label")) > F.col("most"))).select("call_id", F.struct(F.lit(3).alias("o"), F.lit("egress").alias("rule")).alias("f"))
-    first = reduce(DataFrame.unionByName, [base.where("f is not null"), ruled, egress]).groupBy("call_id").agg(F.min("f").alias("f"))
+    ruled = each.select("call_id", broken.alias("f"))
+    sent = rows.where("ok and fine").select("call_id", "request_id", "role", "tool", "leaves")
+    named = sent.select("call_id", "request_id", "role", "tool", F.explode(F.array_distinct(F.flatten(F.transform("leaves", lambda x: F.regexp_extract_all(x["text"], F.lit(rf"({PLACEHOLDER})"), F.lit(1)))))).alias("name"))
+    text = F.trim(F.col("value").cast("string"))
+    # a whole number of a floating-point column may be written without its '.0'
+    shown = F.regexp_replace(text, r"^(-?[0-9]+)\.0$", "$1(?:\\\\.0)?")
+    quoted = F.when(text.rlike(r"^-?[0-9]+\.0$"), shown).otherwise(F.concat(F.lit(r"\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E")))
+    token = F.concat(F.lit(r"(?iu)(?<![0-9A-Za-z])"), quoted, F.lit(r"(?![0-9A-Za-z])"))
+    held = bindings.where("disclosed and trim(cast(value as string)) <> ''").select("request_id", "name", token.alias("token"))
+    copied = sent.join(held, "request_id").where(F.exists("leaves", lambda x: F.rlike(x["text"], F.col("token")))).select("call_id", "request_id", "role", "tool", "name")
+    carried = named.unionByName(copied).join(bindings.select("request_id", "name", "status", "label"), ["request_id", "name"], "left").join(tool_labels, ["role", "tool"], "left")
+    may = (F.col("status") == "resolved") & F.col("label").isin(*LABELS) & F.col("max_label").isin(*LABELS) & (label_rank(F.col("label")) <= label_rank(F.col("max_label")))
+    egress = carried.where(~F.coalesce(may, F.lit(False))).select("call_id", flaw(7, F.lit("egress")).alias("f"))
+    first = reduce(DataFrame.unionByName, [base, ruled, egress]).where("f is not null").groupBy("call_id").agg(F.min("f").alias("f"))
     return calls.select("call_id").join(first, "call_id", "left").select("call_id", F.when(F.col("f").isNull(), "allow").otherwise("deny").alias("verdict"), "f.rule")
 
 
@@ -153,11 +228,14 @@ def approved_arguments(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def resolve_models(requests: DataFrame, allowed: DataFrame, default: str | None = None) -> DataFrame:
-    """G10. Adds resolved and verdict: a listed model as it is; another is replaced by the default, if given, or blocked."""
+    """G10. Adds resolved and verdict: a listed model as it is; another is replaced by the default, if one is given that is
+    itself listed (verdict log), or blocked."""
+    if default is not None and allowed.where(F.col("model") == default).isEmpty():
+        default = None
     rows = requests.join(allowed.select("model", F.lit(True).alias("listed")).distinct(), "model", "left")
     return rows.withColumns({
         "resolved": F.when(F.col("listed"), F.col("model")).otherwise(F.lit(default)),
-        "verdict": F.when(F.col("listed"), "allow").otherwise("block" if default is None else "redact"),
+        "verdict": F.when(F.col("listed"), "allow").otherwise("block" if default is None else "log"),
     }).drop("listed")
 
 
@@ -193,8 +271,10 @@ def unsafe_imports(imports: DataFrame, denied_prefixes: list[str], denied_names:
 
 
 def scrub_sql(sql: Column) -> Column:
-    """G13. Quoted strings and runs of digits become [VALUE]."""
-    return F.regexp_replace(F.regexp_replace(sql, r"'(?:[^']|'')*'", "[VALUE]"), r"\d+(?:\.\d+)?", "[VALUE]")
+    """G13. Quoted strings (an unclosed one to the end), and words of hex digits with a digit, become [VALUE]; secrets and
+    personal data that are left are redacted (T6)."""
+    shown = F.regexp_replace(sql, r"'(?:[^']|'')*+'?|\"(?:[^\"]|\"\")*+\"?|[0-9A-Fa-f]*[0-9][0-9A-Fa-f]*", "[VALUE]")
+    return redacted_text(shown)
 
 
 def query_requests(calls: DataFrame, cap: int) -> DataFrame:
