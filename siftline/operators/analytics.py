@@ -238,6 +238,11 @@ def recent_samples(samples: DataFrame, n: int = 1000) -> DataFrame:
     return nearest_rank(newest, ["step"], "ms").orderBy("step")
 
 
+def blocked_models(states: DataFrame) -> DataFrame:
+    """A18. One row (models, blocked) of the models' pin states (name, status; see G11): all but ok and unpinned block."""
+    return states.agg(F.count("*").alias("models"), F.count_if(~F.col("status").isin("ok", "unpinned")).alias("blocked"))
+
+
 def control_states(controls: DataFrame, disabled: DataFrame) -> DataFrame:
     """A18. Adds status: off if the control or a control above it is disabled, else on. controls: control, value, source."""
     c, d = controls.alias("c"), disabled.select(F.col("control").alias("d")).distinct()

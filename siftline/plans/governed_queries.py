@@ -68,8 +68,8 @@ def l3_index(s: SparkSession, d: str) -> DataFrame:
 
 
 def l4_numbers(s: SparkSession, d: str) -> DataFrame:
-    """Numbers of documents that are numbers of conversations, too: an index from one text, searched in another."""
-    index = leaks.number_tokens(table(s, d, "conversations").select("text")).select(F.lit("r").alias("role"), "form").distinct()
+    """Numbers of documents that are keys of orders: ends of telephone numbers and the like."""
+    index = leaks.protected_index({"orders": table(s, d, "orders").select("o_orderkey")}, s.createDataFrame([("r", "orders", "o_orderkey")], "role string, table string, column string"))
     docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("r").alias("role"), "text")
     return leaks.find_protected(docs, index).groupBy("id").agg(F.count("*").alias("n"))
 
@@ -94,16 +94,33 @@ def l8_remask(s: SparkSession, d: str) -> DataFrame:
     return leaks.remask_history(rows, issued, 150).select("id.conv_id", "id.turn", F.col("replaced").cast("long").alias("replaced"))
 
 
+#: What authors of queries may see: no names of clerks, no comments, no addresses.
+AUTHOR = [
+    {"role": "author", "table": t, "scope": "all", "columns": c}
+    for t, c in {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "nation": ["n_nationkey", "n_name", "n_regionkey"]}.items()
+]
+
+
+def author_views(s: SparkSession, d: str, names: list[str]) -> dict[str, DataFrame]:
+    return {t: G.governed_view(table(s, d, t), t, AUTHOR, "author", "u", None) for t in names}
+
+
 def q_sql(text: str):
     """A query of the surface open to authors, over governed views of the tables."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        names = [t for t in ("customer", "orders", "nation", "lineitem", "part") if t in text]
-        return s.sql(text.format(**{t: f"{{{t}}}" for t in names}), **{t: table(s, d, t) for t in names})
+        names = [t for t in ("customer", "orders", "nation") if f"{{{t}}}" in text]
+        return s.sql(text, **author_views(s, d, names))
 
     return run
 
 
+def q10_parameters(s: SparkSession, d: str) -> DataFrame:
+    """A parametrised query over what one department may see: the scope holds whatever the query asks for."""
+    mine = G.governed_view(table(s, d, "customer"), "customer", GRANTS, "sales", "u", "7", "c_custkey", "c_nationkey")
+    return s.sql("SELECT c_custkey, :role AS role FROM {customer} WHERE c_nationkey >= :department", args={"role": "sales", "department": 5}, customer=mine)
+
+
 _Q = {
     "q1_where": "SELECT c_custkey, c_name, c_acctbal * 2 AS twice FROM {customer} WHERE (c_acctbal BETWEEN 100 AND 900 OR c_nationkey IN (1, 2)) AND NOT c_name LIKE '%7' AND c_mktsegment IS NOT NULL",
     "q2_joins": "SELECT n.n_name, count(o.o_orderkey) AS n FROM {nation} n LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY n.n_name",
@@ -125,7 +142,8 @@ QUERIES = {
     "g6_unrecorded_reads": lambda s, d: G.unrecorded_reads(_reads(s, d).drop("role"), _reads(s, d).where("binding_id % 3 > 0").drop("role")),
     "g7_disclosure": lambda s, d: G.disclosure(_bindings(s, d)).select("id", "disclosed", "reason"),
     "g10_models": lambda s, d: G.resolve_models(calls(s, d).select("id", "model"), s.createDataFrame([("m0",), ("m2",)], "model string"), "m0"),
-    "g13_scrub_sql": lambda s, d: table(s, d, "orders").select("o_orderkey", G.scrub_sql(F.concat(F.lit("SELECT * FROM t WHERE p > "), F.col("o_totalprice").cast("string"), F.lit(" AND s = '"), "o_orderpriority", F.lit("'"))).alias("sql")),
+    "g13_scrub_sql": lambda s, d: table(s, d, "orders").select("o_orderkey", G.scrub_sql(F.concat(
+        F.lit("SELECT * FROM t WHERE p > "), F.floor("o_totalprice").cast("string"), F.lit(" AND s = '"), "o_orderpriority", F.lit("' OR q = \""), "o_orderpriority", F.lit("\" OR h = 0xAB12 OR m = a.b@corp.com OR u = 'it''s open "), "o_orderpriority")).alias("sql")),
     "g14_query_requests": lambda s, d: G.query_requests(table(s, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("n"), F.when(F.col("event_type") == "error", "{\"sql\": \" \"}").otherwise("{\"sql\": \"SELECT 1\", \"purpose\": \"p\", \"expect\": \"row\"}").alias("arguments")), 5).select("n", "name", "status"),
     "l2_protected_columns": lambda s, d: leaks.protected_columns(column_values({t: table(s, d, t) for t in ("customer", "orders", "part")}, _COLUMNS).select("table", "column").distinct(), s.createDataFrame([("sales",), ("hr",)], "role string"), _granted(s), _labels(s)),
     "l3_protected_index": l3_index,
@@ -146,7 +164,7 @@ QUERIES = {
     "t14_new_content": lambda s, d: messages.new_content(_texts(s, d).withColumnRenamed("pos", "turn")).select("request_id", "turn"),
     "t15_review_batch": lambda s, d: messages.review_batch(table(s, d, "documents").select("doc_id", "text"), 1000).select("doc_id", F.length("review").alias("n"), F.sha2(F.col("review").cast("binary"), 256).alias("sha")),
     **{k: q_sql(v) for k, v in _Q.items()},
-    "q10_parameters": lambda s, d: s.sql("SELECT c_custkey, :role AS role FROM {customer} WHERE c_nationkey = :department", args={"role": "sales", "department": 7}, customer=table(s, d, "customer")),
+    "q10_parameters": q10_parameters,
 }
 
 _READS = "cols AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{c}')" for i, (t, c) in enumerate(_COLUMNS)) + ") x(i, t, c)), reads AS (SELECT event_id AS binding_id, CASE WHEN k % 2 = 0 THEN 'sales' ELSE 'hr' END AS role, t, c FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) JOIN cols ON i >= k % 8 AND i < k % 8 + 2)"
@@ -162,8 +180,8 @@ SQL = {
     "g5_binding_labels": f"WITH {_READS}, {_LABEL_SQL} SELECT binding_id, ['public','internal','sensitive'][1 + max(r)] AS label FROM reads JOIN lab USING (t, c) GROUP BY binding_id",
     "g6_unrecorded_reads": f"WITH {_READS} SELECT binding_id, t AS \"table\", c AS \"column\" FROM reads WHERE binding_id % 3 = 0",
     "g7_disclosure": "SELECT id, why IS NULL AS disclosed, why AS reason FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'not resolved' WHEN c_custkey % 5 = 0 THEN 'AI data policy' WHEN c_acctbal < 0 AND c_nationkey < 12 THEN 'label above the role''s limit' WHEN c_mktsegment = 'MACHINERY' AND c_acctbal < 0 THEN 'sensitive value and remote model' WHEN c_custkey % 7 = 0 THEN 'value matches a scan' END AS why FROM customer)",
-    "g10_models": "SELECT event_id AS id, 'm' || (k % 4) AS model, CASE WHEN k % 4 IN (0, 2) THEN 'm' || (k % 4) ELSE 'm0' END AS resolved, CASE WHEN k % 4 IN (0, 2) THEN 'allow' ELSE 'redact' END AS verdict FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)",
-    "g13_scrub_sql": "SELECT o_orderkey, 'SELECT * FROM t WHERE p > [VALUE] AND s = [VALUE]' AS sql FROM orders",
+    "g10_models": "SELECT event_id AS id, 'm' || (k % 4) AS model, CASE WHEN k % 4 IN (0, 2) THEN 'm' || (k % 4) ELSE 'm0' END AS resolved, CASE WHEN k % 4 IN (0, 2) THEN 'allow' ELSE 'log' END AS verdict FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)",
+    "g13_scrub_sql": "SELECT o_orderkey, 'SELECT * FROM t WHERE p > [VALUE] AND s = [VALUE] OR q = [VALUE] OR h = [VALUE]x[VALUE] OR m = [REDACTED:email] OR u = [VALUE]' AS sql FROM orders",
     "g14_query_requests": "SELECT n, CASE WHEN good THEN '{x' || k || '}' END AS name, CASE WHEN NOT good THEN 'invalid' WHEN k > 5 THEN 'rejected' ELSE 'accepted' END AS status FROM (SELECT event_id AS n, event_type <> 'error' AS good, sum(CAST(event_type <> 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)",
     "l2_protected_columns": f"WITH {_GRANTED_SQL}, {_LABEL_SQL} SELECT DISTINCT r.role, lab.t AS \"table\", lab.c AS \"column\" FROM (VALUES ('sales'), ('hr')) r(role), lab WHERE lab.r = 2 OR NOT EXISTS (SELECT 1 FROM granted g WHERE g.role = r.role AND g.t = lab.t AND g.c = lab.c)",
     "l3_protected_index": f"SELECT DISTINCT role, form FROM (SELECT {_FORM} AS form FROM (SELECT c_acctbal AS v FROM customer UNION ALL SELECT o_totalprice FROM orders)), (VALUES ('sales'), ('hr')) r(role) WHERE length(replace(form, '.', '')) >= 4",

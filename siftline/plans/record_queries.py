@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import consumption, governance, injection, leaks
+from ..operators import analytics, consumption, governance, injection, leaks, signatures
+from ..schemas import AUDIT
+from ..sources import audit_log
 from ..streaming import jobs
+from ..tables import shared_dir
 from .audit_view import AUDIT_SQL, audit_view, table
 
 
@@ -27,9 +31,12 @@ def g1_principals(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tool_calls(s: SparkSession, d: str) -> DataFrame:
+    """events as tool calls: ruled arguments, and bodies with placeholders that are bound, denied, unbound, escaped."""
     k = F.col("k")
-    arguments = F.when(k % 11 == 0, "[1]").otherwise(F.concat(F.lit('{"to": "'), F.when(k % 5 == 0, "x@evil.com").when(k % 7 == 0, "{x1}").otherwise("a@corp.com"), F.lit('", "n": '), k.cast("string"), F.lit("}")))
-    return _events(s, d).select(F.col("event_id").alias("call_id"), F.col("user_id").alias("request_id"), F.lit("r").alias("role"), F.when(k % 13 == 0, "shell").otherwise("mail").alias("tool"), arguments.alias("arguments"))
+    body = F.get(F.array(*map(F.lit, ("{x1}", "{x2}", "{x9}", "\\u007bx9}", "none", "see {x3}"))), k % 6)
+    arguments = F.when(k % 11 == 0, "[1]").otherwise(F.concat(F.lit('{"to": "'), F.when(k % 5 == 0, "x@evil.com").when(k % 7 == 0, "{x1}").otherwise("a@corp.com"), F.lit('", "n": '), k.cast("string"), F.lit(', "body": {"text": ["'), body, F.lit('"]}}')))
+    tool = F.when(k % 13 == 0, "shell").when(k % 17 == 0, "note").otherwise("mail")
+    return _events(s, d).select(F.col("event_id").alias("call_id"), F.col("user_id").alias("request_id"), F.lit("r").alias("role"), tool.alias("tool"), arguments.alias("arguments"))
 
 
 def _rules(s: SparkSession) -> DataFrame:
@@ -37,16 +44,21 @@ def _rules(s: SparkSession) -> DataFrame:
 
 
 def g8_tool_calls(s: SparkSession, d: str) -> DataFrame:
-    listed = s.createDataFrame([("r", "mail")], "role string, tool string")
-    bindings = s.createDataFrame([], "request_id long, name string, label string, disclosed boolean, value string")
+    """mail may carry public values, note has no limit set and may carry none."""
+    listed = s.createDataFrame([("r", "mail"), ("r", "note")], "role string, tool string")
+    of = s.createDataFrame([("{x1}", "resolved", "public"), ("{x2}", "denied", "public"), ("{x3}", "resolved", "sensitive")], "name string, status string, label string")
+    bindings = _events(s, d).select(F.col("user_id").alias("request_id")).distinct().crossJoin(F.broadcast(of)).select("*", F.lit(False).alias("disclosed"), F.lit("v").alias("value"))  # three each
     return governance.authorize_calls(_tool_calls(s, d), listed, _rules(s), bindings, s.createDataFrame([("r", "mail", "public")], "role string, tool string, max_label string"))
 
 
 def g9_copied_values(s: SparkSession, d: str) -> DataFrame:
-    """Calls that send the disclosed key of their own customer, which is sensitive, to a tool for public values."""
+    """Calls that send the disclosed key of their own customer, which is sensitive, to a tool for public values; one in
+    four spells its first digit as an escape."""
     orders = table(s, d, "orders")
-    calls = orders.select(F.col("o_orderkey").alias("call_id"), F.col("o_custkey").alias("request_id"), F.lit("r").alias("role"), F.lit("mail").alias("tool"), F.concat(F.lit('{"body": "no '), (F.col("o_custkey") + F.col("o_orderkey") % 2).cast("string"), F.lit(' sent"}')).alias("arguments"))
-    bindings = table(s, d, "customer").select(F.col("c_custkey").alias("request_id"), F.lit("{x1}").alias("name"), F.lit("sensitive").alias("label"), (F.col("c_nationkey") < 20).alias("disclosed"), F.col("c_custkey").cast("string").alias("value"))
+    key = (F.col("o_custkey") + F.col("o_orderkey") % 2).cast("string")
+    shown = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("\\u003"), key)).otherwise(key)
+    calls = orders.select(F.col("o_orderkey").alias("call_id"), F.col("o_custkey").alias("request_id"), F.lit("r").alias("role"), F.lit("mail").alias("tool"), F.concat(F.lit('{"body": "no '), shown, F.lit(' sent"}')).alias("arguments"))
+    bindings = table(s, d, "customer").select(F.col("c_custkey").alias("request_id"), F.lit("{x1}").alias("name"), F.lit("resolved").alias("status"), F.lit("sensitive").alias("label"), (F.col("c_nationkey") < 20).alias("disclosed"), F.col("c_custkey").cast("double").cast("string").alias("value"))
     rules = s.createDataFrame([], "role string, tool string, arg string, rule string, value string")
     return governance.authorize_calls(calls, s.createDataFrame([("r", "mail")], "role string, tool string"), rules, bindings, s.createDataFrame([("r", "mail", "public")], "role string, tool string, max_label string"))
 
@@ -84,16 +96,78 @@ def l9_fill(s: SparkSession, d: str) -> DataFrame:
     return leaks.fill(texts, bindings).select("o_orderkey", "filled", F.size("spans").cast("long").alias("n"))
 
 
+def _prices(s: SparkSession, d: str) -> DataFrame:
+    tables = {"orders": table(s, d, "orders").select("o_orderkey", "o_totalprice")}
+    return leaks.protected_index(tables, s.createDataFrame([("r", "orders", "o_totalprice"), ("r", "orders", "o_orderkey")], "role string, table string, column string"))
+
+
 def l10_arguments(s: SparkSession, d: str) -> DataFrame:
-    calls = table(s, d, "documents").select(F.col("doc_id").alias("call_id"), F.to_json(F.struct("source", "text")).alias("arguments"))
-    return leaks.filter_arguments(calls).select("call_id", "changed")
+    calls = table(s, d, "documents").select(F.col("doc_id").alias("call_id"), F.lit("r").alias("role"), F.to_json(F.struct("source", "text")).alias("arguments"))
+    return leaks.filter_arguments(calls, index=_prices(s, d)).select("call_id", "changed", F.sha2(F.col("filtered").cast("binary"), 256).alias("sha"))
+
+
+def l10_order_arguments(s: SparkSession, d: str) -> DataFrame:
+    """Arguments with an order's protected price as a number, in a list, and as a key."""
+    price = F.format_number("o_totalprice", 2)
+    orders = table(s, d, "orders").where("o_totalprice >= 1000").select(F.col("o_orderkey").alias("call_id"), F.lit("r").alias("role"), F.concat(F.lit('{"n": ["pay ", "is '), price, F.lit('"], "'), price, F.lit('": "x"}')).alias("arguments"))
+    index = leaks.protected_index({"orders": table(s, d, "orders").select("o_totalprice")}, s.createDataFrame([("r", "orders", "o_totalprice")], "role string, table string, column string"))
+    return leaks.filter_arguments(orders, index=index).select("call_id", "filtered")
 
 
 def l5_answers(s: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int,source:string,binding:string>>")
     answers = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("r").alias("role"), "text", none.alias("spans"))
+    return leaks.filter_answers(answers, _prices(s, d)).select("id", "verdict", F.array_join("kinds", ",").alias("kinds"), F.sha2(F.col("filtered").cast("binary"), 256).alias("sha"))
+
+
+def l5_filled_answers(s: SparkSession, d: str) -> DataFrame:
+    """Answers about orders: a price that the gateway put in, the same price by the model, a placeholder left over."""
+    price = F.format_string("%.2f", "o_totalprice")
+    text = F.concat(F.lit("It is "), price, F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" or "), price)).when(F.col("o_orderkey") % 3 == 1, " or {x7}").otherwise(""))
+    spans = F.array(F.struct(F.lit(6).alias("start"), (F.lit(6) + F.length(price)).alias("end"), F.lit("gateway").alias("source"), F.lit("{x1}").alias("binding")))
+    answers = table(s, d, "orders").where("o_totalprice >= 1000").select(F.col("o_orderkey").alias("id"), F.lit("r").alias("role"), text.alias("text"), spans.alias("spans"))
     index = leaks.protected_index({"orders": table(s, d, "orders").select("o_totalprice")}, s.createDataFrame([("r", "orders", "o_totalprice")], "role string, table string, column string"))
-    return leaks.filter_answers(answers, index).select("id", "verdict", F.array_join("kinds", ",").alias("kinds"))
+    return leaks.filter_answers(answers, index).select("id", "filtered", "verdict", F.array_join("kinds", ",").alias("kinds"))
+
+
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """The view of events as typed records of the log."""
+    log = audit_view(s, d).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return log.select(F.from_json(F.to_json(F.struct(*[c for c in log.columns if c not in ("ts", "k")])), AUDIT).alias("r")).select("r.*")
+
+
+def s1_read_log(s: SparkSession, d: str) -> DataFrame:
+    """A log written by day folders, read back for a range of days."""
+    path = f"{shared_dir(s)}/log-{uuid.uuid4().hex}"
+    audit_log.write_audit(_records(s, d), path)
+    return audit_log.read_audit(s, path, datetime.datetime(2024, 1, 3), datetime.datetime(2024, 1, 9)).select("request_id", "verdict")
+
+
+def s2_appended_log(s: SparkSession, d: str) -> DataFrame:
+    """Two appends; records without their prompts, latencies rounded."""
+    path = f"{shared_dir(s)}/log-{uuid.uuid4().hex}"
+    rows = _records(s, d).withColumn("prompt_text", F.lit("secret"))
+    even = F.col("request_id").cast("long") % 2 == 0
+    for part in (rows.where(even), rows.where(~even).unionByName(rows.where(~even))):
+        audit_log.write_audit(part, path, log_prompt_text=False)
+    back = audit_log.read_audit(s, path)
+    return back.groupBy(F.to_date("ts").alias("day"), "verdict").agg(F.count("*").alias("n"), F.count("prompt_text").alias("prompts"), F.round(F.sum("total_latency_ms"), 2).alias("ms"))
+
+
+def s5_feed_errors(s: SparkSession, d: str) -> DataFrame:
+    """parts as entries of a feed, some of them broken."""
+    of = lambda *x: F.array(*map(F.lit, x))
+    size = F.col("p_size")
+    entries = table(s, d, "part").select(
+        F.concat(F.lit("S-"), (F.col("p_partkey") - F.when(size == 13, 1).otherwise(0)).cast("string")).alias("id"), F.col("p_brand").alias("category"), F.get(of("high", "medium", "low", "grave"), size % 4).alias("severity"),
+        F.when(size % 5 == 0, "glob").otherwise("regex").alias("type"), F.when(size % 7 == 0, " ").otherwise("p").alias("pattern"), F.when(size % 3 == 0, F.array().cast("array<string>")).when(size % 11 == 0, of("nowhere")).otherwise(of("input")).alias("applies_to"))
+    return signatures.feed_errors(entries)
+
+
+def a18_controls(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".n"), F.col("n_nationkey").cast("string")).alias("control"), F.lit("block").alias("value"), F.lit("default").alias("source"))
+    off = table(s, d, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("control")).unionByName(rows.where("control = 'r2.n8'").select("control"))
+    return analytics.control_states(rows, off).select("control", "status")
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
@@ -110,7 +184,48 @@ def r7_deduplicated(s: SparkSession, d: str) -> DataFrame:
     return jobs.drained(jobs.deduplicated(_streamed(s, d).select(F.col("user_id").alias("request_id"), "ts"), "60 days"), f"r7_{uuid.uuid4().hex}").select("request_id")
 
 
+def _streamed_calls(s: SparkSession, d: str) -> DataFrame:
+    rows = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return rows.select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), (F.get_json_object("props", "$.k").cast("double") / 8).alias("cost_usd"), "event_type")
+
+
+def r2_usage(s: SparkSession, d: str) -> DataFrame:
+    return jobs.drained(jobs.daily_usage(_streamed_calls(s, d)), f"r2_{uuid.uuid4().hex}", "update", keys=["user_id", "day"])
+
+
+def r2_alerts(s: SparkSession, d: str) -> DataFrame:
+    limits = table(s, d, "events").select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 2 == 0, 120).cast("long").alias("tokens_per_day"), F.lit(12.0).alias("cost_per_day_usd"))
+    alerts = jobs.budget_alerts(jobs.daily_usage(_streamed_calls(s, d)), limits)
+    return jobs.drained(alerts, f"r2a_{uuid.uuid4().hex}", "update", keys=["user_id", "day"]).select("user_id", "day", "control")
+
+
+def r3_load(s: SparkSession, d: str) -> DataFrame:
+    return jobs.drained(jobs.trailing_minute(_streamed_calls(s, d)), f"r3_{uuid.uuid4().hex}", "complete").groupBy("user_id").agg(F.count("*").alias("seconds"), F.max("load").alias("most"))
+
+
+def r4_admitted(s: SparkSession, d: str) -> DataFrame:
+    """A limit that no user reaches, so that all are admitted; test_streaming.py has those who do."""
+    return jobs.drained(jobs.admission(_streamed_calls(s, d), 1000, 60), f"r4_{uuid.uuid4().hex}").select("id", "admitted")
+
+
+def r5_live(s: SparkSession, d: str) -> DataFrame:
+    """Purchases as values issued to a user, that live for two hours, and the user's errors as messages."""
+    rows = _streamed_calls(s, d)
+    messages = rows.where("event_type = 'error'").select("id", "user_id", "ts", F.lit("t").alias("text"))
+    issued = _streamed_calls(s, d).where("event_type = 'purchase'").select("user_id", F.col("id").cast("string").alias("value"), F.col("ts").alias("issued_at"))
+    return jobs.drained(jobs.live_values(messages, issued, 7200, "90 days"), f"r5_{uuid.uuid4().hex}").select("id", "value")
+
+
+def r6_scanned(s: SparkSession, d: str) -> DataFrame:
+    rows = s.readStream.schema(table(s, d, "pages").schema).parquet(f"{d}/pages.parquet*")
+    feed = [{"id": "T-003", "category": "markup", "severity": "low", "applies_to": ["input"], "type": "substring", "pattern": "&AMP;"}]
+    return jobs.drained(jobs.scan_messages(rows.select("page_id", "html"), feed, "log", "html"), f"r6_{uuid.uuid4().hex}").select("page_id", "signature_verdict", "signature_ids")
+
+
 QUERIES = {
+    "a18_blocked_models": lambda s, d: analytics.blocked_models(g11_pins(s, d)), "a18_control_states": a18_controls, "l5_filled_answers": l5_filled_answers, "l10_order_arguments": l10_order_arguments,
+    "r2_daily_usage_stream": r2_usage, "r2_budget_alerts_stream": r2_alerts, "r3_trailing_load_stream": r3_load, "r4_admission_stream": r4_admitted, "r5_live_values_stream": r5_live, "r6_scan_stream": r6_scanned,
+    "s1_read_log": s1_read_log, "s2_appended_log": s2_appended_log, "s5_feed_errors": s5_feed_errors,
     "c6_estimates": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", consumption.estimate(F.col("text"), F.when(F.col("turn") % 2 == 0, F.lit(100))).cast("long").alias("estimate")),
     "g1_principals": g1_principals, "g8_tool_calls": g8_tool_calls, "g9_copied_values": g9_copied_values, "g11_pin_states": g11_pins, "g12_unsafe_imports": g12_imports,
     "g15_approved_arguments": lambda s, d: governance.approved_arguments(_tool_calls(s, d), _rules(s)).select("call_id", F.array_join("args", ",").alias("args")),
@@ -125,11 +240,27 @@ _E = "e AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)"
 SQL = {
     "c6_estimates": "SELECT conv_id, turn, greatest(1, length(text) // 4) + CASE WHEN turn % 2 = 0 THEN 100 ELSE 0 END AS estimate FROM conversations",
     "g1_principals": "SELECT o_orderkey, 'u' || c_custkey AS user_id, role, c_mktsegment AS department, CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 5 > 0 AND role = 'sales' THEN 'allow' ELSE 'deny' END AS ai_data_policy FROM orders LEFT JOIN (SELECT *, CASE WHEN c_nationkey % 2 = 0 THEN 'sales' ELSE 'hr' END AS role FROM customer WHERE c_custkey % 3 < 2) ON c_custkey = o_custkey",
-    "g8_tool_calls": f"WITH {_E} SELECT event_id AS call_id, CASE WHEN r IS NULL THEN 'allow' ELSE 'deny' END AS verdict, r AS rule FROM (SELECT event_id, CASE WHEN k % 13 = 0 THEN 'not_listed' WHEN k % 11 = 0 THEN 'malformed_arguments' WHEN k % 5 = 0 THEN 'allow_pattern' WHEN k % 7 = 0 THEN 'egress' WHEN k > 60 THEN 'max' END AS r FROM e)",
+    "g8_tool_calls": f"""WITH {_E} SELECT event_id AS call_id, CASE WHEN r IS NULL THEN 'allow' ELSE 'deny' END AS verdict, r AS rule FROM (SELECT event_id, CASE WHEN k % 13 = 0 THEN 'not_listed' WHEN k % 11 = 0 THEN 'malformed_arguments'
+      WHEN k % 17 = 0 THEN CASE WHEN k % 6 <> 4 OR (k % 7 = 0 AND k % 5 > 0) THEN 'egress' END WHEN k % 5 = 0 THEN 'allow_pattern' WHEN k % 7 = 0 THEN 'egress' WHEN k > 60 THEN 'max' WHEN k % 6 IN (1, 2, 3, 5) THEN 'egress' END AS r FROM e)""",
     "g9_copied_values": "SELECT o_orderkey AS call_id, CASE WHEN hit THEN 'deny' ELSE 'allow' END AS verdict, CASE WHEN hit THEN 'egress' END AS rule FROM (SELECT o_orderkey, coalesce(c_nationkey < 20 AND o_orderkey % 2 = 0, false) AS hit FROM orders LEFT JOIN customer ON c_custkey = o_custkey)",
     "g11_pin_states": "SELECT 'm' || p_partkey AS name, CASE WHEN p_partkey % 4 = 0 THEN 'unpinned' WHEN p_size < 5 THEN 'mismatch' WHEN p_partkey % 3 = 0 THEN 'missing' WHEN p_size % 2 = 0 THEN 'ok' ELSE 'mismatch' END AS status FROM part",
     "g12_unsafe_imports": "SELECT 'f' || (p_partkey // 5) AS file, bool_and(p_size NOT IN (7, 8, 9, 10)) AS safe, count(*) FILTER (WHERE p_size IN (7, 8, 9, 10)) AS blocked FROM part GROUP BY 1",
-    "g15_approved_arguments": f"WITH {_E} SELECT event_id AS call_id, 'to' AS args FROM e WHERE k % 13 > 0 AND k % 11 > 0 AND k % 5 > 0 AND k % 7 > 0",
+    "g15_approved_arguments": f"WITH {_E} SELECT event_id AS call_id, 'to' AS args FROM e WHERE k % 13 > 0 AND k % 17 > 0 AND k % 11 > 0 AND k % 5 > 0 AND k % 7 > 0",
+    "a18_blocked_models": "SELECT count(*) AS models, count(*) FILTER (WHERE p_partkey % 4 > 0 AND NOT (p_size >= 5 AND p_partkey % 3 > 0 AND p_size % 2 = 0)) AS blocked FROM part",
+    "a18_control_states": "SELECT 'r' || n_regionkey || '.n' || n_nationkey AS control, CASE WHEN n_regionkey < 2 OR (n_regionkey = 2 AND n_nationkey = 8) THEN 'off' ELSE 'on' END AS status FROM nation",
+    "l5_filled_answers": "SELECT o_orderkey AS id, 'It is ' || printf('%.2f', o_totalprice) || CASE o_orderkey % 3 WHEN 0 THEN ' or [REDACTED]' WHEN 1 THEN ' or [unavailable]' ELSE '' END AS filtered, CASE o_orderkey % 3 WHEN 2 THEN 'allow' ELSE 'redact' END AS verdict, CASE o_orderkey % 3 WHEN 0 THEN 'protected value' ELSE '' END AS kinds FROM orders WHERE o_totalprice >= 1000",
+    "l10_order_arguments": """SELECT o_orderkey AS call_id, '{"n": ["pay ", "is [REDACTED]"], "[REDACTED]": "x"}' AS filtered FROM orders WHERE o_totalprice >= 1000""",
+    "r2_daily_usage_stream": f"WITH {_E} SELECT user_id, CAST(ts AS DATE) AS day, CAST(sum(k) AS BIGINT) AS tokens, sum(k) / 8.0 AS cost_usd FROM e GROUP BY 1, 2",
+    "r2_budget_alerts_stream": f"WITH {_E} SELECT user_id, day, CASE WHEN user_id % 2 = 0 AND t > 120 THEN 'budgets.tokens_per_day' ELSE 'budgets.cost_per_day_usd' END AS control FROM (SELECT user_id, CAST(ts AS DATE) AS day, sum(k) AS t FROM e GROUP BY 1, 2) WHERE (user_id % 2 = 0 AND t > 120) OR t / 8.0 > 12",
+    "r3_trailing_load_stream": "WITH x AS (SELECT user_id, s + i AS until, count(*) AS load FROM (SELECT user_id, floor(epoch(ts)) AS s FROM events), range(1, 61) r(i) GROUP BY 1, 2) SELECT user_id, count(*) AS seconds, max(load) AS most FROM x GROUP BY 1",
+    "r4_admission_stream": "SELECT event_id AS id, true AS admitted FROM events",
+    "r5_live_values_stream": "SELECT m.event_id AS id, CAST(v.event_id AS VARCHAR) AS value FROM events m JOIN events v ON m.user_id = v.user_id AND m.event_type = 'error' AND v.event_type = 'purchase' AND v.ts <= m.ts AND v.ts > m.ts - INTERVAL 2 HOUR",
+    "r6_scan_stream": "SELECT page_id, CASE WHEN contains(lower(html), '&amp;') THEN 'log' ELSE 'allow' END AS signature_verdict, CASE WHEN contains(lower(html), '&amp;') THEN 'T-003' ELSE '' END AS signature_ids FROM pages",
+    "s1_read_log": f"WITH {AUDIT_SQL} SELECT CAST(event_id AS VARCHAR) AS request_id, verdict FROM a WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09'",
+    "s2_appended_log": f"WITH {AUDIT_SQL} SELECT CAST(ts AS DATE) AS day, verdict, count(*) AS n, 0 AS prompts, round(sum(round(value, 3)), 2) AS ms FROM a GROUP BY 1, 2",
+    "s5_feed_errors": """WITH x AS (SELECT 'S-' || (p_partkey - CASE WHEN p_size = 13 THEN 1 ELSE 0 END) AS id, p_size AS s FROM part)
+      SELECT id, 'pattern is missing' AS error FROM x WHERE s % 7 = 0 UNION ALL SELECT id, 'applies_to is empty' FROM x WHERE s % 3 = 0 UNION ALL SELECT id, 'unknown surface' FROM x WHERE s % 3 > 0 AND s % 11 = 0
+      UNION ALL SELECT id, 'unknown severity' FROM x WHERE s % 4 = 3 UNION ALL SELECT id, 'unknown type' FROM x WHERE s % 5 = 0 UNION ALL SELECT id, 'id is not unique' FROM x GROUP BY id HAVING count(*) > 1""",
     "l6_leaking_records": f"WITH {AUDIT_SQL} SELECT CAST(event_id AS VARCHAR) AS request_id, 'prompt_text' AS paths FROM a WHERE k % 2 = 0 AND k >= 10",
     "l7_issued_values": f"WITH {_E} SELECT user_id, value, issued_at FROM (SELECT user_id, event_type || (k % 10) AS value, max(ts) AS issued_at FROM e WHERE k % 4 > 0 AND k % 5 > 0 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY issued_at DESC, value) <= 20",
     "l9_fill": "SELECT o_orderkey, 'pay ' || coalesce(c_mktsegment, '[rejected]') || ' to ' || CASE WHEN c_custkey IS NULL THEN '[rejected]' WHEN c_custkey % 2 = 0 THEN c_name ELSE '[denied]' END || ' by [rejected]' AS filled, 6 AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey",

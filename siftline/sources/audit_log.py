@@ -27,6 +27,8 @@ def in_range(log: DataFrame, since=None, until=None) -> DataFrame:
 def read_audit(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
     """The records of a log of JSON lines; lines that aren't JSON or lack a timestamp are skipped."""
     raw = spark.read.schema(f"{AUDIT}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    if "day" in raw.columns:  # folders of other days aren't read
+        raw = raw.where(F.lit(True) if since is None else F.col("day") >= F.to_date(F.lit(since))).where(F.lit(True) if until is None else F.col("day") <= F.to_date(F.lit(until))).drop("day")
     return in_range(raw.where("_bad is null").drop("_bad"), since, until)
 
 

@@ -5,16 +5,18 @@ Rows later than the watermark are dropped; the batch job over the whole log stay
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import injection, scan, signatures
+from ..operators.consumption import COST_SLACK
 from ..schemas import AUDIT
+from ..tables import shared_dir
 
 LATE = "10 minutes"
 
@@ -32,14 +34,17 @@ def per_minute(log: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def daily_usage(calls: DataFrame, late: str = "1 day") -> DataFrame:
-    """R2. (user_id, day, tokens) running sums per UTC day, for output mode update."""
-    sums = calls.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day")).agg(F.sum("tokens").alias("tokens"))
-    return sums.select("user_id", F.to_date("window.start").alias("day"), "tokens")
+    """R2. (user_id, day, tokens, cost_usd) running sums per UTC day, for output mode update. calls: user_id, ts, tokens,
+    cost_usd (see C1)."""
+    sums = calls.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day")).agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    return sums.select("user_id", F.to_date("window.start").alias("day"), "tokens", "cost_usd")
 
 
 def budget_alerts(usage: DataFrame, limits: DataFrame) -> DataFrame:
-    """R2. Running sums above the user's limit; limits: user_id, tokens_per_day (a static table)."""
-    return usage.join(limits, "user_id").where("tokens > tokens_per_day")
+    """R2. Running sums above the user's limit, with control; limits: user_id, tokens_per_day, cost_per_day_usd (a static
+    table; null: no limit)."""
+    over = F.when(F.col("tokens") > F.col("tokens_per_day"), "budgets.tokens_per_day").when(F.col("cost_usd") > F.col("cost_per_day_usd") + COST_SLACK, "budgets.cost_per_day_usd")
+    return usage.join(limits, "user_id").withColumn("control", over).where("control is not null")
 
 
 def trailing_minute(requests: DataFrame, late: str = LATE) -> DataFrame:
@@ -69,20 +74,31 @@ class Admission(StatefulProcessor):
                 held.append(int(now))
         if held:
             self.held.put([(x,) for x in held])
+            self.handle.registerTimer((held[-1] + self.span) // 1000 + 1)
         else:
             self.held.clear()
         yield pd.DataFrame({"user_id": key[0], "id": batch["id"].to_numpy(), "admitted": out})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """The state of users who stay away goes once the watermark has passed their last admitted request."""
+        now = expiredTimerInfo.get_expiry_time_in_ms() * 1000
+        held = [x for (x,) in self.held.get() if x > now - self.span]
+        if held:
+            self.held.put([(x,) for x in held])
+        else:
+            self.held.clear()
+        yield pd.DataFrame({"user_id": [], "id": [], "admitted": []}).astype({"admitted": bool})
+
     def close(self) -> None:
         pass
 
 
-def admission(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+def admission(requests: DataFrame, limit: int, seconds: int = 60, late: str = LATE) -> DataFrame:
     """R4. (user_id, id, admitted) of requests (user_id, id, ts): C4 as a stream; needs the RocksDB state store."""
     kinds = dict(requests.dtypes)
-    rows = requests.select("user_id", "id", F.unix_micros("ts").alias("at"))
+    rows = requests.withWatermark("ts", late).select("user_id", "id", "ts", F.unix_micros("ts").alias("at"))
     return rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Admission(limit, seconds), outputStructType=f"user_id {kinds['user_id']}, id {kinds['id']}, admitted boolean", outputMode="Append", timeMode="None"
+        statefulProcessor=Admission(limit, seconds), outputStructType=f"user_id {kinds['user_id']}, id {kinds['id']}, admitted boolean", outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -100,24 +116,51 @@ def scan_messages(messages: DataFrame, feed: list[dict], mode: str = "block", te
     return signatures.match_signatures(rows, feed, F.lit("input"), mode, text)
 
 
+class LatestFeed:
+    """The feed at path as it is now; while it can't be read or has errors, the last good one."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.entries = spark, path, None
+
+    def __call__(self) -> list[dict]:
+        try:
+            _, self.entries = signatures.parse_feed(self.spark, self.path)
+        except (signatures.FeedError, AnalysisException):
+            if self.entries is None:
+                raise
+        return self.entries
+
+
+def scanned_with_latest_feed(messages: DataFrame, feed_path: str, name: str, mode: str = "block", text: str = "text") -> DataFrame:
+    """R6. scan_messages() with the feed read anew for each micro-batch."""
+    feed = LatestFeed(messages.sparkSession, feed_path)
+    return drained(messages, name, each=lambda batch: scan_messages(batch, feed(), mode, text))
+
+
 def deduplicated(log: DataFrame, late: str = LATE) -> DataFrame:
     """R7. One record per request among those that come within the watermark of each other."""
     return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", each=None, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what there is and returns its rows, as a table in the shared folder: for backfills.
 
-    Each micro-batch is written by the executors; nothing passes through the driver. name must be new.
+    Each micro-batch is written by the executors to a folder of its own, over what a failed try has left there; nothing
+    passes through the driver. name must be new. each: what to do with a batch first. keys: of the rows with the same
+    keys, as mode update gives them, only those of the last batch count.
     """
     spark = stream.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siftline-')}").rstrip("/")
-    path, schema = f"{folder}/stream-{name}", stream.schema
-    spark.createDataFrame([], schema).write.parquet(path)
+    path = f"{shared_dir(spark)}/stream-{name}"
+    make = each or (lambda batch: batch)
+    empty = make(spark.createDataFrame([], stream.schema)).withColumn("_batch", F.lit(-1).cast("long"))
+    empty.write.mode("overwrite").parquet(f"{path}/none")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def put(batch: DataFrame, n: int) -> None:
+        make(batch).withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else n}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(empty.schema).option("recursiveFileLookup", True).parquet(path)
+    if keys:
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "_batch").alias("_last")).select(*keys, "_last.*")
+    return rows.drop("_batch")

@@ -45,13 +45,20 @@ def test_tool_calls(spark):
         (11, "q", "r", "mail", '{"to": "a@corp.com", "n": 2, "body": "pay 62001 now"}'), (12, "q", "r", "mail", '{"to": "a@corp.com", "n": "x"}'),
     ]
     rules = [("r", "mail", "to", "allow_pattern", r"[a-z]+@corp\.com"), ("r", "mail", "n", "max", "5"), ("r", "mail", "body", "deny_pattern", "drop")]
-    bindings = [("q", "{x1}", "public", False, "1"), ("q", "{x2}", "sensitive", False, "77"), ("q", "{x3}", "sensitive", True, "6200")]
+    calls += [(20 + k, "q", "r", tool, a) for k, (tool, a) in enumerate([
+        ("mail", '{"to": "a@corp.com", "b": "{x9}"}'), ("mail", '{"to": "a@corp.com", "b": "{x1}"}'), ("note", '{"b": "{x1}"}'), ("mail", '{"to": "a@corp.com", "b": "\\u007bx9}"}'), ("mail", '{"to": "a@corp.com", "b": {"\\u0041nna Kowal": [1]}}'),
+        ("mail", '{"to": 5}'), ("mail", '{"to": "a@corp.com", "n": true}'), ("mail", '{"\uff54o": "a@corp.com", "to": "a@corp.com"}'), ("note", '{"b": ' + "[" * 40 + "]" * 40 + "}"), ("mail", '{"to": "a@corp.com"}'), ("mail", '{"to": "a@corp.com", "b": 6200}'),
+        ("note", '{"b": ' + "[" * 30 + "]" * 30 + "}"), ("note", " "), ("mail", '{"to": "a@corp.com", "b": "{x4}"}'), ("note", '{"b": "62000"}')])]
+    bindings = [("q", "{x1}", "resolved", "public", False, "1"), ("q", "{x2}", "resolved", "sensitive", False, "77"), ("q", "{x3}", "resolved", "sensitive", True, "6200.0"), ("q", "{x4}", "denied", "public", False, None), ("q", "{x5}", "resolved", "sensitive", True, "Anna Kowal")]
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     got = {r.call_id: r.rule for r in governance.authorize_calls(
-        frame(calls, "call_id int, request_id string, role string, tool string, arguments string"), frame([("r", "mail")], "role string, tool string"), frame(rules, "role string, tool string, arg string, rule string, value string"),
-        frame(bindings, "request_id string, name string, label string, disclosed boolean, value string"), frame([("r", "mail", "internal")], "role string, tool string, max_label string")).collect()}
+        frame(calls, "call_id int, request_id string, role string, tool string, arguments string"), frame([("r", "mail"), ("r", "note")], "role string, tool string"), frame(rules, "role string, tool string, arg string, rule string, value string"),
+        frame(bindings, "request_id string, name string, status string, label string, disclosed boolean, value string"), frame([("r", "mail", "internal")], "role string, tool string, max_label string")).collect()}
     assert got[2] == "not_listed" and got[3] == "malformed_arguments" and got[4] == "argument_name" and got[5] == "egress" and got[6] == "allow_pattern"
     assert got[7] == "max" and got[8] == "deny_pattern" and got[9] == "egress" and got[10] == "egress" and got[11] is None and got[12] == "max"
+    # unbound; public; no limit set; escaped; a name as a key, escaped; a number for a pattern; true for a number; a wide
+    # look-alike; too deep; an absent number; a number copied; deep enough; blank; not resolved; within a longer number
+    assert [got[20 + k] for k in range(15)] == ["egress", None, "egress", "egress", "egress", "allow_pattern", "max", "argument_name", "malformed_arguments", None, "egress", None, None, "egress", None]
     fine = {r.call_id: r.args for r in governance.approved_arguments(frame(calls, "call_id int, request_id string, role string, tool string, arguments string"), frame(rules, "role string, tool string, arg string, rule string, value string")).collect()}
     assert fine[1] == ["to"] and 6 not in fine and 5 not in fine
 
@@ -98,7 +105,7 @@ def test_output_filter(spark):
         (1, "r", "it is 6200", []), (2, "r", "it is 6200", [(6, 10, "gateway", "x1")]), (3, "r", "evil@ex.com", [(0, 4, "gateway", "x1")]), (4, "r", "left {x3} over", []), (5, "r", "fine", [])], schema)
     index = spark.createDataFrame([("r", "6200")], "role string, form string")
     got = {r.id: (r.filtered, r.verdict) for r in leaks.filter_answers(rows, index).collect()}
-    assert got == {1: ("it is [REDACTED]", "redact"), 2: ("it is 6200", "allow"), 3: ("[REDACTED]", "redact"), 4: ("left [unavailable] over", "allow"), 5: ("fine", "allow")}
+    assert got == {1: ("it is [REDACTED]", "redact"), 2: ("it is 6200", "allow"), 3: ("[REDACTED]", "redact"), 4: ("left [unavailable] over", "redact"), 5: ("fine", "allow")}
     assert {r.verdict for r in leaks.filter_answers(rows, None).collect()} == {"block"}
     assert {r.id: r.filtered for r in leaks.filter_answers(rows, index, "block").collect()}[1] == ""
     calls = spark.createDataFrame([(1, '{"a": ["x@example.com", 4111111111111111], "ok": "y@example.com"}'), (2, "{}")], "call_id int, arguments string")
@@ -106,6 +113,42 @@ def test_output_filter(spark):
     assert json.loads(done[1].filtered) == {"a": ["[REDACTED]", "[REDACTED]"], "ok": "y@example.com"} and done[1].changed and not done[2].changed
 
 
+def test_placeholder_within_a_finding(spark):
+    """A placeholder beside what is redacted is marked by itself; one within goes with it."""
+    assert leaks.cleaned("password={x1}abc1 {x2}", [], [])[0].endswith("[unavailable]")
+    assert leaks.cleaned("a {x1} b@c.de", [], []) == ("a [unavailable] [REDACTED]", ["email"], 1)
+    assert leaks.cleaned("b@c.de", [{"start": 0, "end": 6, "source": "gateway"}], []) == ("b@c.de", [], 0)
+    assert leaks.cleaned("", [], []) == ("", [], 0)
+
+
+def test_arguments_with_protected_numbers(spark):
+    index = spark.createDataFrame([("r", "6200"), ("r", "7499.5")], "role string, form string")
+    calls = spark.createDataFrame([(1, "r", '{"a": [6200, 1, "pays 7,499.50"], "6.200": "{x1}", "ok": "6200"}'), (2, "s", '{"a": 6200}'), (3, "r", None), (4, "r", "no json 6200")], "call_id int, role string, arguments string")
+    got = {r.call_id: r.filtered for r in leaks.filter_arguments(calls, spark.createDataFrame([(1, ["ok"])], "call_id int, args array<string>"), index).collect()}
+    assert json.loads(got[1]) == {"a": ["[REDACTED]", 1, "pays [REDACTED]"], "[REDACTED]": "[unavailable]", "ok": "6200"}
+    assert json.loads(got[2]) == {"a": 6200} and got[3] is None and got[4] == "no json [REDACTED]"
+
+
+def test_models_and_scrubbed_sql(spark):
+    rows = spark.createDataFrame([("a",), ("z",)], "model string")
+    allowed = spark.createDataFrame([("a",)], "model string")
+    of = lambda default: {r.model: (r.resolved, r.verdict) for r in governance.resolve_models(rows, allowed, default).collect()}
+    assert of("a") == {"a": ("a", "allow"), "z": ("a", "log")} and of("b")["z"] == of(None)["z"] == (None, "block")
+    cases = ["x = 'it''s' AND y = 'Anna Kowal", 'n = "Anna"', "h = 0xAB12", "m = a@b.co", None]
+    got = [r.s for r in spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, sql string").select("k", governance.scrub_sql(F.col("sql")).alias("s")).orderBy("k").collect()]
+    assert got == ["x = [VALUE] AND y = [VALUE]", "n = [VALUE]", "h = [VALUE]x[VALUE]", "m = [REDACTED:email]", None]
+
+
+def test_author_sql_stays_within_grants(spark, sf):
+    from pyspark.errors import AnalysisException
+
+    from siftline.plans import governed_queries
+
+    with pytest.raises(AnalysisException):
+        governed_queries.q_sql("SELECT o_orderdate FROM {orders}")(spark, sf).collect()
+    assert governed_queries.q10_parameters(spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").where("c_nationkey = 7").count()
+
+
 def test_audit_guard(spark):
     row = {"request_id": "q", "timestamp": "2026-01-01T00:00:00Z", "prompt_text": "hello", "decisions": [{"stage": "s", "control": "c", "verdict": "allow", "reason": "pays 6,200 each", "latency_ms": 1.0}], "bindings": [], "tool_decisions": []}
     records = spark.createDataFrame([json.dumps(row), json.dumps(row | {"request_id": "p"})], "string").select(F.from_json("value", AUDIT).alias("r")).select("r.*")

@@ -25,10 +25,11 @@ def test_per_minute(spark, sf, tmp_path):
 
 
 def test_daily_usage_and_alerts(spark, tmp_path):
-    calls = spark.createDataFrame([("u", T0, 60), ("u", T0 + dt.timedelta(hours=1), 50), ("v", T0, 10)], "user_id string, ts timestamp, tokens long")
+    calls = spark.createDataFrame([("u", T0, 60, 0.1), ("u", T0 + dt.timedelta(hours=1), 50, 0.1), ("v", T0, 10, 0.1), ("w", T0, 10, 2.0)], "user_id string, ts timestamp, tokens long, cost_usd double")
     usage = jobs.daily_usage(stream_of(spark, calls, tmp_path / "a"))
-    alerts = jobs.budget_alerts(usage, spark.createDataFrame([("u", 100), ("v", 100)], "user_id string, tokens_per_day long"))
-    assert [(r.user_id, r.tokens) for r in jobs.drained(alerts, "m2", "update").collect()] == [("u", 110)]
+    alerts = jobs.budget_alerts(usage, spark.createDataFrame([("u", 100, 1.0), ("v", 100, None), ("w", 100, 1.0)], "user_id string, tokens_per_day long, cost_per_day_usd double"))
+    got = {(r.user_id, r.tokens, r.control) for r in jobs.drained(alerts, "m2", "update", keys=["user_id", "day"]).collect()}
+    assert got == {("u", 110, "budgets.tokens_per_day"), ("w", 10, "budgets.cost_per_day_usd")}
 
 
 def test_admission_as_a_stream(spark, tmp_path):
@@ -56,6 +57,36 @@ def test_scan_and_trailing_minute(spark, tmp_path, mode):
     assert len(loads) == 60 and {x.load for x in loads} == {1}
 
 
+def test_feed_is_read_anew(spark, tmp_path):
+    """Between batches the feed changes; a broken one leaves the last good one in force."""
+    import json as js
+
+    entry = {"id": "S-1", "category": "c", "severity": "high", "applies_to": ["input"], "type": "substring", "pattern": "needle"}
+    path = tmp_path / "feed.json"
+    path.write_text(js.dumps({"version": "1", "signatures": [entry]}))
+    feed = jobs.LatestFeed(spark, str(path))
+    assert [e["pattern"] for e in feed()] == ["needle"]
+    path.write_text(js.dumps({"version": "2", "signatures": [entry | {"pattern": "thread"}]}))
+    rows = stream_of(spark, spark.createDataFrame([(1, "a needle"), (2, "a thread")], "id int, text string"), tmp_path / "a")
+    got = {r.id: r.signature_verdict for r in jobs.scanned_with_latest_feed(rows, str(path), "m9").collect()}
+    assert got == {1: "allow", 2: "block"}
+    feed()
+    path.write_text(js.dumps({"version": "3", "signatures": [entry | {"severity": "none"}]}))
+    assert [e["pattern"] for e in feed()] == ["thread"]
+
+
+def test_a_retried_batch_counts_once(spark, tmp_path):
+    """Each batch has its own folder, so writing it again doesn't double its rows."""
+    rows = stream_of(spark, spark.createDataFrame([(k,) for k in range(5)], "id int"), tmp_path / "a")
+    twice = []
+
+    def each(batch):
+        twice.append(1)
+        return batch
+
+    assert jobs.drained(rows, "m10", each=each).count() == 5 and len(twice) == 2
+
+
 def test_log_stream(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.jsonl").write_text('{"request_id": "a", "timestamp": "2026-01-01T00:00:00Z", "verdict": "block"}\nnope\n{"request_id": "b"}\n')
