@@ -42,13 +42,17 @@ def kind_of(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the ids that several rows have."""
+    return written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated-ids")
+
+
 def one_each(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with one row per doc_id, that of the least text; rows with a null doc_id stay as they are.
 
     Ids alone are counted first, so that texts are shuffled only where an id does repeat.
     """
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    again = written(again, "repeated-ids")
+    again = repeated_ids(docs)
     if again.isEmpty():
         return docs
     least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))

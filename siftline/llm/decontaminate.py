@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, written
+from .common import ascii_lower, let, one_each, written
 
 #: What parts terms, and the longest window.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,9 +88,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document.
 
     A window is 13 consecutive words of an item, all of them where it has fewer; a document word in an occurrence
-    of one is hit. contaminated: 20 * n_hit >= n_words and n_hit > 0. Null texts have no words. docs needs doc_id,
-    unique and not null; items item_id and text.
+    of one is hit. contaminated: 20 * n_hit >= n_words and n_hit > 0. Null texts have no words. docs needs doc_id, of any
+    type, and text; items item_id and text; other columns are ignored. Rows with one doc_id are one document, that with
+    the least text, and come back as one row; rows with a null doc_id come back one by one, without hits. Items with
+    one text are hit together. Empty tables give no hits or no rows.
     """
+    docs = one_each(docs.select("doc_id", "text"))
     hits = written(window_hits(docs, items), "hits")
     words = hits.select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     listed = hits.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items"))

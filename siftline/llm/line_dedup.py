@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, blank_words, let, written
+from .common import NOT_BLANK, blank_words, let, repeated_ids, written
 
 MIN_WORDS = 5
 #: Tasks that share the occurrences of one line.
@@ -50,7 +50,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 def line_verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, verdict) of the lines that go: verdict 'exact' or 'near'.
 
-    docs needs doc_id, unique and not null, and text; a null text has no lines. Everything is shuffled by a hash of
+    docs needs doc_id, unique, and text (dedup_lines() sees to repeated ids); a null text has no lines. Everything is shuffled by a hash of
     lines, with counts and minima formed before the shuffle, so a line that fills a third of the rows is no burden.
     """
     words = blank_words(F.col("line"))
@@ -109,14 +109,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Every document comes back, an emptied one with the text ''; one with a null text as it is. n_chars, where docs
     has it, is set to the length of what is left. Columns of docs named like the new ones are replaced.
+    Rows with one doc_id and one text are one document, whose rows get the same lines; texts that share a doc_id are
+    documents of their own, in the order of a hash of theirs.
     """
-    per_doc = line_verdicts(docs).groupBy("doc_id").agg(
+    key = "doc_id"
+    if not repeated_ids(docs).isEmpty():
+        key, docs = "__key", docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+        lined = docs.select(F.col("__key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    else:
+        lined = docs.select("doc_id", "text")
+    per_doc = line_verdicts(lined).groupBy(F.col("doc_id").alias(key)).agg(
         F.count_if(F.col("verdict") == "exact").alias("__exact"), F.count_if(F.col("verdict") == "near").alias("__near"), F.collect_list("line_no").alias("__gone")
     )
     gone = F.coalesce("__gone", F.array().cast("array<int>"))
     parts = F.split(F.col("text"), "\n")
     kept = let(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone), lambda k: F.get(p, k)))
-    out = docs.join(per_doc, "doc_id", "left").withColumn("__kept", kept).withColumns({
+    out = docs.join(per_doc, key, "left").withColumn("__kept", kept).withColumns({
         "text": F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join("__kept", "\n")),
         "n_exact": F.coalesce("__exact", F.lit(0)), "n_near": F.coalesce("__near", F.lit(0)),
         "removed": F.array_sort(gone),
@@ -124,4 +132,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     })
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(gone) == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.drop("__exact", "__near", "__gone", "__kept")
+    return out.drop("__exact", "__near", "__gone", "__kept", "__key")

@@ -70,7 +70,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> D
     """members with rate >= 0: projected gradient steps from rate 1 until the expected domain token totals match.
 
     targets: the wanted share of the tokens per domain; they are scaled to sum to 1, and the total to the tokens
-    there are. Where no rates can match (a domain that no document belongs to), the nearest totals result.
+    there are; targets that are all 0 or less want nothing, and every rate is 0. Where no rates can match (a domain that no document belongs to), the nearest totals result.
     A step moves a rate by the document's posteriors times the residuals, scaled by the inverse of their Gram matrix.
     """
     k = len(targets)
@@ -82,6 +82,8 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> D
     gram = np.array([[base[f"g{i}_{j}"] / n for j in range(k)] for i in range(k)])
     scale = np.linalg.pinv(gram + 1e-9 * np.eye(k))
     want = np.maximum(np.array(targets, float), 0)
+    if not want.sum():
+        return members.withColumn("rate", F.lit(0.0))  # nothing is wanted
     want /= want.sum()
     rate: Column = F.lit(1.0)
     at, best = members, (math.inf, None)

@@ -64,7 +64,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """docs with the measurements, fail_bits (bit k set: rule k failed) and ledger_version.
+    """docs with the measurements and fail_bits (bit k set: rule k failed).
 
     A null or empty text has no words and measures 0 throughout, so it fails few_words alone. Other columns of
     docs stay; those that are named like a measurement are replaced. Repeated ids are measured row by row.
