@@ -81,13 +81,13 @@ class Admission(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """The state of users who stay away goes once the watermark has passed their last admitted request."""
-        now = expiredTimerInfo.get_expiry_time_in_ms() * 1000
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
         held = [x for (x,) in self.held.get() if x > now - self.span]
         if held:
             self.held.put([(x,) for x in held])
         else:
             self.held.clear()
-        yield pd.DataFrame({"user_id": [], "id": [], "admitted": []}).astype({"admitted": bool})
+        yield from ()
 
     def close(self) -> None:
         pass
