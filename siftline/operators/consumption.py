@@ -68,20 +68,26 @@ def admission(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     calm = busy.where("not _busy").select(*requests.columns, F.lit(True).alias("admitted"))
     micros = seconds * 1_000_000
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_at", "id"])
+    def fold(frames):
+        # rows come session by session in order; what is held is the admitted requests of one span, limit at most
         held: deque = deque()
-        out = []
-        for now in rows["_at"]:
-            while held and held[0] <= now - micros:
-                held.popleft()
-            out.append(len(held) < limit)
-            if out[-1]:
-                held.append(now)
-        return rows.assign(admitted=out)[["id", "admitted"]]
+        last = None
+        for rows in frames:
+            out = []
+            for user, session, now in zip(rows["_user"], rows["_session"], rows["_at"], strict=True):
+                if (user, session) != last:
+                    held.clear()
+                    last = user, session
+                while held and held[0] <= now - micros:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(now)
+            yield pd.DataFrame({"id": rows["id"].to_numpy(), "admitted": out})
 
     kind = dict(requests.dtypes)["id"]
-    folded = busy.where("_busy").select("user_id", "_session", "id", at.alias("_at")).groupBy("user_id", "_session").applyInPandas(fold, f"id {kind}, admitted boolean")
+    queue = busy.where("_busy").select(F.to_json(F.struct("user_id")).alias("_user"), "_session", "id", at.alias("_at")).repartition("_user", "_session").sortWithinPartitions("_user", "_session", "_at", "id")
+    folded = queue.mapInPandas(fold, f"id {kind}, admitted boolean")
     return calm.unionByName(requests.join(folded, "id").select(*requests.columns, "admitted"))
 
 
