@@ -226,6 +226,7 @@ QUERIES = {
     "a18_blocked_models": lambda s, d: analytics.blocked_models(g11_pins(s, d)), "a18_control_states": a18_controls, "l5_filled_answers": l5_filled_answers, "l10_order_arguments": l10_order_arguments,
     "r2_daily_usage_stream": r2_usage, "r2_budget_alerts_stream": r2_alerts, "r3_trailing_load_stream": r3_load, "r4_admission_stream": r4_admitted, "r5_live_values_stream": r5_live, "r6_scan_stream": r6_scanned,
     "s1_read_log": s1_read_log, "s2_appended_log": s2_appended_log, "s5_feed_errors": s5_feed_errors,
+    "s3_csv_table": lambda s, d: audit_log.csv_table(_records(s, d)).select("request_id", "verdict", "user_id", "decisions", "tool_decisions", "bindings", "prompt_tokens", "judge_tokens", "prompt_text"),
     "c6_estimates": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", consumption.estimate(F.col("text"), F.when(F.col("turn") % 2 == 0, F.lit(100))).cast("long").alias("estimate")),
     "g1_principals": g1_principals, "g8_tool_calls": g8_tool_calls, "g9_copied_values": g9_copied_values, "g11_pin_states": g11_pins, "g12_unsafe_imports": g12_imports,
     "g15_approved_arguments": lambda s, d: governance.approved_arguments(_tool_calls(s, d), _rules(s)).select("call_id", F.array_join("args", ",").alias("args")),
@@ -258,6 +259,10 @@ SQL = {
     "r6_scan_stream": "SELECT page_id, CASE WHEN contains(lower(html), '&amp;') THEN 'log' ELSE 'allow' END AS signature_verdict, CASE WHEN contains(lower(html), '&amp;') THEN 'T-003' ELSE '' END AS signature_ids FROM pages",
     "s1_read_log": f"WITH {AUDIT_SQL} SELECT CAST(event_id AS VARCHAR) AS request_id, verdict FROM a WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09'",
     "s2_appended_log": f"WITH {AUDIT_SQL} SELECT CAST(ts AS DATE) AS day, verdict, count(*) AS n, 0 AS prompts, round(sum(round(value, 3)), 2) AS ms FROM a GROUP BY 1, 2",
+    "s3_csv_table": f"""WITH {AUDIT_SQL} SELECT CAST(event_id AS VARCHAR) AS request_id, verdict, coalesce(usr, '') AS user_id, 'inbound/masker: allow' || CASE WHEN k % 4 < 3 THEN '; input_checks/' || ['injection','signatures','budgets.tokens_per_day'][1 + k % 4] || ': ' || verdict ELSE '' END AS decisions,
+      CASE WHEN k % 2 = 1 THEN CASE (k // 2) % 2 WHEN 0 THEN 'send_email' ELSE 'create_ticket' END || ': ' || CASE WHEN k % 8 = 3 THEN 'deny' ELSE 'allow' END ELSE '' END AS tool_decisions,
+      array_to_string(list_transform(range(0, k % 3), lambda i: '{{x' || (i + 1) || '}}: ' || ['resolved','denied','rejected','empty','error'][1 + (k + i) % 5]), '; ') AS bindings,
+      CAST(k * 10 AS VARCHAR) AS prompt_tokens, CASE WHEN k % 2 = 0 THEN '5' ELSE '' END AS judge_tokens, '' AS prompt_text FROM a""",
     "s5_feed_errors": """WITH x AS (SELECT 'S-' || (p_partkey - CASE WHEN p_size = 13 THEN 1 ELSE 0 END) AS id, p_size AS s FROM part)
       SELECT id, 'pattern is missing' AS error FROM x WHERE s % 7 = 0 UNION ALL SELECT id, 'applies_to is empty' FROM x WHERE s % 3 = 0 UNION ALL SELECT id, 'unknown surface' FROM x WHERE s % 3 > 0 AND s % 11 = 0
       UNION ALL SELECT id, 'unknown severity' FROM x WHERE s % 4 = 3 UNION ALL SELECT id, 'unknown type' FROM x WHERE s % 5 = 0 UNION ALL SELECT id, 'id is not unique' FROM x GROUP BY id HAVING count(*) > 1""",
