@@ -7,7 +7,7 @@ its equals, or if a line within the bound comes earlier, be that one kept or not
 
 How the join stays small: equal lines are one class from the start. Within one edit, either the first or the last
 half of the shorter line is the same in both, so only classes that share such a half with another one can have a
-near copy; these alone emit their variants. Nothing is compared all against all: lines that lack the same word at
+near copy; these alone emit variants, and only those that lack a word outside the shared half. Nothing is compared all against all: lines that lack the same word at
 the same place are within one edit of each other, so the earliest of each such group stands for it, and an
 inserted word is found by an equality join with whole lines.
 """
@@ -34,8 +34,57 @@ def _halves(words: Column, n: Column) -> Column:
     return F.when(n < MIN_WORDS, F.array().cast("array<bigint>")).when(half == less, keys(half)).otherwise(F.concat(keys(half), keys(less)))
 
 
-def _without(words: Column, k: Column) -> Column:
-    return F.concat(F.slice(words, 1, k), F.slice(words, k + 2, F.size(words)))
+def _xor(values: Column, start: Column | None = None) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long") if start is None else start, lambda x, y: x.bitwiseXOR(y))
+
+
+def _whole_key(words: Column) -> Column:
+    """The key of a sequence of words: the hashes of each word with its place, by exclusive or."""
+    return _xor(F.transform(words, lambda w, i: F.xxhash64(w, i)))
+
+
+def _variant_keys(words: Column) -> Column:
+    """The keys of the sequences that lack word 0, 1, 2 and so on.
+
+    Each differs from the one before in one word at one place. The changes are summed up over blocks of the root of
+    their number first, so that n words take n times that root of steps, not n times n.
+    """
+
+    def keys(changes: Column) -> Column:
+        n = F.size(changes)
+        s = F.ceil(F.sqrt(n)).cast("int")
+
+        def block(sums: Column, b: Column) -> Column:
+            ks = F.sequence(F.lit(1), F.least(s, n - b * s))
+            return let(_xor(F.slice(sums, 1, b)), lambda start: F.transform(ks, lambda k: _xor(F.slice(changes, b * s + 1, k), start)))
+
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / s).cast("int"))
+        return let(F.transform(blocks, lambda b: _xor(F.slice(changes, b * s + 1, s))), lambda sums: F.flatten(F.transform(blocks, lambda b: block(sums, b))))
+
+    places = F.sequence(F.lit(1), F.size(words) - 1)
+    moved = lambda k: F.xxhash64(F.get(words, k), k - 1)
+    change = lambda k: F.xxhash64(F.get(words, k - 1), k - 1).bitwiseXOR(moved(k))
+    return let(F.concat(F.array(_xor(F.transform(places, moved))), F.transform(places, change)), keys)
+
+
+def _within_one_edit(a: Column, b: Column) -> Column:
+    """Whether two different sequences are alike but for one word replaced, missing or added. Linear: what follows the
+    first difference has to be the same."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+    rest = lambda words, skipped: F.slice(words, at + F.lit(skipped), F.greatest(F.size(words), F.lit(1)))
+    n, m = F.size(a), F.size(b)
+    return (
+        F.when(n == m, rest(a, 1) == rest(b, 1)).when(n == m + 1, rest(a, 1) == rest(b, 0)).when(m == n + 1, rest(a, 0) == rest(b, 1)).otherwise(False)
+    )
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """A row of df for each of the SALTS tasks that the rows of one key go to."""
+    return df.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+
+
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
 
 
 def _hashes(words: Column) -> list[Column]:
@@ -63,42 +112,39 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     classes = written(
         lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("halves").alias("halves")), "classes"
     )
-    halves = classes.select("at", F.explode("halves").alias("half"))
+    halves = classes.select("at", F.posexplode("halves").alias("i", "half")).select("at", (F.col("i") % 2).alias("side"), "half")
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("at.doc_id", "at.line_no").distinct()
-    near_docs = chosen.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    met = halves.withColumn("salt", _salt("at")).join(_salted(shared), ["half", "salt"], "left_semi").select("at.doc_id", "at.line_no", "side")
+    sides = met.repartition("doc_id").groupBy("doc_id", "line_no").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    near_docs = sides.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "low", "high")).alias("wanted"))
     texts = written(
         docs.select("doc_id", "text").join(near_docs, "doc_id")
-        .select("doc_id", let(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get(parts, k).alias("line")))).alias("x"))
+        .select("doc_id", let(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda k: F.struct(k.alias("k"), F.get(parts, k["line_no"]).alias("line")))).alias("x"))
         .select("doc_id", F.explode("x").alias("x"))
-        .select(F.struct("doc_id", "x.line_no").alias("at"), blank_words(F.col("x.line")).alias("words")),
+        .select(F.struct("doc_id", "x.k.line_no").alias("at"), "x.k.low", "x.k.high", blank_words(F.col("x.line")).alias("words")),
         "near-lines",
     )
-    # xxhash64 goes on from part to part, so a variant's key is that of a whole line of the same words
-    key = lambda k: F.xxhash64(F.slice("words", 1, k), F.slice("words", k + 2, F.size("words")))
-    emitted = F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.struct(k.alias("k"), key(k).alias("v"))))
-    variants = written(texts.select("at", F.size("words").alias("n"), emitted.alias("x")).select("at", F.xxhash64("x.v", "n", "x.k").alias("same"), "x.v"), "variants")
-    dealt = variants.select("same", "at").repartition("same")
-    earliest = dealt.groupBy("same").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("same", "first")
-    replaced = dealt.join(earliest, "same").where("first < at").select("at", F.col("first").alias("other"))
-    whole = texts.select(F.col("at").alias("short"), F.xxhash64("words").alias("v"))
+    # a shared first half leaves the words after it to differ, a shared last half those before it
+    q = F.floor((F.size("words") - 1) / 2).cast("int")
+    outside = lambda k: ((F.col("low") == 0) & (k >= q)) | ((F.col("high") == 1) & (k < F.size("words") - q))
+    numbered = F.transform(_variant_keys(F.col("words")), lambda v, k: F.struct(k.alias("k"), v.alias("v")))
+    emitted = texts.select("at", F.size("words").alias("n"), F.explode(F.filter(numbered, lambda x: outside(x["k"]))).alias("x"))
+    variants = written(emitted.select("at", F.xxhash64("x.v", "n", "x.k").alias("same"), "x.v"), "variants")
+    earliest = variants.groupBy("same").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("same", "first")
+    replaced = variants.select("same", "at", _salt("at")).join(_salted(earliest), ["same", "salt"]).where("first < at").select("at", F.col("first").alias("other"))
+    whole = texts.select(F.col("at").alias("short"), _whole_key(F.col("words")).alias("v"))
     inserted = variants.select("v", "at").join(whole, "v").where("at <> short").select(F.greatest("at", "short").alias("at"), F.least("at", "short").alias("other"))
     pairs = replaced.unionByName(inserted).groupBy("at").agg(F.min("other").alias("other"))
-    a, b = F.col("words"), F.col("other_words")
-    short, long = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    differ = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda x: ~x))
-    apart = F.exists(F.sequence(F.lit(0), F.size(long) - 1), lambda k: _without(long, k) == short)
     verified = (
-        pairs.join(texts, "at").join(texts.select(F.col("at").alias("other"), F.col("words").alias("other_words")), "other")
-        .where(((F.size(a) == F.size(b)) & (differ <= 1)) | ((F.size(long) == F.size(short) + 1) & apart)).select("at")
+        pairs.join(texts.select("at", "words"), "at").join(texts.select(F.col("at").alias("other"), F.col("words").alias("other_words")), "other")
+        .where(_within_one_edit(F.col("words"), F.col("other_words"))).select("at")
     )
     near = classes.join(verified, "at", "left_semi").select("h1", "h2", "at", F.lit(True).alias("near"))
     copied = classes.where("copies > 1").select("h1", "h2", "at", F.lit(False).alias("near"))
     gone = near.unionByName(copied).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("near").alias("near"))
     # a line of a third of the documents is one key: its rows go to SALTS tasks, and each gets the class's row
-    salted = gone.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     return (
-        lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"]).where(F.col("near") | (at > F.col("first")))
+        lines.withColumn("salt", _salt("doc_id")).join(_salted(gone), ["h1", "h2", "salt"]).where(F.col("near") | (at > F.col("first")))
         .select("doc_id", "line_no", F.when(at > F.col("first"), "exact").otherwise("near").alias("verdict"))
     )
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -576,3 +577,30 @@ def test_candidates_dont_depend_on_batches(size):
         if k and rows.h[k - 1] == r.h:
             want.add((r.rep, rows.rep[k - 1]))
     assert set(zip(out[~own].rep, out[~own].other, strict=True)) == want
+
+
+def test_variant_keys_are_those_of_the_shorter_lines(spark):
+    rng = random.Random(9)
+    lines = [[rng.choice("abc") for _ in range(n)] for n in (5, 6, 7, 16, 17, 26, 90) for _ in range(6)]
+    frame = spark.createDataFrame([(k, w) for k, w in enumerate(lines)], "k int, words array<string>")
+    rows = frame.select("words", line_dedup._variant_keys(F.col("words")).alias("v"), line_dedup._whole_key(F.col("words")).alias("w")).collect()
+    without = [[*r.words[:k], *r.words[k + 1 :]] for r in rows for k in range(len(r.words))]
+    keys = spark.createDataFrame([(k, w) for k, w in enumerate(without)], "k int, words array<string>").select("k", line_dedup._whole_key(F.col("words")).alias("w")).collect()
+    assert [r.w for r in sorted(keys, key=lambda r: r.k)] == [v for r in rows for v in r.v]
+    assert len({tuple(w) for w in without}) == len({r.w for r in keys})
+
+
+def test_within_one_edit_by_brute_force(spark):
+    rng = random.Random(10)
+    pairs = [([rng.choice("ab") for _ in range(rng.randint(1, 5))], [rng.choice("ab") for _ in range(rng.randint(1, 5))]) for _ in range(600)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        short, long = sorted((a, b), key=len)
+        return len(long) == len(short) + 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+    rows = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", line_dedup._within_one_edit(F.col("a"), F.col("b")).alias("near")).collect()
+    assert [r.near for r in rows] == [near(r.a, r.b) for r in rows]
+    assert {r.near for r in rows} == {True, False}
