@@ -604,3 +604,31 @@ def test_within_one_edit_by_brute_force(spark):
     rows = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", line_dedup._within_one_edit(F.col("a"), F.col("b")).alias("near")).collect()
     assert [r.near for r in rows] == [near(r.a, r.b) for r in rows]
     assert {r.near for r in rows} == {True, False}
+
+
+def test_stretches_of_many_rows_are_those_of_each():
+    rng = np.random.default_rng(11)
+    width = 2 * substring_dedup.CONTEXT + 1
+    mid = width // 2
+    pairs = []
+    for k in range(600):
+        words = rng.integers(1, 3 if k % 5 == 0 else 500, width + 20).astype(np.int32)
+        x, y = words[:width].copy(), words[:width].copy()
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(mid + 1, width))
+            kind = rng.integers(0, 3)
+            if kind == 0:
+                y[at] = 999
+            elif kind == 1:
+                y = np.concatenate([y[:at], [777], y[at:-1]]).astype(np.int32)
+            else:
+                y = np.concatenate([y[: mid - 30], y[mid - 29 :], words[width : width + 1]]).astype(np.int32) if k % 2 else np.concatenate([y[1 : mid - 20], [555], y[mid - 20 :]]).astype(np.int32)
+        for z in (x, y):
+            z[: rng.integers(0, 40)] = 0
+            z[width - rng.integers(0, 40) :] = 0
+        y[mid] = y[mid] if k % 7 else 998
+        pairs.append((x, y))
+    got = substring_dedup.all_stretches(np.stack([p[0] for p in pairs]), np.stack([p[1] for p in pairs]))
+    want = [substring_dedup.stretches(x, y) or (0, 0, 0, 0) for x, y in pairs]
+    assert [tuple(map(int, g)) for g in got] == [tuple(map(int, w)) for w in want]
+    assert sum(w != (0, 0, 0, 0) for w in want) > 100 and sum(w[:2] != w[2:] for w in want) > 50
