@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, ngram_join, pii, quality, quality_rules, substring_dedup, toxicity
+from . import conversation_trie, decontaminate, langid, line_dedup, mixing, ngram_join, pii, quality, quality_rules, substring_dedup, token_alignment, toxicity, warc
 from .common import fold_of, table
 
 
@@ -65,5 +65,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = conversation_trie.share_heads(conversation_trie.sequences(table(spark, sf_dir, "conversations")))
+    nodes = conversation_trie.prefix_nodes(shared)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(warc.records_of(table(spark, sf_dir, "pages")), warc.new_folder(spark))
+    return warc.resolved(warc.records(warc.read_archives(files))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") + F.col("n_b") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
