@@ -56,5 +56,31 @@ SELECT doc_id, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, c
 """
 
 
+#: crc32 of the decimal digits in s, bit by bit: a digit's code comes in with the first of its eight steps.
+_STEP = "xor(a, greatest(x, 0))"
+_CRC = f"""xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(range(1, length(s) + 1), lambda i: [CAST(unicode(s[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN {_STEP} % 2 = 1 THEN xor({_STEP} // 2, 3988292384) ELSE {_STEP} // 2 END), 4294967295)"""
+
+_OP11 = f"""
+WITH t AS (SELECT conv_id, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x, substr(md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 24) AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, list(x ORDER BY turn NULLS FIRST, k) AS x FROM t GROUP BY conv_id),
+h AS (SELECT *, {_CRC} % 6 AS h FROM c),
+r AS (SELECT h.conv_id, coalesce(b.x[1:h.h], []) || h.x[h.h + 1:] AS x FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, d, x[1:d] AS p, d = len(x) AS ends FROM r, unnest(range(0, len(x) + 1)) u(d)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+a AS (SELECT n.p[1:e] AS p, sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(n.p[d].t) END) AS saved, count(*) FILTER (WHERE k.p IS NULL) AS leaves FROM n LEFT JOIN k ON k.p = n.p, unnest(range(0, d + 1)) u(e) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN a ON a.p = n.p LEFT JOIN k ON k.p = n.p LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+"""
+
+_OP12 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, b, octet_length(b) AS n, count(*) OVER w AS c, max(page_id) OVER w AS top FROM p WINDOW w AS (PARTITION BY b)),
+r AS (SELECT *, n >= 1000 AND c > 1 AND top IS NOT NULL AND page_id IS DISTINCT FROM top AS again FROM g)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": _OP3, "op6_quality_rules": _OP6, "op7_ngram_join": _OP7, "op9_line_dedup": _OP9}
+    return {"op3_decontaminate": _OP3, "op6_quality_rules": _OP6, "op7_ngram_join": _OP7, "op9_line_dedup": _OP9, "op11_prefix_trie": _OP11, "op12_warc": _OP12}

@@ -37,9 +37,11 @@ TOKENIZERS = "/opt/tokenizers"
 RANGE = 1 << 16
 FAN = 16
 #: Words that a task remembers, and their longest: others are tokenized each time.
-WORDS, LONGEST = 200_000, 64
+WORDS, LONGEST = 400_000, 64
 #: Texts and characters handled at once.
-ROWS, CHARS = 256, 1 << 20
+ROWS, CHARS = 512, 1 << 21
+#: How ids are written: vocabularies of up to 65,536 entries.
+IDS = "<u2"
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 #: The split pattern of A, and the stretches of code points that a byte-level alphabet keeps as they are.
 SPLIT_A = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -75,6 +77,8 @@ class Pair:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("B has pieces that go on behind a word's end")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else b"" if self._b.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
+            raise ValueError("ids are written as 16 bits")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
     def a(self, text: str) -> np.ndarray:
@@ -129,8 +133,50 @@ def compose(x: dict, y: dict) -> dict:
     return {"head": x["head"], "groups": ";".join(g for g in (x["groups"], written_group(*joined), y["groups"]) if g), "tail": y["tail"]}
 
 
+def _common(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the tokens of A and of B, of both, and the tokens of A and of B that end there; texts may follow one another."""
+    a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+    seen = np.zeros(int(a_end[-1]) + 1 if len(a) else 1, bool)
+    seen[a_end] = True
+    j = np.flatnonzero(seen[b_end])
+    common = b_end[j]
+    return a_end, b_end, common, np.searchsorted(a_end, common), j
+
+
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1, ... of each stretch, stretch after stretch."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(int(size.sum()))
+
+
+class _Lists:
+    """Lists of numbers, one after the other, that grow."""
+
+    def __init__(self):
+        self.values, self.start, self.n = np.zeros(4096, np.int64), np.zeros(1025, np.int64), 0
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        used = self.start[self.n]
+        for name, wanted in (("values", used + len(values)), ("start", self.n + len(sizes) + 1)):
+            held = getattr(self, name)
+            if wanted > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(len(held), int(wanted) - len(held)), np.int64)]))
+        self.values[used : used + len(values)] = values
+        self.start[self.n + 1 : self.n + len(sizes) + 1] = used + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def of(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All values of lists k, and the sizes of these."""
+        size = self.start[k + 1] - self.start[k]
+        return self.values[_gather(self.start[k], size)], size
+
+
+def _edged(word: str) -> bool:
+    return not word or word.strip() != word
+
+
 class _Words:
-    """What a task knows of words: numbers of tokens, groups as text, links. Bounded: it starts anew when full."""
+    """What a task knows of words: tokens of A and of B, links, whether both spell it. Bounded: it starts anew when full."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
@@ -138,23 +184,7 @@ class _Words:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.text: list[str] = []
-        self.numbers = np.zeros((1024, 4), np.int64)  # tokens of A, of B, links, whether bytes agree
-        self.start = np.zeros(1025, np.int64)
-        self.links = np.zeros(4096, np.int64)
-
-    def _put(self, numbers: np.ndarray, links: np.ndarray, sizes: np.ndarray, texts: list[str]) -> None:
-        n, m = len(self.text), len(texts)
-        while n + m > len(self.numbers):
-            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
-            self.start = np.concatenate([self.start, np.zeros(len(self.numbers) + 1 - len(self.start), np.int64)])
-        used = self.start[n]
-        while used + len(links) > len(self.links):
-            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-        self.links[used : used + len(links)] = links
-        self.numbers[n : n + m] = numbers
-        self.start[n + 1 : n + m + 1] = used + np.cumsum(sizes)
-        self.text += texts
+        self.a, self.b, self.links, self.ok = _Lists(), _Lists(), _Lists(), _Lists()
 
     def _learn(self, words: list[str]) -> None:
         """All words in one call of each tokenizer: they begin anew at each of the spaces between."""
@@ -165,61 +195,58 @@ class _Words:
                 for half in (words[: len(words) // 2], words[len(words) // 2 :]):
                     self._learn(half)
             elif words:
-                self._put(np.zeros((1, 4), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), [""])
+                one = np.zeros(1, np.int64)
+                for part in (self.a, self.b, self.links):
+                    part.extend(one[:0], one)
+                self.ok.extend(one, one + 1)
             return
         a, b = got
-        a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+        a_end, b_end, common, i, j = _common(pair, a, b)
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        seen = np.zeros(ends[-1] + 1, bool)
-        seen[a_end] = True
-        b_in = seen[b_end]
-        common = b_end[b_in]
-        i, j = np.searchsorted(a_end, common), np.flatnonzero(b_in)
-        links = a[i] * len(pair.b_bytes) + b[j]
-        # tokens of both, group by group, each with the sign that follows it
-        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        sign_a[i], sign_b[j] = 1, 2
-        before_b = np.concatenate([[0], j + 1])  # B's tokens ahead of each group
-        group_a, group_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-        order = np.empty(len(a) + len(b), object)
-        order[np.arange(len(a)) + before_b[group_a]] = _signed(a, sign_a)
-        order[np.arange(len(b)) + (i + 1)[group_b]] = _signed(b, sign_b)
-        word_of = lambda e: np.searchsorted(ends, e)
-        n_a, n_b, n_l = (np.bincount(word_of(e), minlength=len(words)) for e in (a_end, b_end, common))
-        to = np.cumsum(n_a + n_b).tolist()
-        flat = order.tolist()
-        texts = ["".join(flat[x:y])[:-1] for x, y in zip([0, *to], to, strict=False)]
-        self._put(np.stack([n_a, n_b, n_l, np.ones(len(words), np.int64)], axis=1), links, n_l, texts)
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        per = lambda e: np.bincount(np.searchsorted(ends, e), minlength=len(words))
+        self.a.extend(a, per(a_end))
+        self.b.extend(b, per(b_end))
+        self.links.extend(a[i] * len(pair.b_bytes) + b[j], per(common))
+        self.ok.extend(np.ones(len(words), np.int64), np.ones(len(words), np.int64))
+
+    def _known(self, words: list[str], blanks: bool) -> np.ndarray:
+        """Numbers of distinct words, new ones learned. blanks: some may have a blank at an end, and can't be joined with others."""
+        new = [w for w in words if w not in self.at]
+        edged = [w for w in new if _edged(w)] if blanks else []
+        for call in ([w for w in new if not _edged(w)] if edged else new, *([w] for w in edged)):
+            first = self.ok.n
+            self._learn(call)
+            self.at.update(zip(call, range(first, self.ok.n), strict=True))
+        out = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        for w in [*(w for w in new if len(w) > LONGEST), *(w for w in edged if len(w) <= LONGEST)]:
+            del self.at[w]
+        return out
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of all texts, and where each text's begin (one more than texts)."""
-        if len(self.text) > WORDS:
+        if self.ok.n > WORDS:
             self.clear()
-        parts = [t.split(" ") for t in texts]
-        # a blank beside a space: only spaces between other characters part words. Parts with such edges are never kept
-        new = {w: None for p in parts for w in p if w not in self.at}
-        if edged := {w for w in new if _edged(w)}:
-            parts = [p if edged.isdisjoint(p) else _BREAK.split(t) for p, t in zip(parts, texts, strict=True)]
-            new = {w: None for p in parts for w in p if w not in self.at}
-        # a word with a blank at its end can't be joined with others
-        calls = [[w for w in new if not _edged(w)], *([w] for w in new if _edged(w))]
-        own = {w: len(self.text) + k for k, w in enumerate(w for c in calls for w in c)}
-        for c in calls:
-            self._learn(c)
-        self.at.update((w, k) for w, k in own.items() if len(w) <= LONGEST and not _edged(w))
-        rest = {w: k for w, k in own.items() if w not in self.at}
-        flat = [w for p in parts for w in p]
-        found = [rest[w] if w in rest else self.at[w] for w in flat] if rest else list(map(self.at.__getitem__, flat))
-        return np.array(found, np.int64), np.cumsum([0, *map(len, parts)])
-
-
-def _edged(word: str) -> bool:
-    return not word or word[0].isspace() or word[-1].isspace()
-
-
-def _signed(ids: np.ndarray, sign: np.ndarray) -> list[str]:
-    ends = ",|;"
-    return [f"{i}{ends[s]}" for i, s in zip(ids.tolist(), sign.tolist(), strict=True)]
+        parts = pc.split_pattern(texts, " ")
+        words, start = parts.flatten().dictionary_encode(), np.asarray(parts.offsets, np.int64) - parts.offsets[0].as_py()
+        distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+        # a blank beside a space: only spaces between other characters part words, so these texts are parted anew
+        edged = np.array([_edged(w) for w in distinct], bool)
+        if not edged.any():
+            return self._known(distinct, False)[index], start
+        row = np.repeat(np.arange(len(texts)), np.diff(start))
+        again = np.unique(row[edged[index]])
+        redone = [_BREAK.split(t) for t in texts.take(pa.array(again)).to_pylist()]
+        kept = np.unique(index[~np.isin(row, again)])
+        numbers = np.zeros(len(distinct), np.int64)
+        every = list(dict.fromkeys([*(distinct[k] for k in kept), *(w for p in redone for w in p)]))
+        found = self._known(every, True)
+        numbers[kept] = found[: len(kept)]
+        place = dict(zip(every, found.tolist(), strict=True))
+        flat = np.concatenate([numbers[index], np.array([place[w] for p in redone for w in p], np.int64)])
+        begin, size = start[:-1].copy(), np.diff(start)
+        size[again] = [len(p) for p in redone]
+        begin[again] = len(index) + np.cumsum(size[again]) - size[again]
+        return flat[_gather(begin, size)], np.concatenate([[0], np.cumsum(size)])
 
 
 def _slices(batch):
@@ -328,46 +355,71 @@ def _arrow(docs: DataFrame) -> pa.DataType:
     return to_arrow_type(docs.schema["doc_id"].dataType)
 
 
-def pair_counts(docs: DataFrame, files) -> DataFrame:
+def pair_counts(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """(pair, n): how often two ids are linked in all texts; pair is the id of A times B's number of ids, plus the id of B."""
-    return _pair_counts(docs, _spelled(_fragments(docs.select("doc_id", "text"), files)), files)
+    docs, files = docs.select("doc_id", "text"), load(docs.sparkSession, a_path, b_path)
+    return _summed(_tokenized(docs, files), _spelled(_fragments(docs, files)))
+
+
+def _binary(values: np.ndarray, size: np.ndarray, kind: str) -> pa.Array:
+    """A binary value for each stretch of numbers."""
+    data = values.astype(kind)
+    offsets = np.concatenate([[0], np.cumsum(size)]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def _pair_counts(docs: DataFrame, fragments: DataFrame, files) -> DataFrame:
-    def summed(pairs, n):
-        keys, at = np.unique(pairs, return_inverse=True)
-        out = np.zeros(len(keys), np.int64)
-        np.add.at(out, at, n)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out)], ["pair", "n"])
+def _counted(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(pairs, return_inverse=True)
+    out = np.zeros(len(keys), np.int64)
+    np.add.at(out, at, n)
+    return keys, out
+
+
+def _tokenized(docs: DataFrame, files) -> DataFrame:
+    """The tokens of all texts of up to RANGE characters, written once: rows (doc_id, a, b) of ids, with empty ones where the bytes
+    differ, and rows (pair, n) of what a task has counted."""
+    kind, schema = kind_of(docs), pa.schema([("doc_id", _arrow(docs)), ("a", pa.binary()), ("b", pa.binary()), ("pair", pa.int64()), ("n", pa.int64())])
 
     def told(batches):
         words = _Words(Pair(*files.value))
-        held, seen = words, np.zeros(0, np.int64)
+        seen = np.zeros(0, np.int64)
 
         def flush():
-            n = len(held.text)
-            each = np.repeat(seen[:n], np.diff(held.start[: n + 1]))
-            return summed(held.links[: held.start[n]], each)
+            k = np.flatnonzero(seen)
+            links, size = words.links.of(k)
+            pair, n = _counted(links, np.repeat(seen[k], size))
+            for at in range(0, len(pair), 100_000):
+                p, c = pair[at : at + 100_000], n[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(p), schema.field("doc_id").type), pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.binary()), pa.array(p), pa.array(c)], schema=schema)
 
         for batch in batches:
             for low, high in _slices(batch):
-                if len(words.text) > WORDS:
-                    yield flush()
+                if words.ok.n > WORDS:
+                    yield from flush()
                     seen = np.zeros(0, np.int64)
-                part, start = words.of(batch.column("text").slice(low, high - low).to_pylist())
-                seen = np.concatenate([seen, np.zeros(len(words.text) - len(seen), np.int64)])
-                ok = _sums(words.numbers[part, 3], start) == np.diff(start)
-                seen += np.bincount(part[np.repeat(ok, np.diff(start))], minlength=len(seen))
-        yield flush()
-
+                part, start = words.of(batch.column("text").slice(low, high - low))
+                size = np.diff(start)
+                fine = _sums(words.ok.of(part)[0], start) == size
+                seen = np.concatenate([seen, np.zeros(max(0, words.ok.n - len(seen)), np.int64)])
+                part, size = part[np.repeat(fine, size)], np.where(fine, size, 0)
+                seen += np.bincount(part, minlength=len(seen))
+                start = np.concatenate([[0], np.cumsum(size)])
+                columns = [_binary(ids, _sums(n, start), IDS) for ids, n in (words.a.of(part), words.b.of(part))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *columns, pa.nulls(high - low, pa.int64()), pa.nulls(high - low, pa.int64())], schema=schema)
+        yield from flush()
+
+    rows = docs.where(f"text <> '' and char_length(text) <= {RANGE}").mapInArrow(told, f"doc_id {kind}, a binary, b binary, pair long, n long")
+    return written(rows, "tokens")
+
+
+def _summed(tokens: DataFrame, fragments: DataFrame) -> DataFrame:
     def linked(batches):
         for batch in batches:
             pairs = np.frombuffer(b"".join(x for x in batch.column("links").to_pylist() if x), np.int64)
-            yield summed(pairs, np.ones(len(pairs), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _counted(pairs, np.ones(len(pairs), np.int64))], ["pair", "n"])
 
-    short = docs.where(f"text <> '' and char_length(text) <= {RANGE}").select("text").mapInArrow(told, "pair long, n long")
-    long = fragments.select("links").mapInArrow(linked, "pair long, n long")
-    return short.unionByName(long).where("n > 0").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = tokens.where("pair is not null").select("pair", "n").unionByName(fragments.select("links").mapInArrow(linked, "pair long, n long"))
+    return rows.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -380,42 +432,45 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
     """
     docs = docs.select("doc_id", "text")
     kind, files = kind_of(docs), load(docs.sparkSession, a_path, b_path)
-    fragments = _fragments(docs, files)
-    n_pieces = len(Pair(*files.value).b_bytes)
+    fragments, tokens = _fragments(docs, files), _tokenized(docs, files)
     spelled = _spelled(fragments)
-    counts = written(_pair_counts(docs, spelled, files), "pair-counts").toPandas().sort_values("pair")
+    n_pieces = len(Pair(*files.value).b_bytes)
+    counts = written(_summed(tokens, spelled), "pair-counts").toPandas().sort_values("pair")
     keys, n = counts["pair"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     most = np.zeros(n_pieces, np.int64)
     np.maximum.at(most, keys % n_pieces, n)
     known = docs.sparkSession.sparkContext.broadcast((keys, n, (n == most[keys % n_pieces]).astype(np.int64)))
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, groups string"
 
     def told(batches):
-        words = _Words(Pair(*files.value))
-        scored = np.zeros((0, 2), np.int64)
-        for batch in batches:
-            for low, high in _slices(batch):
-                if len(words.text) > WORDS:
-                    scored = np.zeros((0, 2), np.int64)
-                part, start = words.of(batch.column("text").slice(low, high - low).to_pylist())
-                if len(scored) < len(words.text):  # words that are new here
-                    at = words.start[len(scored) : len(words.text) + 1]
-                    count, best = _scores(words.links[at[0] : at[-1]], known.value)
-                    scored = np.concatenate([scored, _sums(np.stack([best, count], axis=1), at - at[0])])
-                sums = _sums(np.concatenate([words.numbers[part], scored[part]], axis=1), start)
-                ok = sums[:, 3] == np.diff(start)
-                sums = np.where(ok[:, None], sums, 0)
-                every = list(map(words.text.__getitem__, part.tolist()))
-                texts = [";".join(every[x:y]) if fine else "" for x, y, fine in zip(start.tolist(), start[1:].tolist(), ok.tolist(), strict=False)]
-                columns = [sums[:, c] for c in (0, 1, 2, 2, 4, 5)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *map(pa.array, columns), pa.array(texts, pa.string())], ["doc_id", *names, "groups"])
+        pair = Pair(*files.value)
+        shown = [np.array([f"{i}{sign}" for sign in ends for i in range(len(table))], object) for table, ends in ((pair.a_bytes, ",|"), (pair.b_bytes, ",;"))]
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                (a, a_start), (b, b_start) = (_numbers(batch.column(c)) for c in ("a", "b"))
+                a_end, b_end, common, i, j = _common(pair, a, b)
+                # texts begin anew at the ends of those before them
+                ends = np.concatenate([[0], a_end])[a_start[1:]]
+                l_start = np.concatenate([[0], np.searchsorted(common, ends, side="right")])
+                count, best = _scores(a[i] * len(pair.b_bytes) + b[j], known.value)
+                # tokens of both, group by group, each with the sign that follows it
+                sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+                sign_a[i], sign_b[j] = 1, 1
+                order = np.empty(len(a) + len(b), object)
+                order[np.arange(len(a)) + np.concatenate([[0], j + 1])[np.searchsorted(common, a_end)]] = shown[0][a + sign_a * len(pair.a_bytes)]
+                order[np.arange(len(b)) + (i + 1)[np.searchsorted(common, b_end)]] = shown[1][b + sign_b * len(pair.b_bytes)]
+                flat, to = order.tolist(), (a_start + b_start).tolist()
+                texts = ["".join(flat[x:y])[:-1] for x, y in zip(to, to[1:], strict=False)]
+                links = np.diff(l_start)
+                columns = [np.diff(a_start), np.diff(b_start), links, links, _sums(best, l_start), _sums(count, l_start)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array(texts, pa.string())], ["doc_id", *names, "groups"])
 
     def scored_links(links: pd.Series) -> pd.DataFrame:
         got = [_scores(np.frombuffer(x, np.int64), known.value) for x in links]
         return pd.DataFrame({"n_best": [int(best.sum()) for _, best in got], "count_sum": [int(c.sum()) for c, _ in got]})
 
-    short = docs.where(f"text <> '' and char_length(text) <= {RANGE}").mapInArrow(told, schema)
+    short = tokens.where("pair is null").select("doc_id", "a", "b").mapInArrow(told, f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, groups string")
     zero = [F.lit(0).cast("long").alias(c) for c in names]
     score = F.pandas_udf(scored_links, "n_best long, count_sum long")
     level = spelled.withColumn("s", score("links")).select("key", "k", *_FRAGMENT_NAMES, "s.*")
@@ -425,6 +480,12 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
     return short.unionByName(none).unionByName(long)
 
 
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, and where each row's begin."""
+    size = pc.binary_length(column).to_numpy() // np.dtype(IDS).itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), IDS).astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
 def _composed(level: DataFrame) -> DataFrame:
     """One row for each key: FAN neighbouring fragments become one, level by level."""
 

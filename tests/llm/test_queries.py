@@ -23,7 +23,7 @@ def words(text):
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
