@@ -92,8 +92,9 @@ def number_spellings(value: Column) -> Column:
 
 
 def markdown_escape(text: Column) -> Column:
-    """Characters that markdown reads as markup get a backslash."""
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|<>~])", r"\\$1")
+    """Characters that markdown reads as markup get a backslash; angle brackets and ampersands become entities."""
+    tags = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.regexp_replace(tags, r"([\\`*_\[\]|~#])", r"\\$1")
 
 
 def urls(text: Column) -> Column:
@@ -102,7 +103,7 @@ def urls(text: Column) -> Column:
 
 
 def head_and_tail(text: Column, most: int = 4000) -> Column:
-    """T15. A longer text becomes its first and last half-budget with a line between that counts what is left out."""
+    """T15. A longer text becomes its first and last half-budget with a line between that counts what is left out (the line is a fixed value)."""
     half = most // 2
     note = F.concat(F.lit("\n[... "), (F.length(text) - 2 * half).cast("string"), F.lit(" characters omitted ...]\n"))
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(half)), note, F.right(text, F.lit(half))))

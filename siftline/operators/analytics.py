@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import nearest_ranks
+
 #: Verdicts by severity, and the states of a data query.
 VERDICTS = ("allow", "log", "redact", "block")
 STATUSES = ("resolved", "denied", "rejected", "empty", "error")
@@ -137,12 +139,9 @@ def _steps(log: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys with count, median and p95 by nearest rank, rounded to 3 places."""
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("count"),
-        F.round(F.expr(f"percentile_disc(0.5) within group (order by {value})"), 3).alias("median"),
-        F.round(F.expr(f"percentile_disc(0.95) within group (order by {value})"), 3).alias("p95"),
-    )
+    """keys with count, median and p95 by nearest rank, rounded to 3 places; exact, by selection."""
+    found = nearest_ranks(rows, keys, value, {"median": 0.5, "p95": 0.95})
+    return found.select(*keys, "count", F.round("median", 3).alias("median"), F.round("p95", 3).alias("p95"))
 
 
 def latency_by_step(log: DataFrame) -> DataFrame:
@@ -177,10 +176,17 @@ def feed_rows(last: DataFrame) -> DataFrame:
 
 
 def final_verdict(log: DataFrame) -> DataFrame:
-    """A14. Adds final_verdict: the worst of the decisions; a denied tool call makes it redact at least."""
+    """A14. Adds final_verdict: the worst of the decisions; a denied tool call makes it redact at least.
+
+    If log has tool_calls (how many the model asked for), calls_left (how many passed all checks) and answer, a request whose
+    calls were all taken away, with no answer beside them, is blocked.
+    """
     worst = F.coalesce(F.array_max(F.transform("decisions", lambda d: severity(d["verdict"]))), F.lit(0))
     denied = F.exists("tool_decisions", lambda t: t["verdict"] == "deny")
     rank = F.greatest(worst, F.when(F.coalesce(denied, F.lit(False)), F.lit(2)).otherwise(F.lit(0)), F.lit(0))
+    if {"tool_calls", "calls_left", "answer"} <= set(log.columns):
+        nothing = (F.col("tool_calls") > 0) & (F.coalesce("calls_left", F.lit(0)) == 0) & (F.coalesce("answer", F.lit("")) == "")
+        rank = F.when(F.coalesce(nothing, F.lit(False)), F.lit(3)).otherwise(rank)
     return log.withColumn("final_verdict", F.get(F.array(*map(F.lit, VERDICTS)), rank.cast("int")))
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: Fixed value: how far a cost may pass its limit before a call is refused.
 COST_SLACK = 1e-9
 
@@ -33,11 +35,20 @@ def budget_check(calls: DataFrame, prices: DataFrame, limits: DataFrame) -> Data
     """C3. Adds used_tokens and used_cost (of the day before the call), verdict and control.
 
     calls: id, user_id, role, ts, model, estimate, tokens. limits: role, tokens_per_day, cost_per_day_usd, with a row
-    'default'. A call passes if usage and estimate reach the limit exactly. One window per user and day.
+    'default'. A call passes if usage and estimate reach the limit exactly.
     """
     priced = with_cost(with_cost(calls, prices), prices, "estimate", "estimated_cost")
-    before = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    used = priced.withColumns({"used_tokens": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "used_cost": F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0))})
+    # two levels: sums within a minute, and those of the day's minutes before it, so that a busy day is many groups
+    day, minute = F.to_date("ts").alias("_day"), F.date_trunc("minute", "ts").alias("_minute")
+    priced = priced.select("*", day, minute)
+    sums = priced.groupBy("user_id", "_day", "_minute").agg(F.sum("tokens").alias("_t"), F.sum("cost_usd").alias("_c"))
+    earlier = Window.partitionBy("user_id", "_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    sums = sums.select(F.col("user_id").alias("_user"), F.col("_minute").alias("_m"), none(F.sum("_t").over(earlier)).alias("_t"), none(F.sum("_c").over(earlier)).alias("_c"))
+    before = Window.partitionBy("user_id", "_minute").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    used = priced.withColumns({"used_tokens": none(F.sum("tokens").over(before)), "used_cost": none(F.sum("cost_usd").over(before))})
+    used = used.join(sums, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("_minute").eqNullSafe(F.col("_m")))
+    used = used.withColumns({"used_tokens": F.col("used_tokens") + F.col("_t"), "used_cost": F.col("used_cost") + F.col("_c")})
     default = limits.where("role = 'default'").select(F.lit("").alias("none"), F.col("tokens_per_day").alias("dt"), F.col("cost_per_day_usd").alias("dc"))
     rows = used.join(limits.where("role <> 'default'").select("role", "tokens_per_day", "cost_per_day_usd"), "role", "left").withColumn("none", F.lit("")).join(default, "none", "left")
     tokens, cost = F.coalesce("tokens_per_day", "dt"), F.coalesce("cost_per_day_usd", "dc")
@@ -45,10 +56,19 @@ def budget_check(calls: DataFrame, prices: DataFrame, limits: DataFrame) -> Data
     return rows.withColumn("control", over).withColumn("verdict", F.when(F.col("control").isNull(), "allow").otherwise("block")).select(*calls.columns, "used_tokens", "used_cost", "verdict", "control")
 
 
+def _with_halo(requests: DataFrame, seconds: int) -> DataFrame:
+    """requests with _at (microseconds), each row in its own block of `seconds` (_own) and once more in the next one: all that
+    a row's trailing span can hold lies in its block."""
+    span = seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    places = F.explode(F.array(F.struct(F.floor(at / span).alias("block"), F.lit(True).alias("own")), F.struct((F.floor(at / span) + 1).alias("block"), F.lit(False).alias("own"))))
+    return requests.withColumn("_at", at).withColumn("_p", places).select("*", F.col("_p.block").alias("_block"), F.col("_p.own").alias("_own")).drop("_p")
+
+
 def trailing_load(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """C5. Adds load: the user's requests in (ts - seconds, ts], itself included."""
-    span = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return requests.withColumn("load", F.count("*").over(span))
+    """C5. Adds load: the user's requests in (ts - seconds, ts], itself included. A window per user and span, not per user."""
+    span = Window.partitionBy("user_id", "_block").orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    return _with_halo(requests, seconds).withColumn("load", F.count("*").over(span)).where("_own").select(*requests.columns, "load")
 
 
 def admission(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
@@ -56,16 +76,25 @@ def admission(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
 
     Refused requests don't count, so decisions depend on earlier ones. Two exact shortcuts keep the ordered fold
     small: no state survives a gap of `seconds`, so a user's requests split into sessions at such gaps, each its own
-    group; and a session whose load never passes the limit is admitted as a whole, with built-ins only. Requests of
-    a user at one time go by id. requests: id, user_id, ts; ids are unique.
+    group; and a session whose load never passes the limit is admitted as a whole, with built-ins only. Loads, gaps and
+    sessions come from blocks of `seconds`, not from a window over a whole user. Requests of a user at one time go by
+    id. requests: id, user_id, ts; ids are unique.
     """
-    order = Window.partitionBy("user_id").orderBy("ts", "id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.coalesce(at - F.lag(at).over(order) >= seconds * 1_000_000, F.lit(True))
-    sessions = requests.withColumn("_gap", gap.cast("int")).withColumn("_session", F.sum("_gap").over(order)).drop("_gap")
-    loaded = trailing_load(sessions, seconds)
-    busy = loaded.withColumn("_busy", F.max("load").over(Window.partitionBy("user_id", "_session")) > limit)
-    calm = busy.where("not _busy").select(*requests.columns, F.lit(True).alias("admitted"))
+    at = F.col("_at")
+    block = Window.partitionBy("user_id", "_block").orderBy("_at", "id")
+    recent = Window.partitionBy("user_id", "_block").orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    rows = _with_halo(requests, seconds).withColumns({"_load": F.count("*").over(recent), "_last": F.lag("_at").over(block)}).where("_own")
+    starts = rows.withColumn("_start", F.when(F.coalesce(at - F.col("_last") >= seconds * 1_000_000, F.lit(True)), at))
+    # the last start in the block up to a row, or else that of the blocks before it
+    ends = starts.groupBy("user_id", "_block").agg(F.max("_start").alias("_m"))
+    carried = F.max("_m").over(Window.partitionBy("user_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col("user_id").alias("_u"), F.col("_block").alias("_b"), carried.alias("_carried"))
+    own = F.max("_start").over(block.rowsBetween(Window.unboundedPreceding, 0))
+    sessions = starts.withColumn("_in", own).join(ends, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("_block") == F.col("_b")))
+    sessions = written(sessions.withColumn("_session", F.coalesce("_in", "_carried")).select(*requests.columns, "_at", "_load", "_session"), "sessions")
+    busy = written(sessions.where(F.col("_load") > limit).select(F.col("user_id").alias("_u"), F.col("_session").alias("_s")).distinct(), "busy-sessions")
+    is_busy = F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("_session") == F.col("_s"))
+    calm = sessions.join(busy, is_busy, "left_anti").select(*requests.columns, F.lit(True).alias("admitted"))
     micros = seconds * 1_000_000
 
     def fold(frames):
@@ -86,7 +115,7 @@ def admission(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
             yield pd.DataFrame({"id": rows["id"].to_numpy(), "admitted": out})
 
     kind = dict(requests.dtypes)["id"]
-    queue = busy.where("_busy").select(F.to_json(F.struct("user_id")).alias("_user"), "_session", "id", at.alias("_at")).repartition("_user", "_session").sortWithinPartitions("_user", "_session", "_at", "id")
+    queue = sessions.join(busy, is_busy, "left_semi").select(F.to_json(F.struct("user_id")).alias("_user"), "_session", "id", "_at").repartition("_user", "_session").sortWithinPartitions("_user", "_session", "_at", "id")
     folded = queue.mapInPandas(fold, f"id {kind}, admitted boolean")
     return calm.unionByName(requests.join(folded, "id").select(*requests.columns, "admitted"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .leaks import ASCII_RUN, token_hits
 from .scan import redacted_text
 
 #: Labels from the freest to the strictest.
@@ -21,6 +22,8 @@ LABELS = ("public", "internal", "sensitive")
 #: Modules whose import is safe, prefixes and name parts that never are.
 SAFE_MODULES = ("torch", "numpy", "collections", "_codecs")
 PLACEHOLDER = r"\{x\d+\}"
+#: Fixed value: what counts as a value in the text of a query: strings in either quotes, and words of hex digits with a digit.
+VALUES_IN_SQL = r"'(?:[^']|'')*+'?|\"(?:[^\"]|\"\")*+\"?|[0-9A-Fa-f]*[0-9][0-9A-Fa-f]*"
 
 
 def label_rank(label: Column) -> Column:
@@ -165,7 +168,12 @@ def decoded_arguments(arguments: pd.Series) -> pd.DataFrame:
         leaves, top = [], []
         for k, v in found.items():
             leaves.append({"arg": None, "text": k})
-            number = float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
+            number = None
+            if isinstance(v, int | float) and not isinstance(v, bool):
+                try:
+                    number = float(v)
+                except OverflowError:  # beyond all limits
+                    number = float("inf")
             kind = "text" if isinstance(v, str) else "other" if number is None else "number"
             top.append({"arg": k, "folded": _folded(k), "kind": kind, "text": v if kind == "text" else None, "number": number})
             if not walk(v, k, 2, leaves):
@@ -180,15 +188,17 @@ def authorize_calls(calls: DataFrame, listed: DataFrame, rules: DataFrame, bindi
 
     calls: call_id, request_id, role, tool, arguments (a JSON text); listed: role, tool; rules: role, tool, arg, rule
     (allow_pattern, deny_pattern, max), value; bindings: request_id, name, status, label, disclosed, value; tool_labels:
-    role, tool, max_label. Order: not_listed, malformed_arguments, argument_name, then per ruled argument egress of a
-    placeholder and its own checks, and at last egress of query results: a placeholder anywhere, or a disclosed value
+    role, tool, max_label. Order: not_listed, malformed_arguments, argument_name, then argument by argument, in the order of the rules'
+    column n if there is one, egress of a placeholder and its own checks, and at last egress of query results: a placeholder anywhere, or a disclosed value
     that was copied, needs a resolved binding with a label within the tool's max_label. Without one nothing may pass.
     """
     rows = calls.withColumn("d", decoded_arguments("arguments")).join(listed.select("role", "tool", F.lit(True).alias("ok")), ["role", "tool"], "left")
     rows = rows.select("call_id", "request_id", "role", "tool", "ok", F.col("d.ok").alias("fine"), "d.leaves", "d.top")
-    flaw = lambda order, rule: F.struct(F.lit(order).alias("o"), rule.alias("rule"))
+    # an argument stands where its first rule does
+    places = rules.groupBy("role", "tool", "arg").agg(F.min("n" if "n" in rules.columns else F.lit(0)).cast("long").alias("place"))
+    flaw = lambda order, rule, place=F.lit(0): F.struct(F.lit(3 if 3 <= order <= 6 else order).alias("o"), place.cast("long").alias("place"), F.lit(order).alias("k"), rule.alias("rule"))
     base = rows.select("call_id", F.when(F.col("ok").isNull(), flaw(0, F.lit("not_listed"))).when(~F.col("fine"), flaw(1, F.lit("malformed_arguments"))).alias("f"))
-    each = rows.where("ok and fine").join(rules.withColumn("folded", folded_name("arg")), ["role", "tool"])
+    each = rows.where("ok and fine").join(rules.select("role", "tool", "arg", "rule", "value").join(places, ["role", "tool", "arg"]).withColumn("folded", folded_name("arg")), ["role", "tool"])
     lookalike = F.exists("top", lambda t: (t["arg"] != F.col("arg")) & (t["folded"] == F.col("folded")))
     v = F.get(F.filter("top", lambda t: t["arg"] == F.col("arg")), F.lit(0))
     there, is_text = v.isNotNull(), F.coalesce(v["kind"] == "text", F.lit(False))
@@ -196,11 +206,12 @@ def authorize_calls(calls: DataFrame, listed: DataFrame, rules: DataFrame, bindi
     matches = F.coalesce(F.rlike(v["text"], F.concat(F.lit("^(?:"), F.col("value"), F.lit(r")\z"))), F.lit(False))
     limit = F.col("value").try_cast("double")
     within = F.coalesce((v["kind"] == "number") & ~F.isnan(v["number"]) & (F.abs(v["number"]) < float("inf")) & (v["number"] <= limit), F.lit(False))
+    of = lambda order, rule: flaw(order, rule, F.col("place"))
     broken = (
-        F.when(lookalike, flaw(2, F.lit("argument_name"))).when(placed, flaw(3, F.lit("egress")))
-        .when((F.col("rule") == "allow_pattern") & ~(is_text & matches), flaw(4, F.lit("allow_pattern")))
-        .when((F.col("rule") == "deny_pattern") & there & ~(is_text & ~F.coalesce(F.rlike(v["text"], F.col("value")), F.lit(True))), flaw(5, F.lit("deny_pattern")))
-        .when((F.col("rule") == "max") & there & ~within, flaw(6, F.lit("max")))
+        F.when(lookalike, flaw(2, F.lit("argument_name"))).when(placed, of(3, F.lit("egress")))
+        .when((F.col("rule") == "allow_pattern") & ~(is_text & matches), of(4, F.lit("allow_pattern")))
+        .when((F.col("rule") == "deny_pattern") & there & ~(is_text & ~F.coalesce(F.rlike(v["text"], F.col("value")), F.lit(True))), of(5, F.lit("deny_pattern")))
+        .when((F.col("rule") == "max") & there & ~within, of(6, F.lit("max")))
     )
     ruled = each.select("call_id", broken.alias("f"))
     sent = rows.where("ok and fine").select("call_id", "request_id", "role", "tool", "leaves")
@@ -210,8 +221,9 @@ def authorize_calls(calls: DataFrame, listed: DataFrame, rules: DataFrame, bindi
     shown = F.regexp_replace(text, r"^(-?[0-9]+)\.0$", "$1(?:\\\\.0)?")
     quoted = F.when(text.rlike(r"^-?[0-9]+\.0$"), shown).otherwise(F.concat(F.lit(r"\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E")))
     token = F.concat(F.lit(r"(?iu)(?<![0-9A-Za-z])"), quoted, F.lit(r"(?![0-9A-Za-z])"))
-    held = bindings.where("disclosed and trim(cast(value as string)) <> ''").select("request_id", "name", token.alias("token"))
-    copied = sent.join(held, "request_id").where(F.exists("leaves", lambda x: F.rlike(x["text"], F.col("token")))).select("call_id", "request_id", "role", "tool", "name")
+    held = bindings.where("disclosed and trim(cast(value as string)) <> ''").select("request_id", "name", text.alias("value"), token.alias("token"))
+    parts = sent.select("call_id", "request_id", "role", "tool", F.explode("leaves").alias("x")).select("call_id", "request_id", "role", "tool", F.col("x.text").alias("text"))
+    copied = token_hits(parts, held, ["request_id"], ASCII_RUN).where(F.rlike("text", F.col("token"))).select("call_id", "request_id", "role", "tool", "name").distinct()
     carried = named.unionByName(copied).join(bindings.select("request_id", "name", "status", "label"), ["request_id", "name"], "left").join(tool_labels, ["role", "tool"], "left")
     may = (F.col("status") == "resolved") & F.col("label").isin(*LABELS) & F.col("max_label").isin(*LABELS) & (label_rank(F.col("label")) <= label_rank(F.col("max_label")))
     egress = carried.where(~F.coalesce(may, F.lit(False))).select("call_id", flaw(7, F.lit("egress")).alias("f"))
@@ -273,8 +285,7 @@ def unsafe_imports(imports: DataFrame, denied_prefixes: list[str], denied_names:
 def scrub_sql(sql: Column) -> Column:
     """G13. Quoted strings (an unclosed one to the end), and words of hex digits with a digit, become [VALUE]; secrets and
     personal data that are left are redacted (T6)."""
-    shown = F.regexp_replace(sql, r"'(?:[^']|'')*+'?|\"(?:[^\"]|\"\")*+\"?|[0-9A-Fa-f]*[0-9][0-9A-Fa-f]*", "[VALUE]")
-    return redacted_text(shown)
+    return redacted_text(F.regexp_replace(sql, VALUES_IN_SQL, "[VALUE]"))
 
 
 def query_requests(calls: DataFrame, cap: int) -> DataFrame:

@@ -11,18 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import integer_form, markdown_escape, number_form, number_spellings
+from ..tables import written
 from .scan import find_spans, rewritten
 
 #: A number in text, with grouped thousands and a decimal part; what replaces and marks values.
 NUMBER = r"(?<!\d)(?<!\d[.,])\d+(?:[  .,]\d{3})*(?:[.,]\d+)?(?!\d)(?![.,]\d)"
 REDACTED, MARKER = "[REDACTED]", "[unavailable]"
 PLACEHOLDER = r"\{x\d+\}"
-WITHHELD = "Record details withheld: they contained a value from this request."
 #: Fields of a record that don't come from the request; the shortest value looked for.
 UNGUARDED = ("request_id", "timestamp", "policy_version", "feed_version", "verdict", "user_id", "role", "department", "ai_data_policy", "answer_model", "judge_model", "disabled_controls", "step_latency_ms")
 MIN_GUARDED = 3
+#: What stands in a record whose details are left out.
+WITHHELD = "Left out: this record spelled one of its request's own values."
+#: Runs of letters and digits that tokens are found by: of any script in messages, of ASCII in records and arguments.
+RUN, ASCII_RUN = r"[\p{L}\p{N}]+", "[0-9A-Za-z]+"
 #: A whole token; a number isn't the start or end of a longer one.
-_BEFORE, _AFTER = r"(?<![^\W_])(?<!\d[.,])", r"(?![^\W_])(?![.,]\d)"
+BEFORE, AFTER = r"(?<![^\W_])(?<!\d[.,])", r"(?![^\W_])(?![.,]\d)"
 
 
 def text_number_forms(text: str) -> set[str]:
@@ -113,6 +117,7 @@ def number_tokens(texts: DataFrame, text: str = "text", most_digits: Column | No
 def find_protected(texts: DataFrame, index: DataFrame, min_digits: int = 4, key: str = "id") -> DataFrame:
     """L4. (key, role, start, end) of numbers in texts (key, role, text) that the role's index holds."""
     digits = F.length(F.regexp_replace("form", "[^0-9]", ""))
+    index = written(index, "protected-index")  # read twice
     most = index.agg(F.coalesce(F.max(digits), F.lit(0)).alias("_most"))  # one row
     rows = texts.select(key, "role", "text").crossJoin(F.broadcast(most))
     tokens = number_tokens(rows, most_digits=F.col("_most")).drop("text", "_most").where(digits >= min_digits)
@@ -179,33 +184,52 @@ def filter_answers(answers: DataFrame, index: DataFrame | None, mode: str = "red
     return rows.select(*answers.columns, F.when(caught & F.lit(mode == "block"), "").otherwise(F.col("_c.text")).alias("filtered"), F.when(caught, mode).when(F.col("_c.left") > 0, "redact").otherwise("allow").alias("verdict"), F.col("_c.kinds").alias("kinds"))
 
 
+#: JSON nested deeper than this is taken as text.
+MOST_LEVELS = 200
+
+
+def json_leaves(value) -> list[str]:
+    """All keys, strings and numbers (as text) of a JSON value, in order, without recursion."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            todo += [y for k, v in reversed(x.items()) for y in (v, k)]
+        elif isinstance(x, list):
+            todo += reversed(x)
+        elif isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, int | float) and not isinstance(x, bool):
+            out.append(str(x))
+    return out
+
+
+def json_depth(value) -> int:
+    """Levels of objects and lists within each other."""
+    depth, level = 0, [value]
+    while level := [x for x in level if isinstance(x, dict | list)]:
+        depth += 1
+        level = [y for x in level for y in (x.values() if isinstance(x, dict) else x)]
+    return depth
+
+
 def filter_arguments(calls: DataFrame, approved: DataFrame | None = None, index: DataFrame | None = None, min_digits: int = 4) -> DataFrame:
     """L10. Adds filtered and changed to calls (call_id, arguments, and role if there is an index): in every string, key and
     number of the JSON what is a secret, personal data, or a number that the role's index protects is redacted, and
-    placeholders are marked; a changed number becomes text. approved: call_id, args left as they are."""
-
-    def parts_of(value):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                yield k
-                yield from parts_of(v)
-        elif isinstance(value, list):
-            for v in value:
-                yield from parts_of(v)
-        elif isinstance(value, str):
-            yield value
-        elif isinstance(value, int | float) and not isinstance(value, bool):
-            yield str(value)
+    placeholders are marked; a changed number becomes text. approved: call_id, args left as they are. What isn't JSON, or is
+    nested deeper than MOST_LEVELS, is cleaned as plain text."""
 
     def parsed(text: str | None):
+        """The JSON value, or the text itself if it is none or nested too deep to be taken apart."""
         try:
-            return json.loads(text)
-        except (TypeError, ValueError):
+            value = json.loads(text)
+        except (TypeError, ValueError, RecursionError):
             return text
+        return text if json_depth(value) > MOST_LEVELS else value
 
     @F.pandas_udf("array<string>")
     def texts(arguments: pd.Series) -> pd.Series:
-        return pd.Series([sorted({p for p in parts_of(parsed(a)) if re.search("[0-9]", p)}) for a in arguments], dtype=object)
+        return pd.Series([sorted({p for p in json_leaves(parsed(a)) if re.search("[0-9]", p)}) for a in arguments], dtype=object)
 
     hits = calls.select("call_id", F.lit(None).cast("map<string,array<struct<start:int,end:int>>>").alias("_p")).limit(0)
     if index is not None:
@@ -244,39 +268,107 @@ def filter_arguments(calls: DataFrame, approved: DataFrame | None = None, index:
     return rows.select(*calls.columns, F.col("_c.text").alias("filtered"), F.col("_c.changed").alias("changed"))
 
 
+def whole_token(value: Column) -> Column:
+    """A Java pattern of the value as a whole token, in any case."""
+    return F.concat(F.lit(r"(?iu)(?<![0-9A-Za-z])\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![0-9A-Za-z])"))
+
+
+def token_hits(texts: DataFrame, values: DataFrame, owner: list[str], run: str, text: str = "text", value: str = "value") -> DataFrame:
+    """Rows of texts beside rows of values of one owner (columns of both) where the text may hold the value as a whole token.
+
+    An index by equality: a value is looked up by its first run of letters and digits, which a text that holds it has as a
+    whole run; all other pairs never meet. Each text is split once. Values without any run meet all texts of the owner.
+    Columns other than the owner's must differ. The hit has still to be verified.
+    """
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({run})"), F.lit(1)))
+    keyed = texts.withColumn("_run", F.explode(F.concat(F.array(F.lit("")), runs)))
+    return keyed.join(values.withColumn("_run", F.regexp_extract(F.lower(value), f"({run})", 1)), [*owner, "_run"]).drop("_run")
+
+
+def _cells(value: Column, expect: Column) -> Column:
+    """What a list's cells or a row's parts say, without their escapes."""
+    none = F.array().cast("array<string>")
+    lines = F.split(value, r"\R")
+    bare = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"\\(.)", "$1"), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    cells = F.transform(F.flatten(F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines), F.lit(1))), lambda x: F.split(x, r"(?<!\\)\|"))), bare)
+    parts = F.transform(F.split(value, ", "), lambda x: F.regexp_extract(x, r"(?s)^.*?: (.*)$", 1))
+    return F.when((expect == "list") & (F.size(lines) > 2), cells).when(expect == "row", parts).otherwise(none)
+
+
 def value_forms(values: DataFrame) -> DataFrame:
-    """L6. (request_id, form, whole) that a request's values may appear as. values: request_id, kind ('vault' or
-    'binding'), value. Vault originals count anywhere, binding values as whole tokens and in any number spelling."""
-    number = F.col("value").rlike(r"^-?\d+(\.\d+)?$")
-    forms = F.when(F.col("kind") == "vault", F.array("value")).otherwise(F.array_union(F.array(F.trim("value")), F.when(number, number_spellings(F.col("value").try_cast("double"))).otherwise(F.array().cast("array<string>"))))
-    return values.where("value is not null").select("request_id", F.explode(forms).alias("form"), (F.col("kind") != "vault").alias("whole")).where((F.length("form") >= MIN_GUARDED) | ~F.col("whole")).where("form <> ''").distinct()
+    """L6. (request_id, form, whole) that a request's values may appear as. values: request_id, kind ('vault' or 'binding'),
+    value, and perhaps expect ('scalar', 'list', 'row'). Vault originals count anywhere; binding values, a list's cells
+    (below its header) and a row's parts count as whole tokens, in any number spelling."""
+    expect = F.coalesce(F.col("expect"), F.lit("")) if "expect" in values.columns else F.lit("")
+    texts = F.transform(F.concat(F.array("value"), _cells(F.col("value"), expect)), lambda x: F.trim(x))
+    spelled = lambda x: F.when(x.rlike(r"^-?\d+(\.\d+)?$"), F.concat(F.array(x), number_spellings(x.try_cast("double")))).otherwise(F.array(x))
+    forms = F.when(F.col("kind") == "vault", F.array("value")).otherwise(F.flatten(F.transform(texts, spelled)))
+    return values.where("value is not null").select("request_id", F.explode(F.array_distinct(forms)).alias("form"), (F.col("kind") != "vault").alias("whole")).where((F.length("form") >= MIN_GUARDED) | ~F.col("whole")).where("form <> ''").distinct()
+
+
+def _field_texts(name: str, field) -> Column:
+    """array<struct<path, text>> of one field, a text or a list of them, of all structs in the list column of that name."""
+    item = lambda path, text: F.struct(path.alias("path"), text.cast("string").alias("text"))
+    place = lambda k: F.concat(F.lit(f"{name}["), k.cast("string"), F.lit(f"].{field.name}"))
+    if field.dataType.typeName() == "string":
+        return F.transform(name, lambda x, k: item(place(k), x[field.name]))
+    inner = lambda x, k: F.transform(x[field.name], lambda y, n: item(F.concat(place(k), F.lit("["), n.cast("string"), F.lit("]")), y))
+    return F.flatten(F.filter(F.transform(name, inner), lambda y: y.isNotNull()))
 
 
-def leaking_records(records: DataFrame, values: DataFrame) -> DataFrame:
-    """L6. (request_id, paths): texts of a record that spell a value of its own request. An equality join on
-    request_id, so the work grows with each request's own values only."""
+def _guarded_texts(records: DataFrame) -> Column:
+    """array<struct<path, text>> of all texts in the fields that come from the request."""
     item = lambda path, text: F.struct(path.alias("path"), text.cast("string").alias("text"))
-    of = lambda list_, field: F.transform(list_, lambda x, k: item(F.concat(F.lit(f"{list_}["), k.cast("string"), F.lit(f"].{field}")), x[field]))
-    lists = [("decisions", f) for f in ("stage", "control", "reason")] + [("bindings", f) for f in ("name", "sql", "purpose", "reason")] + [("tool_decisions", f) for f in ("tool", "rule", "reason")]
     none = F.array().cast("array<struct<path:string,text:string>>")
-    texts = records.select("request_id", F.explode(F.concat(F.array(item(F.lit("prompt_text"), F.col("prompt_text"))), *[F.coalesce(of(a, b), none) for a, b in lists])).alias("t")).select("request_id", "t.*").where("text <> ''")
-    escaped = F.replace(F.col("form"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    token = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), escaped, F.lit(r"\E(?![\p{L}\p{N}])"))
-    hit = F.when(F.col("whole"), F.rlike("text", token)).otherwise(F.contains(F.lower("text"), F.lower("form")))
-    return texts.join(value_forms(values), "request_id").where(hit).groupBy("request_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    parts = [none]
+    for field in records.schema:
+        kind = field.dataType
+        if field.name in UNGUARDED:
+            continue
+        if kind.typeName() == "string":
+            parts.append(F.array(item(F.lit(field.name), F.col(field.name))))
+        elif kind.typeName() == "array" and kind.elementType.typeName() == "struct":
+            parts += [F.coalesce(_field_texts(field.name, sub), none) for sub in kind.elementType if sub.dataType.simpleString() in ("string", "array<string>")]
+    return F.concat(*parts)
+
+
+def leaking_records(records: DataFrame, values: DataFrame) -> DataFrame:
+    """L6. (request_id, paths): texts of a record that spell a value of its own request. Joins by request and, for whole
+    tokens, by the first run of a value, so that no value meets a text that doesn't hold that run."""
+    texts = records.select("request_id", F.explode(_guarded_texts(records)).alias("t")).select("request_id", "t.*").where("text <> ''")
+    forms = value_forms(values)
+    tokens = token_hits(texts, forms.where("whole"), ["request_id"], ASCII_RUN, value="form").where(F.rlike("text", whole_token(F.col("form"))))
+    vault = texts.join(forms.where("not whole"), "request_id").where(F.contains(F.lower("text"), F.lower("form")))
+    return tokens.select("request_id", "path").unionByName(vault.select("request_id", "path")).groupBy("request_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
 def guard_records(records: DataFrame, values: DataFrame) -> DataFrame:
-    """L6. Records with the free text of leaking ones blanked and their decisions replaced by one of the guard's."""
-    hit = leaking_records(records, values).select("request_id", F.lit(True).alias("_hit"))
-    guard = F.array(F.struct(F.lit("record").alias("stage"), F.lit("audit.guard").alias("control"), F.lit("log").alias("verdict"), F.lit(WITHHELD).alias("reason"), F.lit(0.0).alias("latency_ms")))
+    """L6. Records with the details of leaking ones left out and their decisions replaced by one of the guard's: no prompt, no
+    SQL, purpose, reason, tables or columns of a binding, no tool or reason of a tool decision, and no name or rule that
+    is itself where the value stands. Counts, statuses and identity stay."""
+    hit = leaking_records(records, values).withColumnRenamed("paths", "_paths")
+    guard = F.array(F.struct(F.lit("audit").alias("stage"), F.lit("audit.guard").alias("control"), F.lit("log").alias("verdict"), F.lit(WITHHELD).alias("reason"), F.lit(0.0).alias("latency_ms")))
     rows = records.join(hit, "request_id", "left")
-    leaks = F.coalesce("_hit", F.lit(False))
+    leaks = F.col("_paths").isNotNull()
+    spelled = lambda pattern: F.exists("_paths", lambda p: p.rlike(pattern))
+
+    def emptied(name: str, always: tuple, if_spelled: tuple) -> Column:
+        fields = {f.name: f.dataType for f in records.schema[name].dataType.elementType}
+
+        def one(x: Column) -> Column:
+            for f in (*always, *if_spelled):
+                if f in fields:
+                    nothing = F.lit("") if fields[f].typeName() == "string" else F.array().cast(fields[f])
+                    x = x.withField(f, nothing if f in always else F.when(spelled(rf"^{name}\[\d+\]\.{f}$"), nothing).otherwise(x[f]))
+            return x
+
+        return F.when(leaks, F.transform(name, one)).otherwise(F.col(name))
+
     return rows.withColumns({
         "decisions": F.when(leaks, guard.cast(records.schema["decisions"].dataType)).otherwise(F.col("decisions")),
         "prompt_text": F.when(~leaks, F.col("prompt_text")),
-        "bindings": F.when(leaks, F.transform("bindings", lambda b: b.withField("sql", F.lit("")).withField("purpose", F.lit("")).withField("reason", F.lit("")))).otherwise(F.col("bindings")),
-        "tool_decisions": F.when(leaks, F.transform("tool_decisions", lambda t: t.withField("reason", F.lit("")))).otherwise(F.col("tool_decisions")),
+        "bindings": emptied("bindings", ("sql", "purpose", "reason", "tables", "columns"), ("name", "status", "label")),
+        "tool_decisions": emptied("tool_decisions", ("tool", "reason"), ("rule", "verdict")),
     }).select(records.columns)
 
 
@@ -297,15 +389,16 @@ def remask_history(messages: DataFrame, issued: DataFrame, ttl_seconds: int, mar
     """L8. Adds masked and replaced to messages (id, user_id, role, ts, text): the user's live issued values in
     assistant messages become the marker, longest first, in one pass, as whole tokens only.
 
-    A value lives while issued_at > ts - ttl. The range is cut into buckets of ttl, so that the join is an equality
-    on (user, bucket) and a long history doesn't meet all of a user's values.
+    A value lives while issued_at > ts - ttl. The range is cut into buckets of ttl and values are looked up by their first
+    run of letters and digits, so that the join is an equality on (user, bucket, run): a message meets only the
+    values whose first run it holds, however many the user has.
     """
     micros = lambda t: F.unix_micros(F.col(t).cast("timestamp"))
     bucket = lambda t: F.floor(t.cast("timestamp").cast("double") / ttl_seconds)
     wanted = messages.where("role = 'assistant' and text is not null").select("id", "user_id", "ts", "text")
-    spread = issued.withColumn("_b", F.explode(F.array(bucket(F.col("issued_at")), bucket(F.col("issued_at")) + 1)))
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(F.col("value"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
-    met = wanted.withColumn("_b", bucket(F.col("ts"))).join(spread, ["user_id", "_b"]).where((F.col("issued_at") <= F.col("ts")) & (micros("issued_at") > micros("ts") - ttl_seconds * 1_000_000)).where(F.rlike("text", quoted))
+    spread = issued.select("user_id", "value", "issued_at", F.explode(F.array(bucket(F.col("issued_at")), bucket(F.col("issued_at")) + 1)).alias("_b"))
+    lives = (F.col("issued_at") <= F.col("ts")) & (micros("issued_at") > micros("ts") - ttl_seconds * 1_000_000)
+    met = token_hits(wanted.withColumn("_b", bucket(F.col("ts"))), spread, ["user_id", "_b"], RUN).where(lives & F.contains("text", "value"))
     values = met.groupBy("id").agg(F.collect_set("value").alias("_values"))
 
     @F.pandas_udf("struct<text:string,n:int>")
@@ -313,33 +406,45 @@ def remask_history(messages: DataFrame, issued: DataFrame, ttl_seconds: int, mar
         rows = []
         for t, v in zip(texts, values, strict=True):
             pattern = "|".join(re.escape(x) for x in sorted(v, key=lambda x: (-len(x), x)))
-            rows.append(re.subn(f"{_BEFORE}(?:{pattern}){_AFTER}", lambda _: marker, t))
+            rows.append(re.subn(f"{BEFORE}(?:{pattern}){AFTER}", lambda _: marker, t))
         return pd.DataFrame(rows, columns=["text", "n"])
 
     done = wanted.join(values, "id").withColumn("_m", replace("text", "_values")).select("id", "_m")
     return messages.join(done, "id", "left").select(*messages.columns, F.coalesce("_m.text", "text").alias("masked"), F.coalesce("_m.n", F.lit(0)).alias("replaced"))
 
 
-def fill(texts: DataFrame, bindings: DataFrame, vault: DataFrame | None = None) -> DataFrame:
+def fill(texts: DataFrame, bindings: DataFrame, vault: DataFrame | None = None, escape: str = "markdown", markers: dict[str, str] | None = None, all_denied: str | None = None) -> DataFrame:
     """L9. Adds filled and spans to texts (request_id, text): placeholders become values in one literal pass.
 
-    bindings: request_id, name, expect, status, value; a resolved one gives its value (markdown-escaped unless a
-    list), any other a marker, as does an unknown placeholder. vault (request_id, token, value), if given, restores
-    masked tokens. spans tell the text of the model from the inserted one.
+    bindings: request_id, name, expect, status, value; a resolved one gives its value (escaped unless a list, or unless escape
+    is none), denied, rejected, empty and error ones their marker. Everything else, as an unknown placeholder, an
+    unknown status or a resolved null, gives the marker of rejected. Of several rows of one name the least counts.
+    vault (request_id, token, value), if given, restores masked tokens, escaped likewise. all_denied: what a text with a
+    placeholder becomes as a whole if the request has bindings and none is resolved. spans tell the text of the model
+    from the inserted one.
     """
-    value = F.when(F.col("status") == "resolved", F.when(F.col("expect") == "list", F.col("value")).otherwise(markdown_escape(F.col("value")))).otherwise(F.concat(F.lit("["), F.col("status"), F.lit("]")))
-    pairs = bindings.select("request_id", "name", F.coalesce(value, F.lit("[empty]")).alias("out"))
+    markers = {m: f"[{m}]" for m in ("denied", "rejected", "empty", "error")} | (markers or {})
+    shown = lambda c: markdown_escape(c) if escape == "markdown" else c
+    value = F.when(F.col("status") == "resolved", F.when(F.col("expect") == "list", F.col("value")).otherwise(shown(F.col("value"))))
+    for status, marker in markers.items():
+        value = value.when(F.col("status") == status, F.lit(marker))
+    pairs = bindings.select("request_id", "name", F.coalesce(value, F.lit(markers["rejected"])).alias("out"), F.coalesce(F.col("status") == "resolved", F.lit(False)).alias("good"))
     if vault is not None:
-        pairs = pairs.unionByName(vault.select("request_id", F.col("token").alias("name"), F.col("value").alias("out")))
-    maps = pairs.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "out"))).alias("_map"))
+        pairs = pairs.unionByName(vault.select("request_id", F.col("token").alias("name"), shown(F.col("value")).alias("out"), F.lit(None).cast("boolean").alias("good")))
+    single = pairs.where("name is not null and out is not null").groupBy("request_id", "name").agg(F.min("out").alias("out"), F.max("good").alias("good"))
+    maps = single.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "out"))).alias("_map"), F.max("good").alias("_good"))
+    unknown, message = markers["rejected"], all_denied
 
     @F.pandas_udf("struct<text:string,spans:array<struct<start:int,end:int,source:string,binding:string>>>")
-    def put(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+    def put(texts: pd.Series, names: pd.Series, good: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, known in zip(texts, names, strict=True):
+        for t, known, some in zip(texts, names, good, strict=True):
+            if message and some is False and re.search(PLACEHOLDER, t or ""):
+                rows.append((message, [{"start": 0, "end": len(message), "source": "gateway", "binding": None}]))
+                continue
             known, out, spans, at, length = dict(known) if known is not None else {}, [], [], 0, 0
-            for m in re.finditer(r"\{x\d+\}|\[[A-Z_]+_\d+\]", t or ""):
-                new = known.get(m[0], "[rejected]" if m[0][0] == "{" else None)
+            for m in re.finditer(r"\{x\d+\}|\[[A-Z]+_\d+\]", t or ""):
+                new = known.get(m[0], unknown if m[0][0] == "{" else None)
                 if new is None:
                     continue
                 for piece, source, name in ((t[at : m.start()], "model", None), (new, "gateway", m[0])):
@@ -354,5 +459,5 @@ def fill(texts: DataFrame, bindings: DataFrame, vault: DataFrame | None = None)
             rows.append(("".join(out), spans))
         return pd.DataFrame(rows, columns=["text", "spans"])
 
-    return texts.join(maps, "request_id", "left").withColumn("_f", put("text", "_map")).select(*texts.columns, F.col("_f.text").alias("filled"), F.col("_f.spans").alias("spans"))
+    return texts.join(maps, "request_id", "left").withColumn("_f", put("text", "_map", "_good")).select(*texts.columns, F.col("_f.text").alias("filled"), F.col("_f.spans").alias("spans"))
 

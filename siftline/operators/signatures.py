@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import re
-from functools import partial
+from functools import lru_cache, partial
+from re import _constants as ops
+from re import _parser as parser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import urls
 from ..schemas import FEED
+from ..tables import written
 
 #: Where signatures apply, how severe they are, and how they match.
 SURFACES = ("input", "tool_result", "url", "tool_definition", "model_output", "tool_args")
 SEVERITIES = ("high", "medium", "low")
 TYPES = ("regex", "substring")
+#: Largest feed file, and most entries whose index goes to all tasks.
+MOST_FEED_BYTES, MOST_ENTRIES = 64 << 20, 1_000_000
+#: Characters that an entry is looked up by, and those that ignoring case equates with others than their upper case.
+GRAM, ODD_CASES = 3, set("ski")
 #: Format characters (Unicode category Cf).
 _FORMAT = r"\p{Cf}+"
 
@@ -39,9 +47,18 @@ def feed_errors(entries: DataFrame) -> DataFrame:
 
 
 def parse_feed(spark: SparkSession, path: str) -> tuple[str, list[dict]]:
-    """S5. (version, entries) of a feed file; raises FeedError with all errors. A feed is a small policy file."""
+    """S5. (version, entries) of a feed file; raises FeedError with all errors.
+
+    The version is the file's own, or else that of its content: sha256: and 16 hexadecimal digits. A feed is a policy file:
+    one of over MOST_FEED_BYTES is refused before it is read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > MOST_FEED_BYTES:
+        raise FeedError(f"the feed has {size} bytes, {MOST_FEED_BYTES} at most are read")
     feed = spark.read.schema(FEED).option("multiLine", True).json(path)
-    head = feed.select(F.coalesce(F.nullif(F.trim("version"), F.lit("")), F.left(F.sha2(F.to_json("signatures").cast("binary"), 256), F.lit(12))).alias("version")).first()
+    head = feed.select(F.nullif("version", F.lit("")).alias("version")).first()
+    digest = files.select(F.sha2("content", 256)).first()
     entries = feed.select(F.explode("signatures").alias("s")).select("s.*")
     rows = [r.asDict() for r in entries.collect()]
     errors = [f"{r['id']}: {r['error']}" for r in feed_errors(entries).collect()]
@@ -54,7 +71,7 @@ def parse_feed(spark: SparkSession, path: str) -> tuple[str, list[dict]]:
         errors.append("no signatures")
     if errors:
         raise FeedError("; ".join(sorted(errors)))
-    return head["version"], rows
+    return head["version"] or f"sha256:{digest[0][:16]}", rows
 
 
 def strip_format(text: Column) -> Column:
@@ -102,3 +119,101 @@ def match_signatures(texts: DataFrame, feed: list[dict], surface: Column, mode:
         "signature_verdict": F.when(F.exists("_hits", lambda h: h["action"] == "block"), "block").when(F.size("_hits") > 0, "log").otherwise("allow"),
         "signature_ids": F.array_join(F.array_distinct(F.transform("_hits", lambda h: h["id"])), ", "),
     }).drop("_clean", "_urls", "_surface", "_hits")
+
+
+def required_runs(pattern: str) -> list[str]:
+    """Runs of characters, in lower case, that every match of a regular expression holds. Groups and repeats that must occur
+    count; what may be left out, alternatives and look-around don't."""
+    parsed = parser.parse(pattern)
+    runs, run = [], []
+
+    def end() -> None:
+        if run:
+            runs.append("".join(run))
+            run.clear()
+
+    def walk(items, fold: bool) -> None:
+        for op, value in items:
+            if op is ops.LITERAL and not (fold and chr(value).lower() in ODD_CASES):
+                run.append(chr(value).lower())
+            elif op is ops.SUBPATTERN:
+                _, added, removed, inner = value
+                walk(inner, (fold or bool(added & re.IGNORECASE)) and not removed & re.IGNORECASE)
+            elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT, ops.POSSESSIVE_REPEAT) and value[0] > 0:
+                end()
+                walk(value[2], fold)
+                end()
+            else:
+                end()
+
+    walk(parsed, bool(parsed.state.flags & re.IGNORECASE))
+    end()
+    return [r for r in runs if len(r.lower()) == len(r)]
+
+
+def feed_index(feed: DataFrame) -> DataFrame:
+    """T11. feed (id, severity, applies_to, type, pattern, and pos, its order) with gram: GRAM characters in a row that each text with
+    a match holds once it is in lower case; of those the one that fewest entries have. Null where there are none."""
+
+    @F.pandas_udf("array<string>")
+    def grams(kinds: pd.Series, patterns: pd.Series) -> pd.Series:
+        runs = [required_runs(p) if k == "regex" else [p.lower()] for k, p in zip(kinds, patterns, strict=True)]
+        return pd.Series([sorted({r[i : i + GRAM] for r in x for i in range(len(r) - GRAM + 1)}) for x in runs], dtype=object)
+
+    rows = feed.withColumn("_grams", grams("type", "pattern"))
+    every = rows.select("pos", F.explode("_grams").alias("gram"))
+    rarest = every.join(every.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("pos").agg(F.min(F.struct("n", "gram")).alias("_g"))
+    return rows.drop("_grams").join(rarest, "pos", "left").withColumn("gram", F.col("_g.gram")).drop("_g")
+
+
+@lru_cache(maxsize=4096)
+def _searcher(kind: str, pattern: str):
+    if kind == "regex":
+        return re.compile(pattern).search
+    low = pattern.lower()
+    return lambda text: low in text.lower()
+
+
+def match_feed(texts: DataFrame, feed: DataFrame, surface: Column, mode: str = "block", text: str = "text", key: str = "id") -> DataFrame:
+    """T11 for feeds of any length: match_signatures() with the feed as a DataFrame (id, severity, applies_to, type, pattern, pos).
+
+    Every entry is looked up by one gram, so that a text meets only the entries whose gram it holds: a join by equality. Those are
+    verified, one by one, with the patterns as they are; entries without a gram are verified on every text. The grams
+    of up to MOST_ENTRIES entries go to all tasks, so that only theirs are dealt out of a text. key: unique per row.
+    """
+    names = texts.columns
+    index = written(feed_index(feed), "feed-index")
+    wanted = {r[0] for r in index.where("gram is not null").select("gram").distinct().limit(MOST_ENTRIES + 1).collect()}
+    wanted = wanted if len(wanted) <= MOST_ENTRIES else None
+    bare = [r.asDict() for r in index.where("gram is null").orderBy("pos").limit(MOST_ENTRIES).collect()]
+
+    @F.pandas_udf("array<string>")
+    def held(xs: pd.Series) -> pd.Series:
+        out = []
+        for x in xs:
+            found = {x[i : i + GRAM] for i in range(len(x) - GRAM + 1)}
+            out.append(sorted(found if wanted is None else found & wanted))
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("array<struct<pos:long,id:string,severity:string>>")
+    def verified(xs: pd.Series, where: pd.Series, addresses: pd.Series, entries: pd.Series) -> pd.Series:
+        out = []
+        for x, at, links, some in zip(xs, where, addresses, entries, strict=True):
+            hits = []
+            for e in (*(some if some is not None else ()), *bare):
+                find = _searcher(e["type"], e["pattern"])
+                if (at in e["applies_to"] and find(x)) or ("url" in e["applies_to"] and any(find(u) for u in links)):
+                    hits.append({"pos": e["pos"], "id": e["id"], "severity": e["severity"]})
+            out.append(sorted(hits, key=lambda h: h["pos"]) if x else [])
+        return pd.Series(out, dtype=object)
+
+    rows = texts.withColumn("_clean", strip_format(F.coalesce(F.col(text), F.lit("")))).withColumns({"_urls": urls(F.col("_clean")), "_surface": surface})
+    met = rows.select(F.col(key).alias("_key"), F.explode(held(F.lower("_clean"))).alias("gram")).join(index, "gram")
+    entries = met.groupBy("_key").agg(F.collect_list(F.struct("pos", "id", "severity", "applies_to", "type", "pattern")).alias("_entries"))
+    rows = rows.join(entries, F.col(key) == F.col("_key"), "left").withColumn("_hits", verified("_clean", "_surface", "_urls", "_entries"))
+    action = lambda h: F.when(h["severity"] == "high", "block").when(h["severity"] == "medium", mode).otherwise("log")
+    hits = F.col("_hits") if mode != "off" else F.filter("_hits", lambda h: F.lit(False))
+    return rows.select(
+        *names, F.when(F.exists(hits, lambda h: action(h) == "block"), "block").when(F.size(hits) > 0, "log").otherwise("allow").alias("signature_verdict"),
+        F.array_join(F.array_distinct(F.transform(hits, lambda h: h["id"])), ", ").alias("signature_ids"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as A
 from ..operators import consumption as C
 from ..sources import audit_log
-from .audit_view import AUDIT_SQL, audit_view, table
+from .audit_view import AUDIT_SQL, admitted_sql, audit_view, table
 
 #: A moment within the given events, for the sections that ask what happened lately.
 NOW = datetime.datetime(2024, 1, 15, 12, 30, 30)
@@ -107,6 +107,7 @@ SQL = {
     "c1_cost_of_calls": "SELECT id, cost AS cost_usd FROM calls",
     "c2_daily_usage": "SELECT user_id, CAST(ts AS DATE) AS day, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost_usd FROM calls WHERE tokens > 0 GROUP BY 1, 2",
     "c3_budget_check": "SELECT id, used_tokens, round(used_cost, 4) AS used_cost, CASE WHEN over IS NULL THEN 'allow' ELSE 'block' END AS verdict, over AS control FROM (SELECT *, CASE WHEN used_tokens + estimate > lim.t THEN 'budgets.tokens_per_day' WHEN used_cost + ecost > lim.c + 1e-9 THEN 'budgets.cost_per_day_usd' END AS over FROM (SELECT *, CAST(coalesce(sum(tokens) OVER w, 0) AS BIGINT) AS used_tokens, coalesce(sum(cost) OVER w, 0) AS used_cost FROM calls WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) JOIN lim USING (role))",
+    "c4_admission": admitted_sql(2, 3600),
     "c5_trailing_load": "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599999999 microseconds' PRECEDING AND CURRENT ROW) AS load FROM calls",
     "s1_log_in_range": "SELECT CAST(event_id AS VARCHAR) AS request_id, verdict FROM a WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09'",
     "s3_csv_summaries": "SELECT CAST(event_id AS VARCHAR) AS request_id, 'inbound/masker: allow' || CASE WHEN k % 4 < 3 THEN '; input_checks/' || ['injection','signatures','budgets.tokens_per_day'][1 + k % 4] || ': ' || verdict ELSE '' END AS decisions, '''-' || verdict AS verdict FROM a",
@@ -114,4 +115,4 @@ SQL = {
 
 
 def sql() -> dict[str, str]:
-    return {k: f"WITH {AUDIT_SQL}, {_CALLS_SQL}, {_LIMITS_SQL} {v}" for k, v in SQL.items()}
+    return {k: v if v.startswith("WITH") else f"WITH {AUDIT_SQL}, {_CALLS_SQL}, {_LIMITS_SQL} {v}" for k, v in SQL.items()}

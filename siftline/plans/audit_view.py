@@ -58,3 +58,12 @@ a AS (
     FROM events)
 )
 """
+
+
+def admitted_sql(limit: int, seconds: int) -> str:
+    """Requests admitted one after the other, each user's admitted ones of the last span in a list."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id AS id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BOOLEAN) AS admitted FROM e WHERE n = 1
+        UNION ALL SELECT user_id, n, id, CASE WHEN len(h) < {limit} THEN list_append(h, us) ELSE h END, len(h) < {limit}
+        FROM (SELECT e.user_id, e.n, e.id, e.us, list_filter(f.held, lambda x: x > e.us - {seconds * 1_000_000}) AS h FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+      SELECT id, admitted FROM f WHERE n > 0"""

@@ -60,6 +60,17 @@ def _bindings(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def s7_texts(s: SparkSession, d: str) -> DataFrame:
+    """Turns as messages with a content, with parts, or with tool calls, in turn."""
+    turn, text = F.col("turn"), F.col("text")
+    parts = F.when(turn % 3 == 1, F.array(F.struct(F.lit("text").alias("type"), F.lit("see").alias("text")), F.struct(F.lit("text").alias("type"), text.alias("text"))))
+    call = lambda name, arguments: F.struct(F.lit("1").alias("id"), F.lit("function").alias("type"), F.struct(F.lit(name).alias("name"), arguments.cast("string").alias("arguments")).alias("function"))
+    calls = F.when(turn % 3 == 2, F.array(call("mail", text), call("note", F.lit(""))))
+    role = F.when(turn % 2 == 0, " Tool ").otherwise("user")
+    rows = table(s, d, "conversations").select(F.col("conv_id").alias("request_id"), "turn", role.alias("role"), F.when(turn % 3 == 0, text).alias("content"), parts.alias("parts"), F.col("role").alias("name"), calls.alias("tool_calls"))
+    return messages.client_texts(rows).select("request_id", "turn", "path", "surface", F.length("text").alias("n"))
+
+
 def l3_index(s: SparkSession, d: str) -> DataFrame:
     tables = {"customer": table(s, d, "customer").select("c_acctbal"), "orders": table(s, d, "orders").select("o_totalprice")}
     schema = s.createDataFrame(_COLUMNS, "table string, column string")
@@ -150,7 +161,7 @@ QUERIES = {
     "l4_protected_numbers": l4_numbers,
     "l8_remask_history": l8_remask,
     "s4_column_values": lambda s, d: column_values({"customer": table(s, d, "customer")}, [("customer", "c_mktsegment"), ("customer", "c_custkey")]).groupBy("table", "column", "value").agg(F.count("*").alias("n")),
-    "s7_client_texts": lambda s, d: messages.client_texts(table(s, d, "conversations").select(F.col("conv_id").alias("request_id"), "turn", "role", F.col("text").alias("content"), F.lit(None).cast("array<struct<type:string,text:string>>").alias("parts"), F.lit("n").alias("name"), F.lit(None).cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>").alias("tool_calls"))).select("request_id", "turn", "path", "surface", F.length("text").alias("n")),
+    "s7_client_texts": s7_texts,
     "s8_shaped_result": lambda s, d: shaped(table(s, d, "customer").select("c_custkey", "c_name").orderBy("c_custkey"), "list", 5),
     "t1_sensitive_spans": lambda s, d: scan.with_spans(table(s, d, "documents")).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*"),
     "t3_card_numbers": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([0-9]{16})\b"), F.lit(1))).alias("number")).select("doc_id", "number", checks.card_ok(F.col("number")).alias("ok")),
@@ -186,7 +197,10 @@ SQL = {
     "l2_protected_columns": f"WITH {_GRANTED_SQL}, {_LABEL_SQL} SELECT DISTINCT r.role, lab.t AS \"table\", lab.c AS \"column\" FROM (VALUES ('sales'), ('hr')) r(role), lab WHERE lab.r = 2 OR NOT EXISTS (SELECT 1 FROM granted g WHERE g.role = r.role AND g.t = lab.t AND g.c = lab.c)",
     "l3_protected_index": f"SELECT DISTINCT role, form FROM (SELECT {_FORM} AS form FROM (SELECT c_acctbal AS v FROM customer UNION ALL SELECT o_totalprice FROM orders)), (VALUES ('sales'), ('hr')) r(role) WHERE length(replace(form, '.', '')) >= 4",
     "s4_column_values": "SELECT 'customer' AS \"table\", 'c_mktsegment' AS \"column\", c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 3 UNION ALL SELECT 'customer', 'c_custkey', CAST(c_custkey AS VARCHAR), count(*) FROM customer GROUP BY 3",
-    "s7_client_texts": "SELECT conv_id AS request_id, turn, 'content' AS path, 'input' AS surface, length(text) AS n FROM conversations WHERE text <> '' UNION ALL SELECT conv_id, turn, 'name', 'input', 1 FROM conversations",
+    "s7_client_texts": """WITH c AS (SELECT *, turn % 3 AS m, CASE WHEN turn % 2 = 0 THEN 'tool_result' ELSE 'input' END AS surface FROM conversations), x AS (
+      SELECT *, 'content' AS path, text AS t FROM c WHERE m = 0 UNION ALL SELECT *, 'parts[0]', 'see' FROM c WHERE m = 1 UNION ALL SELECT *, 'parts[1]', text FROM c WHERE m = 1 UNION ALL SELECT *, 'name', role FROM c
+      UNION ALL SELECT *, 'tool_calls[0].name', 'mail' FROM c WHERE m = 2 UNION ALL SELECT *, 'tool_calls[0].arguments', text FROM c WHERE m = 2 UNION ALL SELECT *, 'tool_calls[1].name', 'note' FROM c WHERE m = 2)
+      SELECT conv_id AS request_id, turn, path, surface, length(t) AS n FROM x WHERE t <> ''""",
     "s8_shaped_result": "SELECT 'resolved' AS status, '| c_custkey | c_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY c_custkey) AS value, 5 AS \"rows\", true AS truncated FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)",
     "t3_card_numbers": r"SELECT doc_id, number, regexp_full_match(number, '[2-6][0-9]{15}') AND length(replace(number, number[1], '')) > 0 AND list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(number[i] AS INT) WHEN CAST(number[i] AS INT) > 4 THEN CAST(number[i] AS INT) * 2 - 9 ELSE CAST(number[i] AS INT) * 2 END)) % 10 = 0 AS ok FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b([0-9]{16})\b', 1)) AS number FROM documents)",
     "t4_pesel_numbers": "SELECT o_orderkey, length(s) = 11 AND (10 - list_sum(list_transform(range(1, 11), lambda i: CAST(s[i] AS INT) * [1,3,7,9,1,3,7,9,1,3][i])) % 10) % 10 = CAST(s[11] AS INT) AND CAST(s[3:4] AS INT) % 20 BETWEEN 1 AND 12 AND CAST(s[5:6] AS INT) BETWEEN 1 AND 31 AS ok FROM (SELECT o_orderkey, lpad(CAST(o_orderkey * 1234577 + 44051401358 AS VARCHAR), 11, '0') AS s FROM orders)",

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.leaks import guard_records
 from ..schemas import AUDIT
+from ..tables import written
 
 #: The columns of the CSV table, in order.
 CSV_COLUMNS = (
@@ -28,7 +33,7 @@ def read_audit(spark: SparkSession, path: str, since=None, until=None) -> DataFr
     """The records of a log of JSON lines; lines that aren't JSON or lack a timestamp are skipped."""
     raw = spark.read.schema(f"{AUDIT}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     if "day" in raw.columns:  # folders of other days aren't read
-        raw = raw.where(F.lit(True) if since is None else F.col("day") >= F.to_date(F.lit(since))).where(F.lit(True) if until is None else F.col("day") <= F.to_date(F.lit(until))).drop("day")
+        raw = raw.where(F.lit(True) if since is None else F.col("day") >= F.to_date(F.lit(since))).where(F.lit(True) if until is None else F.col("day") <= F.to_date(F.lit(until))).drop("day", "load")
     return in_range(raw.where("_bad is null").drop("_bad"), since, until)
 
 
@@ -45,9 +50,63 @@ def records_to_write(records: DataFrame, log_prompt_text: bool = True) -> DataFr
     return rows if log_prompt_text else rows.withColumn("prompt_text", F.lit(None).cast("string"))
 
 
-def write_audit(records: DataFrame, path: str, log_prompt_text: bool = True) -> None:
-    """Appends the records to the log at path, a folder per UTC day."""
-    records_to_write(records, log_prompt_text).write.mode("append").partitionBy("day").json(path)
+def _reads_nothing(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(e)
+
+
+def logged_ids(spark: SparkSession, path: str, days: list, load: str) -> DataFrame:
+    """(day, request_id) that the log at path holds for these days, by other loads than this one.
+
+    Ids are read from the folder beside the log. A load that was stopped after its records and before its ids has
+    records only; those are read instead, of that load's folders alone.
+    """
+    none = spark.createDataFrame([], "day string, request_id string")
+    names = ",".join(str(d) if d is not None else "__HIVE_DEFAULT_PARTITION__" for d in days)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/day={{{names}}}").select("path")  # names only
+    except AnalysisException as e:
+        if _reads_nothing(e):
+            return none
+        raise
+    part = lambda k: F.regexp_extract("path", rf"/{k}=([^/]+)/", 1).alias(k)
+    folders = files.select(part("day"), part("load")).distinct().where(F.col("load") != load)
+    try:
+        own = spark.read.schema("request_id string, day string, load string").parquet(f"{path}-ids").where(F.col("day").isin([str(d) for d in days]) | F.col("day").isNull())
+    except AnalysisException as e:
+        if not _reads_nothing(e):
+            raise
+        own = spark.createDataFrame([], "request_id string, day string, load string")
+    own = own.withColumn("day", F.coalesce("day", F.lit("__HIVE_DEFAULT_PARTITION__")))
+    without = folders.join(own.select("day", "load").distinct(), ["day", "load"], "left_anti").collect()  # loads that were stopped
+    ids = own.where(F.col("load") != load).select("day", "request_id")
+    for r in without:
+        ids = ids.unionByName(spark.read.schema("request_id string").json(f"{path}/day={r.day}/load={r.load}").select(F.lit(r.day).alias("day"), "request_id"))
+    return ids
+
+
+def write_audit(records: DataFrame, path: str, load: str | None = None, values: DataFrame | None = None, log_prompt_text: bool = True) -> None:
+    """Adds the records to the log at path, exactly one row per request: a folder per UTC day and load.
+
+    load names the set of records: the same load again replaces its own folders and so changes nothing. Requests that another
+    load has written on the same day stay out, whether loads overlap or one of them was stopped half-way: a load's
+    folders appear at once, and the ids kept beside the log (path-ids) are only a short cut to what they hold. Loads of
+    one log go one after the other. values (see leaks.value_forms) are those of the requests: records that spell
+    one are withheld before anything is written.
+    """
+    spark, load = records.sparkSession, load or uuid.uuid4().hex
+    rows = records_to_write(records, log_prompt_text)
+    if values is not None:
+        rows = guard_records(rows, values)
+    rows = written(rows, "audit-load")
+    days = [r.day for r in rows.select("day").distinct().collect()]  # calendar days
+    if not days:
+        return
+    name = F.coalesce(F.col("day").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    known = logged_ids(spark, path, days, load).distinct()
+    fresh = written(rows.withColumn("_day", name).join(known.withColumnRenamed("day", "_day"), ["_day", "request_id"], "left_anti").drop("_day").withColumn("load", F.lit(load)), "audit-new")
+    put = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "load")
+    put(fresh).json(path)
+    put(fresh.select("request_id", "day", "load")).parquet(f"{path}-ids")
 
 
 def safe_cell(text: Column) -> Column:

@@ -5,13 +5,9 @@ Rows later than the watermark are dropped; the batch job over the whole log stay
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import injection, scan, signatures
 from ..operators.consumption import COST_SLACK
@@ -53,55 +49,6 @@ def trailing_minute(requests: DataFrame, late: str = LATE) -> DataFrame:
     return counts.select("user_id", F.col("window.end").alias("until"), "load")
 
 
-class Admission(StatefulProcessor):
-    """Admitted timestamps (microseconds) of a user within the last minute; rows of a micro-batch go by time."""
-
-    def __init__(self, limit: int, seconds: int):
-        self.limit, self.span = limit, seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = sorted(x[0] for x in self.held.get())
-        batch = pd.concat(list(rows)).sort_values(["at", "id"])
-        out = []
-        for now in batch["at"]:
-            held = [x for x in held if x > now - self.span]
-            out.append(len(held) < self.limit)
-            if out[-1]:
-                held.append(int(now))
-        if held:
-            self.held.put([(x,) for x in held])
-            self.handle.registerTimer((held[-1] + self.span) // 1000 + 1)
-        else:
-            self.held.clear()
-        yield pd.DataFrame({"user_id": key[0], "id": batch["id"].to_numpy(), "admitted": out})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """The state of users who stay away goes once the watermark has passed their last admitted request."""
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = [x for (x,) in self.held.get() if x > now - self.span]
-        if held:
-            self.held.put([(x,) for x in held])
-        else:
-            self.held.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
-def admission(requests: DataFrame, limit: int, seconds: int = 60, late: str = LATE) -> DataFrame:
-    """R4. (user_id, id, admitted) of requests (user_id, id, ts): C4 as a stream; needs the RocksDB state store."""
-    kinds = dict(requests.dtypes)
-    rows = requests.withWatermark("ts", late).select("user_id", "id", "ts", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Admission(limit, seconds), outputStructType=f"user_id {kinds['user_id']}, id {kinds['id']}, admitted boolean", outputMode="Append", timeMode="EventTime"
-    )
-
-
 def live_values(messages: DataFrame, issued: DataFrame, ttl_seconds: int, late: str = LATE) -> DataFrame:
     """R5. (id, user_id, ts, text, value): issued values that live when a message comes; an interval join of streams."""
     m = messages.withWatermark("ts", late)
@@ -142,12 +89,12 @@ def deduplicated(log: DataFrame, late: str = LATE) -> DataFrame:
     return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", each=None, keys: list[str] | None = None) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", each=None) -> DataFrame:
     """Runs a stream over what there is and returns its rows, as a table in the shared folder: for backfills.
 
     Each micro-batch is written by the executors to a folder of its own, over what a failed try has left there; nothing
-    passes through the driver. name must be new. each: what to do with a batch first. keys: of the rows with the same
-    keys, as mode update gives them, only those of the last batch count.
+    passes through the driver. name must be new. each: what to do with a batch first. Streams of
+    mode update are merged by their keys instead: snapshots.upserted().
     """
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/stream-{name}"
@@ -161,6 +108,4 @@ def drained(stream: DataFrame, name: str, mode: str = "append", each=None, keys:
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.schema(empty.schema).option("recursiveFileLookup", True).parquet(path)
-    if keys:
-        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "_batch").alias("_last")).select(*keys, "_last.*")
     return rows.drop("_batch")

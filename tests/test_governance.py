@@ -222,7 +222,7 @@ def test_log_round_trip(spark, tmp_path):
     assert [r.request_id for r in audit_log.in_range(log, dt.datetime(2026, 1, 2), dt.datetime(2026, 1, 3)).collect()] == ["a"]
     row = audit_log.csv_table(log).where("request_id = 'a'").first()
     assert len(row) == 21 and row.prompt_text == "'=1+1" and row.decisions == "s/c: block" and row.role == ""
-    audit_log.write_audit(log.unionByName(log), str(tmp_path / "out"), False)
+    audit_log.write_audit(log.unionByName(log), str(tmp_path / "out"), "one", log_prompt_text=False)
     back = audit_log.read_audit(spark, str(tmp_path / "out"))
     assert back.count() == 2 and {r.prompt_text for r in back.collect()} == {None} and {r.total_latency_ms for r in back.collect()} == {1.235}
 

@@ -5,11 +5,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from siftline.plans import audit_queries, governed_queries, record_queries
+from siftline.plans import audit_queries, governed_queries, record_queries, text_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = audit_queries.QUERIES | governed_queries.QUERIES | record_queries.QUERIES
-SQL = audit_queries.sql() | governed_queries.sql() | record_queries.sql()
+OWN = audit_queries.QUERIES | governed_queries.QUERIES | record_queries.QUERIES | text_queries.QUERIES
+SQL = audit_queries.sql() | governed_queries.sql() | record_queries.sql() | text_queries.sql()
 
 
 @pytest.fixture(scope="module")

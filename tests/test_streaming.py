@@ -5,9 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import consumption
+from siftline.operators import consumption, leaks
 from siftline.plans.audit_view import audit_view
-from siftline.streaming import jobs
+from siftline.streaming import jobs, snapshots, state
 
 T0 = dt.datetime(2026, 1, 1, 12, 0, 0)
 
@@ -28,15 +28,83 @@ def test_daily_usage_and_alerts(spark, tmp_path):
     calls = spark.createDataFrame([("u", T0, 60, 0.1), ("u", T0 + dt.timedelta(hours=1), 50, 0.1), ("v", T0, 10, 0.1), ("w", T0, 10, 2.0)], "user_id string, ts timestamp, tokens long, cost_usd double")
     usage = jobs.daily_usage(stream_of(spark, calls, tmp_path / "a"))
     alerts = jobs.budget_alerts(usage, spark.createDataFrame([("u", 100, 1.0), ("v", 100, None), ("w", 100, 1.0)], "user_id string, tokens_per_day long, cost_per_day_usd double"))
-    got = {(r.user_id, r.tokens, r.control) for r in jobs.drained(alerts, "m2", "update", keys=["user_id", "day"]).collect()}
+    got = {(r.user_id, r.tokens, r.control) for r in snapshots.upserted(alerts, ["user_id", "day"]).collect()}
     assert got == {("u", 110, "budgets.tokens_per_day"), ("w", 10, "budgets.cost_per_day_usd")}
 
 
-def test_admission_as_a_stream(spark, tmp_path):
+@pytest.mark.parametrize("store", ["HDFSBackedStateStoreProvider", "RocksDBStateStoreProvider"])
+def test_admission_as_a_stream(spark, tmp_path, store):
+    """On the state store that sessions have unless told otherwise, and on the other one."""
     rows = [(k, f"u{k % 2}", T0 + dt.timedelta(seconds=(k * 7) % 90)) for k in range(60)]
     requests = spark.createDataFrame(rows, "id long, user_id string, ts timestamp")
-    got = {r.id: r.admitted for r in jobs.drained(jobs.admission(stream_of(spark, requests.coalesce(1), tmp_path / "a"), 3), "m3").collect()}
+    name, held = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, f"org.apache.spark.sql.execution.streaming.state.{store}")
+    try:
+        got = {r.id: r.admitted for r in jobs.drained(state.admission(stream_of(spark, requests.coalesce(1), tmp_path / "a"), 3), f"m3-{store}").collect()}
+    finally:
+        spark.conf.set(name, held)
     assert got == {r.id: r.admitted for r in consumption.admission(requests, 3).collect()}
+    assert not all(got.values())
+
+
+def in_files(spark, df, path, order):
+    """A stream that reads the rows of one moment after those of another, a file at a time."""
+    for k, (at,) in enumerate(sorted(df.select(order).distinct().collect())):
+        df.where(F.col(order) == at).coalesce(1).write.parquet(f"{path}/{k:03d}")
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_remasked_stream_is_the_batch(spark, tmp_path, salts):
+    """Values and messages of several batches: what lives, what has died, longer values first, and values of others."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    issued = spark.createDataFrame([("u", "alpha", at(0)), ("u", "alpha beta", at(1)), ("u", "52000", at(40)), ("w", "alpha", at(0)), ("u", " ", at(0)), ("u", "alpha", at(120))], "user_id string, value string, issued_at timestamp")
+    texts = [(k, u, r, at(s), t) for k, (u, r, s, t) in enumerate([
+        ("u", "assistant", 5, "alpha beta, alpha and 52000"), ("u", "user", 5, "alpha"), ("u", "assistant", 41, "52000 but not 152000 or 52000.5"), ("w", "assistant", 41, "Alpha alpha 52000"), ("u", "assistant", 100, "alpha 52000"),
+        ("u", "assistant", 102, "alpha"), ("u", "assistant", 121, "xalpha alpha"), ("u", None, 121, "alpha"), ("u", "assistant", 121, None), ("u", "assistant", 400, "alpha")])]
+    messages = spark.createDataFrame(texts, "id int, user_id string, role string, ts timestamp, text string")
+    want = {(r.id, r.masked, r.replaced) for r in leaks.remask_history(messages, issued.where("trim(value) <> ''"), 100).collect()}
+    streams = in_files(spark, messages, tmp_path / "m", "ts"), in_files(spark, issued, tmp_path / "v", "issued_at")
+    once = [spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / p)) for df, p in ((messages, "m"), (issued, "v"))]
+    assert {(r.id, r.masked, r.replaced) for r in jobs.drained(state.remasked(*once, 100, late="1 hour", salts=salts), f"m11-{salts}").collect()} == want
+    assert {r[0] for r in want if r[2]} == {0, 2, 3, 4, 6} and len(streams) == 2
+
+
+def test_remasked_state_ends(spark, tmp_path):
+    """Batch by batch, with a short watermark: values die, and state of users who stay away goes."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    events = spark.createDataFrame([(k, "u" if k < 8 else "z", at(100 * k), f"v{k}") for k in range(12)], "id int, user_id string, ts timestamp, v string")
+    rows = lambda: in_files(spark, events, tmp_path / f"e{len(list(tmp_path.iterdir()))}", "ts")
+    messages = rows().select("id", "user_id", F.lit("assistant").alias("role"), "ts", F.concat("v", F.lit(" v0")).alias("text"))
+    issued = rows().select("user_id", F.col("v").alias("value"), F.col("ts").alias("issued_at"))
+    got = {r.id: r.masked for r in jobs.drained(state.remasked(messages, issued, 150, late="1 second"), "m12").collect()}
+    assert got == {k: f"[value] {'[value]' if k < 2 else 'v0'}" for k in range(12)}
+
+
+def test_snapshots(spark, tmp_path):
+    """Late rows, a batch tried again, null keys, buckets that a batch leaves alone."""
+    path = f"file://{tmp_path}/t"
+    of = lambda rows: spark.createDataFrame(rows, "k string, day int, n long")
+    now = lambda: {(r.k, r.day): r.n for r in snapshots.latest(spark, path, of([]).schema).collect()}
+    assert now() == {}
+    snapshots.upsert(of([("a", 1, 1), ("b", 1, 2), (None, 1, 3)]), path, ["k", "day"], 0, 8)
+    snapshots.upsert(of([("a", 1, 5), ("c", 2, 6), (None, 1, 7)]), path, ["k", "day"], 1, 8)
+    want = {("a", 1): 5, ("b", 1): 2, ("c", 2): 6, (None, 1): 7}
+    assert now() == want
+    snapshots.upsert(of([("a", 1, 5), ("c", 2, 6), (None, 1, 7)]), path, ["k", "day"], 1, 8)
+    snapshots.upsert(of([]), path, ["k", "day"], 2, 8)
+    assert now() == want and snapshots.latest(spark, path, of([]).schema).count() == 4
+    held = {p.name for p in (tmp_path / "t/data/snapshot_version=1").iterdir() if p.name.startswith("snapshot_bucket")}
+    assert len(held) <= 3
+
+
+def test_usage_merged_from_batches(spark, tmp_path):
+    """A late call of a day that an earlier batch has summed leaves one right row."""
+    calls = spark.createDataFrame([("u", T0, 60, 0.1), ("v", T0 + dt.timedelta(hours=1), 10, 0.1), ("u", T0 + dt.timedelta(hours=2), 50, 0.1), ("u", T0 + dt.timedelta(days=1), 5, 0.1)], "user_id string, ts timestamp, tokens long, cost_usd double")
+    usage = jobs.daily_usage(in_files(spark, calls, tmp_path / "c", "ts"), "2 days")
+    got = [(r.user_id, r.day.day, r.tokens) for r in snapshots.upserted(usage, ["user_id", "day"], f"file://{tmp_path}/usage").collect()]
+    assert sorted(got) == [("u", 1, 110), ("u", 2, 5), ("v", 1, 10)]
+    assert len(list((tmp_path / "usage/manifest").iterdir())) >= 4
 
 
 def test_live_values_and_duplicates(spark, tmp_path):
