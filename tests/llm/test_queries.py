@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, queries
+from siftline.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, queries, substring_dedup
 from siftline.llm.sql import oracle_sql
 
 CLASH = "doc_id long, text string, kept string, n_words int, policy string, removed string, n_left int, n_exact int, fail_bits int, n_chars long, rate double, p_good string, component_id string, pos int, item_id int"
@@ -192,3 +192,18 @@ def test_ids_of_text_in_scores(spark, sf):
     rows = spark.createDataFrame([("a", "one two"), (None, None)], "doc_id string, text string")
     assert {r.doc_id for r in quality.score(rows, None).collect()} == {r.doc_id for r in toxicity.score(rows, ([], np.zeros(0), -8.0)).collect()} == {"a", None}
     assert rows.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_passages_of_any_ids(spark):
+    """op8: ids of text, repeated ids, clashing columns, no rows."""
+    words_of = lambda seed, n: " ".join(f"w{x}" for x in np.random.RandomState(seed).randint(0, 10**6, n))
+    common = words_of(1, 60)
+    rows = [("b", words_of(2, 30) + " " + common), ("a", common + " " + words_of(3, 20)), ("c", words_of(4, 80)), ("c", words_of(5, 10) + " " + common), (None, common), ("d", None), ("e", ""), ("f", common)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id string, text string, first string, v int")
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.other_doc_id, r.first) for r in substring_dedup.passages(df).collect())
+    least = min(t for d, t in rows if d == "c")
+    want = [("a", 0, 60, "b", True), ("b", 30, 90, "a", False), ("f", 0, 60, "a", False)] + ([("c", 10, 70, "a", False)] if common in least else [])
+    assert got == sorted(want)
+    assert substring_dedup.passages(df.limit(0)).count() == 0
+    small = spark.createDataFrame([(2, rows[0][1]), (1, rows[1][1])], "doc_id int, text string")
+    assert {(r.doc_id, r.other_doc_id) for r in substring_dedup.passages(small).collect()} == {(1, 2), (2, 1)} and dict(substring_dedup.passages(small).dtypes)["doc_id"] == "int"
