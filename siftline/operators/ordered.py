@@ -31,11 +31,14 @@ def positions(rows: DataFrame, keys: list[str], order: list[str], name: str = "p
 def nearest_ranks(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """keys with count and, for each name of fractions, the value at rank ceil(fraction * count): exact.
 
-    Selection by ranges: values are counted; where a key has more rows than may be sorted together, sketches say between which
-    two values the rank lies, rows below are only counted, and rows between them are looked at again. At last the
-    distinct values of the range that is left are counted and summed up. No state holds all values of a key.
+    Selection by ranges: where a key has more rows than may be sorted together (BOUND), sketches say between which two values
+    the rank lies, rows below are only counted, and rows between them are looked at again. At last the distinct values
+    of the range that is left are counted and summed up. No state holds more than BOUND values of a key, or a sketch.
     """
-    data = written(rows.select(*keys, F.col(value).cast("double").alias("v")), "samples")
+    rows = rows.select(*keys, F.col(value).cast("double").alias("v"))
+    if (rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= BOUND:
+        return _small_ranks(rows, keys, fractions)
+    data = written(rows, "samples")
     sizes = written(data.groupBy(*keys).agg(F.count("*").alias("count"), F.min("v").alias("low"), F.max("v").alias("high")), "sizes")
     ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.ceil(F.lit(p) * F.col("count")).alias("rank")) for n, p in fractions.items()]))
     # rank: among the rows from low to high
@@ -68,6 +71,15 @@ def nearest_ranks(rows: DataFrame, keys: list[str], value: str, fractions: dict[
     return sizes.alias("s").join(wide.alias("w"), same("s", "w")).select(*[f"s.{k}" for k in keys], "s.count", *[f"w.{n}" for n in fractions])
 
 
+def _small_ranks(rows: DataFrame, keys: list[str], fractions: dict[str, float]) -> DataFrame:
+    """nearest_ranks() of keys with few rows each: their distinct values are counted and summed up."""
+    whole = Window.partitionBy(*keys)
+    values = rows.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    values = values.withColumns({"upto": F.sum("n").over(whole.orderBy("v")), "count": F.sum("n").over(whole)})
+    at = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("count")), F.col("v"))).alias(name) for name, p in fractions.items()]
+    return values.groupBy(*keys).agg(F.max("count").alias("count"), *at)
+
+
 def rank_of(fraction: float, n: int) -> int:
     """The nearest rank of a fraction of n values."""
     return max(1, math.ceil(fraction * n))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import injection, leaks, scan
+from ..operators import injection, leaks, messages, scan
 from .audit_view import table
 from .record_queries import SQL as RECORD_SQL
 from .record_queries import event_history
@@ -73,7 +73,15 @@ def l8_event_history(s: SparkSession, d: str) -> DataFrame:
     return leaks.remask_history(messages, issued, 172_800).select("id", "masked", F.col("replaced").cast("long").alias("replaced"))
 
 
-QUERIES = {k: f for k, f in globals().items() if k.startswith(("t1_", "t6_", "t7_", "t8_", "t9_", "t10_", "l8_"))}
+def t15_scores(s: SparkSession, d: str) -> DataFrame:
+    """events as replies of a reviewer: plain, fenced, out of range, with too many keys, and no JSON at all."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    risk = F.concat(F.lit('{"risk": 0.'), F.lpad(k.cast("string"), 2, "0"), F.lit("}"))
+    reply = F.when(k % 5 == 0, risk).when(k % 5 == 1, F.concat(F.lit("```json\n"), risk, F.lit("\n```"))).when(k % 5 == 2, '{"risk": 1.5}').when(k % 5 == 3, '{"risk": 0.9, "x": 1}').otherwise("no")
+    return messages.score_reviews(table(s, d, "events").select("event_id", reply.alias("reply")), on_failure="log").select("event_id", "risk", "verdict")
+
+
+QUERIES = {k: f for k, f in globals().items() if k.startswith(("t1_", "t6_", "t7_", "t8_", "t9_", "t10_", "t15_", "l8_"))}
 
 _MAIL = "'u' || o_custkey || '@corp.com'"
 _OTHER = "'x' || (o_custkey % 10) || '@corp.com'"
@@ -106,6 +114,7 @@ SQL = {
       UNION ALL SELECT c_custkey, 'masker', 'allow', '', 0 FROM customer WHERE c_custkey NOT IN (SELECT c FROM n)""",
     "t9_known_variants": f"SELECT o_orderkey, {_of_said(1)} AS norm, {_of_said(2)} AS leet, {_of_said(3)} AS joined FROM orders",
     "t10_known_phrases": f"SELECT o_orderkey, {_of_said(4)} AS injection, CASE WHEN {_of_said(4)} IS NULL THEN 'allow' ELSE 'block' END AS injection_verdict FROM orders",
+    "t15_scores": "SELECT event_id, CASE WHEN k % 5 < 2 THEN k / 100.0 END AS risk, CASE WHEN k % 5 > 1 THEN 'log' WHEN k >= 70 THEN 'block' ELSE 'allow' END AS verdict FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)",
     "l8_event_history": RECORD_SQL["r5_remasked_stream"],
 }
 

@@ -93,7 +93,7 @@ def write_audit(records: DataFrame, path: str, load: str | None = None, values:
     one log go one after the other. values (see leaks.value_forms) are those of the requests: records that spell
     one are withheld before anything is written.
     """
-    spark, load = records.sparkSession, load or uuid.uuid4().hex
+    spark, load, path = records.sparkSession, load or uuid.uuid4().hex, path.rstrip("/")
     rows = records_to_write(records, log_prompt_text)
     if values is not None:
         rows = guard_records(rows, values)

@@ -9,8 +9,7 @@ def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{base}/checkpoint").config("spark.sql.warehouse.dir", f"{base}/warehouse").config("spark.local.dir", f"{base}/local")
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider").getOrCreate()
+        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{base}/checkpoint").config("spark.sql.warehouse.dir", f"{base}/warehouse").config("spark.local.dir", f"{base}/local").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
