@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache, partial
+from functools import partial
 from re import _constants as ops
 from re import _parser as parser
 
@@ -166,7 +166,6 @@ def feed_index(feed: DataFrame) -> DataFrame:
     return rows.drop("_grams").join(rarest, "pos", "left").withColumn("gram", F.col("_g.gram")).drop("_g")
 
 
-@lru_cache(maxsize=4096)
 def _searcher(kind: str, pattern: str):
     if kind == "regex":
         return re.compile(pattern).search
@@ -178,14 +177,17 @@ def match_feed(texts: DataFrame, feed: DataFrame, surface: Column, mode: str = "
     """T11 for feeds of any length: match_signatures() with the feed as a DataFrame (id, severity, applies_to, type, pattern, pos).
 
     Every entry is looked up by one gram, so that a text meets only the entries whose gram it holds: a join by equality. Those are
-    verified, one by one, with the patterns as they are; entries without a gram are verified on every text. The grams
+    verified, one by one, with the patterns as they are; entries without a gram are verified on every text, so more than
+    MOST_ENTRIES of those are an error. The grams
     of up to MOST_ENTRIES entries go to all tasks, so that only theirs are dealt out of a text. key: unique per row.
     """
     names = texts.columns
     index = written(feed_index(feed), "feed-index")
     wanted = {r[0] for r in index.where("gram is not null").select("gram").distinct().limit(MOST_ENTRIES + 1).collect()}
     wanted = wanted if len(wanted) <= MOST_ENTRIES else None
-    bare = [r.asDict() for r in index.where("gram is null").orderBy("pos").limit(MOST_ENTRIES).collect()]
+    bare = [r.asDict() for r in index.where("gram is null").orderBy("pos").limit(MOST_ENTRIES + 1).collect()]
+    if len(bare) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries have no {GRAM} characters that each match must hold; every text would meet each of them")
 
     @F.pandas_udf("array<string>")
     def held(xs: pd.Series) -> pd.Series:
@@ -197,11 +199,12 @@ def match_feed(texts: DataFrame, feed: DataFrame, surface: Column, mode: str = "
 
     @F.pandas_udf("array<struct<pos:long,id:string,severity:string>>")
     def verified(xs: pd.Series, where: pd.Series, addresses: pd.Series, entries: pd.Series) -> pd.Series:
-        out = []
+        out, made = [], {}
         for x, at, links, some in zip(xs, where, addresses, entries, strict=True):
             hits = []
             for e in (*(some if some is not None else ()), *bare):
-                find = _searcher(e["type"], e["pattern"])
+                kind = e["type"], e["pattern"]
+                find = made.get(kind) or made.setdefault(kind, _searcher(*kind))
                 if (at in e["applies_to"] and find(x)) or ("url" in e["applies_to"] and any(find(u) for u in links)):
                     hits.append({"pos": e["pos"], "id": e["id"], "severity": e["severity"]})
             out.append(sorted(hits, key=lambda h: h["pos"]) if x else [])
