@@ -1,14 +1,14 @@
 """Benchmark decontamination by a positional inverted index.
 
-The index holds postings (document, position) of the terms that matter: per window of test words its two rarest
-terms by corpus count. A window can occur in a document only where both terms lie on one diagonal, that is, at
+The index is a stored table of postings (document, term, position) of every corpus word that some item has; texts are cut
+into words once for it. Looked up are, per window of test words, its two rarest terms by corpus count. A window can occur in a document only where both terms lie on one diagonal, that is, at
 positions whose offsets from the item's positions are equal. Intersecting the offset-adjusted lists leaves few
 (document, item, diagonal) triples; along these the words are compared, so the result is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, one_each, written
@@ -29,37 +29,40 @@ def item_terms(items: DataFrame) -> DataFrame:
     return words.withColumn("w", F.least(F.size("words"), F.lit(WINDOW)))
 
 
-def rarest_terms(items: DataFrame, postings: DataFrame) -> DataFrame:
-    """(term, item_id, n, at): where the items, of n terms each, hold the RAREST terms of each of their windows.
+def postings(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The index: (doc_id, term, pos), each place where docs (doc_id, text) hold a word of items (item_terms()), as a written table."""
+    vocabulary = written(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")  # a file's size is known: broadcast only if small
+    places = docs.select("doc_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+    return written(places.join(vocabulary, "term", "left_semi").select("doc_id", "term", "pos"), "postings")
+
 
-    items: of item_terms(); postings: rows with a column term. Ties go to the earlier place.
+def rarest_terms(items: DataFrame, index: DataFrame) -> DataFrame:
+    """(term, item_id, n, at): where the items, of n terms each, hold the RAREST terms of each of their windows, as a written table.
+
+    items: of item_terms(); index: of postings(). Ties go to the earlier place.
     """
-    vocabulary = written(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")  # a file's size is known: broadcast only if small
-    counted = postings.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    counted = index.groupBy("term").agg(F.count("*").alias("df"))
     placed = items.select("item_id", "w", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
     known = placed.join(counted, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     listed = known.groupBy("item_id", "w", "n").agg(F.array_sort(F.collect_list(F.struct("at", "df", "term"))).alias("x"))
     starts = listed.select("item_id", "n", "w", "x", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1)).alias("s"))
     window = F.array_sort(F.transform(F.slice("x", F.col("s"), F.col("w")), lambda y: F.struct(y["df"].alias("df"), y["at"].alias("at"), y["term"].alias("term"))))
-    return starts.select("item_id", "n", F.explode(F.slice(window, 1, RAREST)).alias("y")).select("y.term", "item_id", "n", "y.at").distinct()
+    return written(starts.select("item_id", "n", F.explode(F.slice(window, 1, RAREST)).alias("y")).select("y.term", "item_id", "n", "y.at").distinct(), "rarest")
 
 
-def diagonals(docs_terms: DataFrame, looked_up: DataFrame) -> DataFrame:
+def diagonals(index: DataFrame, looked_up: DataFrame) -> DataFrame:
     """(doc_id, item_id, n, shift): diagonals on which two looked-up terms of an item meet; of a one-term item, one."""
     places = looked_up.groupBy("item_id").agg(F.least(F.count("*"), F.lit(RAREST)).alias("least"))
     by_term = looked_up.join(places, "item_id")
-    met = docs_terms.join(by_term, "term").select("doc_id", "item_id", "n", (F.col("pos") - F.col("at")).alias("shift"), "least")
+    met = index.join(by_term, "term").select("doc_id", "item_id", "n", (F.col("pos") - F.col("at")).alias("shift"), "least")
     return met.groupBy("doc_id", "item_id", "n", "shift").agg(F.count("*").alias("c"), F.first("least").alias("least")).where("c >= least").drop("c", "least")
 
 
-def _postings(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
-
-
 def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, pos): the document positions that lie in an occurrence of one of the item's windows."""
     tests = item_terms(items)
-    found = written(diagonals(_postings(docs), written(rarest_terms(tests, _postings(docs)), "rarest")), "diagonals")
+    index = postings(docs, tests)
+    found = written(diagonals(index, rarest_terms(tests, index)), "diagonals")
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("met"))
     cut = (
         # merged at every size, so that the shuffle of the texts grows with them instead of setting in at some size
@@ -69,19 +72,12 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
             F.slice(ws, F.greatest(m["shift"], F.lit(0)) + 1, F.greatest(m["n"] + F.least(m["shift"], F.lit(0)), F.lit(0))).alias("part")))).alias("cut"))
         .select("doc_id", F.explode("cut").alias("c")).select("doc_id", "c.*")
     )
-    # part begins at item position `skip`; a run of equal words, as a string of 1s, is long enough or not
+    # part begins at item position `skip`; equal words are 1s, and those in a run that is long enough become 2s
     skip = F.greatest(-F.col("shift"), F.lit(0))
     same = F.array_join(F.zip_with(F.slice("words", skip + 1, F.size("words")), F.col("part"), lambda x, y: F.when(x == y, "1").otherwise("0")), "")
-    runs = cut.join(tests, "item_id").select("doc_id", "item_id", "shift", "w", skip.alias("skip"), same.alias("same"))
-    marks = runs.withColumn("run", F.split(F.regexp_replace("same", "0+", "0"), "0")).where(F.exists("run", lambda r: F.length(r) >= F.col("w")))
-    inside = F.filter(
-        F.sequence(F.lit(0), F.length("same") - 1),
-        lambda k: F.exists(
-            F.sequence(F.greatest(k - F.col("w") + 1, F.lit(0)), k),
-            lambda s: F.substring(F.col("same"), s + 1, F.col("w")) == F.repeat(F.lit("1"), F.col("w")),
-        ),
-    )
-    return marks.select("doc_id", "item_id", F.explode(F.transform(inside, lambda k: k + F.col("skip") + F.col("shift"))).alias("pos")).distinct()
+    in_run = F.concat(F.lit("(?:(?<!1)(?=1{"), F.col("w").cast("string"), F.lit(r"})|(?!^)\G)1"))
+    marks = cut.join(tests, "item_id").select("doc_id", "item_id", F.posexplode(F.split(F.regexp_replace(same, in_run, F.lit("2")), "")).alias("k", "mark"), (skip + F.col("shift")).alias("start"))
+    return marks.where("mark = '2'").select("doc_id", "item_id", (F.col("k") + F.col("start")).alias("pos")).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -110,13 +106,13 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 3) -> DataFrame:
     """(doc_id, item_id, n_near): items whose rare terms lie in a document in almost the item's order and distance.
 
     Two looked-up terms of an item count as near where their offset-adjusted positions differ by at most slop
-    words; n_near counts such neighbours in the sorted list of adjusted positions. Exact phrases are near, too.
+    words; n_near counts such neighbours in the sorted list of adjusted positions. Exact phrases are near, too. Pairs
+    without neighbours have no row, nor have null texts, null ids and empty tables. Rows with one doc_id are one document, that
+    with the least text. Other columns are ignored.
     """
-    from pyspark.sql import Window
-
     tests = item_terms(items)
-    looked_up = written(rarest_terms(tests, _postings(docs)), "rarest")
-    met = _postings(docs).join(looked_up, "term").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"))
+    index = postings(one_each(docs.select("doc_id", "text")).where("doc_id is not null"), tests)
+    met = index.join(rarest_terms(tests, index), "term").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"))
     order = Window.partitionBy("doc_id", "item_id").orderBy("shift", "at")
     near = met.withColumns({"d": F.col("shift") - F.lag("shift").over(order), "other": F.lag("at").over(order)}).where((F.col("d") <= slop) & (F.col("other") != F.col("at")))
     return near.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_near"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import conversation_trie, decontaminate, langid, line_dedup, mixing, ngram_join, pii, quality, quality_rules, substring_dedup, token_alignment, toxicity, warc
-from .common import fold_of, table
+from .common import fold_of, table, written
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +84,18 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def near_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's index asked for near matches."""
+    return decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone or at all, from op6's ledger, which is written once."""
+    rows = written(quality_rules.ledger(table(spark, sf_dir, "documents")).select("doc_id", "fail_bits"), "ledger")
+    of = [quality_rules.ablation(rows, p).select(F.lit(p).alias("policy"), "rule", "failed", "only") for p in quality_rules.POLICIES]
+    return reduce(DataFrame.unionByName, of)
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    named = {"near_benchmark_items": near_benchmark_items, "rule_ablation": rule_ablation}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | named

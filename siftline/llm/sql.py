@@ -18,6 +18,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+_NEAR = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_TERMS}) AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_FOLDED}, {_TERMS}) AS ws FROM benchmark),
+v AS (SELECT DISTINCT unnest(ws) AS term FROM i),
+o AS (SELECT * FROM (SELECT doc_id, p - 1 AS pos, ws[p] AS term FROM d, unnest(range(1, len(ws) + 1)) t(p)) WHERE term IN (SELECT term FROM v)),
+x AS (SELECT item_id, p - 1 AS place, ws[p] AS term, len(ws) - least(len(ws), 13) AS last FROM i, unnest(range(1, len(ws) + 1)) t(p)),
+f AS (SELECT term, count(*) AS df FROM o GROUP BY term),
+k AS (SELECT item_id, place, x.term, row_number() OVER (PARTITION BY item_id, s ORDER BY coalesce(df, 0), place) AS k FROM x LEFT JOIN f ON f.term = x.term, unnest(range(greatest(place - 12, 0), least(place, last) + 1)) t(s)),
+m AS (SELECT doc_id, item_id, place, pos - place AS shift FROM o JOIN (SELECT DISTINCT item_id, place, term FROM k WHERE k <= 2) l ON l.term = o.term),
+q AS (SELECT *, shift - lag(shift) OVER w AS gap, lag(place) OVER w AS other FROM m WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY shift, place))
+SELECT doc_id, item_id, count(*) AS n_near FROM q WHERE gap <= 3 AND other <> place GROUP BY doc_id, item_id
+"""
+
 _OP6 = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANK_WORDS}) AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -31,6 +44,12 @@ f AS (SELECT *, CAST(CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words >
 SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
 
+_RULES = ("few_words", "repeated_trigrams", "symbol_heavy", "short_words", "long_words", "duplicate_lines", "shouting")
+_ABLATION = f"WITH bits AS ({_OP6})" + " UNION ALL ".join(
+    f" SELECT '{policy}' AS policy, '{rule}' AS rule, count(*) FILTER (WHERE fail_bits & {1 << k} > 0) AS failed, count(*) FILTER (WHERE fail_bits & {2**n - 1} = {1 << k}) AS only FROM bits"
+    for policy, n in (("v1", 2), ("v2", 7)) for k, rule in enumerate(_RULES[:n])
+)
+
 _OP7 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_BLANK_WORDS}) AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, ws[i:i + 4] AS g FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) WHERE len(ws) > 0),
@@ -83,4 +102,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest, C
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": _OP3, "op6_quality_rules": _OP6, "op7_ngram_join": _OP7, "op9_line_dedup": _OP9, "op11_prefix_trie": _OP11, "op12_warc": _OP12}
+    return {"op3_decontaminate": _OP3, "op6_quality_rules": _OP6, "op7_ngram_join": _OP7, "op9_line_dedup": _OP9, "op11_prefix_trie": _OP11, "op12_warc": _OP12, "near_benchmark_items": _NEAR, "rule_ablation": _ABLATION}

@@ -201,6 +201,34 @@ def test_decontamination_edges(spark, odd):
     assert decontaminate.contamination(odd.limit(0), items).count() == 0
     near = {(r.doc_id, r.item_id) for r in decontaminate.proximity(docs, items).collect()}
     assert {(1, 1), (2, 1), (5, 2)} <= near
+    assert decontaminate.proximity(odd, items.limit(0)).count() == decontaminate.proximity(odd.limit(0), items).count() == 0
+
+
+def test_runs_of_equal_words(spark):
+    """Runs that just are and just aren't long enough lie side by side on one diagonal, at both ends of the item."""
+    ws = [f"w{k}" for k in range(60)]
+    doc = ws[:13] + ["x"] + ws[14:26] + ["x"] + ws[27:40] + ["x"] * 4 + ws[44:]
+    docs = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")
+    hit = sorted(r.pos for r in decontaminate.window_hits(docs, items).collect())
+    assert hit == [*range(13), *range(27, 40), *range(44, 60)]
+
+
+def test_index_holds_every_place(spark, docs):
+    items = decontaminate.item_terms(spark.createDataFrame([(1, "the Data of")], "item_id long, text string"))
+    got = sorted((r.doc_id, r.term, r.pos) for r in decontaminate.postings(docs, items).collect())
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+    want = sorted((r.doc_id, w, k) for r in docs.collect() for k, w in enumerate(cut(r.text)) if w in ("the", "data", "of"))
+    assert got == want and want
+
+
+def test_near_matches(spark):
+    """Two rare terms that are up to three words nearer or farther than in the item are near, those four words off aren't."""
+    item, common = "rare1 a b c d rare2", "a b c d " * 9
+    texts = [common, "rare1 rare2", "rare1 a b c d a b c rare2", "rare1 a b c d a b c d rare2", None, "rare2 rare1"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "rare1 a b c d rare2")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.n_near) for r in decontaminate.proximity(docs, items).collect()} == {(2, 1)}
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
