@@ -197,9 +197,11 @@ def match_feed(texts: DataFrame, feed: DataFrame, surface: Column, mode: str = "
             out.append(sorted(found if wanted is None else found & wanted))
         return pd.Series(out, dtype=object)
 
+    made: dict = {}  # compiled patterns, kept from batch to batch within a task
+
     @F.pandas_udf("array<struct<pos:long,id:string,severity:string>>")
     def verified(xs: pd.Series, where: pd.Series, addresses: pd.Series, entries: pd.Series) -> pd.Series:
-        out, made = [], {}
+        out = []
         for x, at, links, some in zip(xs, where, addresses, entries, strict=True):
             hits = []
             for e in (*(some if some is not None else ()), *bare):
