@@ -569,6 +569,80 @@ def test_substring_dedup_shifted_words(spark):
     assert all(got[k] == set(range(30, 90)) and got[1000 + k] == set(range(45, 106 - k % 2 * 2)) for k in found)
 
 
+def test_substring_dedup_of_similar_passages_behind_first_documents(spark):
+    """Passages that are only similar, of which earlier documents hold one half or the other."""
+    rng = np.random.RandomState(39)
+    fresh = lambda n: [f"w{x}" for x in rng.randint(0, 10**6, n)]
+    rows, want = [], {}
+    for k in range(60):
+        passage, at = fresh(60), int(rng.randint(28, 32))
+        changed = passage[:at] + fresh(1) + passage[at + 1 :]
+        rows += [(k, " ".join(fresh(40) + passage[:at] + fresh(40))), (100 + k, " ".join(fresh(40) + passage[at + 1 :] + fresh(40)))]
+        for j, words_ in ((1, passage), (2, changed)):
+            before = int(rng.randint(0, 60))
+            rows.append((1000 * j + k, " ".join(fresh(before) + words_ + fresh(40))))
+            want[1000 * j + k] = (before, before + 60, 1000 * (3 - j) + k, j == 1)
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.start_word, r.end_word, r.other_doc_id, r.first) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_large_groups_are_compared_as_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    width = 2 * substring_dedup.CONTEXT + 1
+    mid = width // 2
+    x, group = [], []
+    for g in range(6):
+        base = rng.integers(1, 10**6, width + 20).astype(np.int32) if g else np.full(width + 20, 7, np.int32)
+        for _ in range(60):
+            w = base.copy()
+            for _ in range(rng.integers(0, 7)):
+                at = int(rng.choice([rng.integers(0, mid - 14), rng.integers(mid + 5, width)]))
+                w[at] = rng.integers(1, 10**6)
+                if rng.random() < 0.3:
+                    w = np.concatenate([w[: mid + 20], w[mid + 21 :], w[:1]])
+            if g % 3 == 2:
+                w[: mid - 20], w[mid + 35 :] = rng.integers(1, 10**6, mid - 20), rng.integers(1, 10**6, len(w) - mid - 35)
+            w[: rng.integers(0, 60)] = 0
+            x.append(w[:width])
+            group.append(g)
+    x, group = np.stack(x), np.array(group)
+    doc = rng.integers(0, 40, len(x))
+    near = (rng.integers(1, 3, len(x)) << 32) | rng.integers(0, 3, len(x))
+    c = rng.integers(75, 10**4, len(x))
+
+    def told():
+        out = {True: {}, False: {}}
+        for r in substring_dedup._compared(group, doc, c, near, x).to_pylist():
+            out[r["first"]][r["doc_id"], r["start_word"], r["end_word"]] = min(r["other_doc_id"], out[r["first"]].get((r["doc_id"], r["start_word"], r["end_word"]), 10**9))
+        inside = lambda t: any(f[0] == t[0] and f[1] <= t[1] and t[2] <= f[2] for f in out[False])
+        return out[False], {t: o for t, o in out[True].items() if not inside(t)}
+
+    calls, compare = [0], substring_dedup._Found.compare
+    monkeypatch.setattr(substring_dedup._Found, "compare", lambda self, a, b: (calls.__setitem__(0, calls[0] + len(a)), compare(self, a, b)))
+    monkeypatch.setattr(substring_dedup, "SMALL", 10**6)
+    want, all_pairs = told(), calls[0]
+    monkeypatch.setattr(substring_dedup, "SMALL", 2)
+    calls[0] = 0
+    assert told() == want and len(want[0]) > 100 and len(want[1]) > 5
+    assert calls[0] < all_pairs
+
+
+def test_blocks_of_large_groups_meet(spark, monkeypatch):
+    rng = np.random.RandomState(49)
+    base = [f"w{x}" for x in rng.randint(0, 10**6, 140)]
+    rows = []
+    for k in range(30):
+        w = list(base)
+        for at in rng.randint(0, 140, 3):
+            w[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(substring_dedup.passages(docs).collect())
+    monkeypatch.setattr(substring_dedup, "BLOCK", 7)
+    assert sorted(substring_dedup.passages(docs).collect()) == want and len({r.doc_id for r in want}) == 30
+
+
 def test_windows_are_those_of_the_tree():
     keys = np.random.RandomState(0).permutation(300).astype(np.uint64)
     low = substring_dedup._minima(keys, 46)
