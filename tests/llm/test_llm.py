@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -643,6 +644,27 @@ def test_blocks_of_large_groups_meet(spark, monkeypatch):
     assert sorted(substring_dedup.passages(docs).collect()) == want and len({r.doc_id for r in want}) == 30
 
 
+def test_stretches_that_repeat_themselves(spark):
+    """Anchors at both ends only, and all words of stretches that another text repeats, too."""
+    rng = np.random.RandomState(59)
+    fresh = lambda n: [f"w{x}" for x in rng.randint(0, 10**6, n)]
+    end = fresh(45)
+    rows = [
+        (1, ["x"] * 1500), (2, fresh(20) + ["x"] * 131 + fresh(20)), (3, fresh(20) + ["x"] * 49 + fresh(20)),
+        (4, fresh(20) + ["a", "b", "c"] * 30 + end), (5, fresh(3) + ["c", "a", "b"] * 11 + end + fresh(9)),
+        (6, fresh(15) + ["y"] * 30 + ["z"] + ["y"] * 30), (7, fresh(40) + ["y"] * 400),
+    ]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in rows], "text": [" ".join(w) for _, w in rows]})
+    anchors = pd.concat([b.to_pandas() for b in substring_dedup._windows([batch])])
+    assert (anchors[anchors.c >= 0].groupby("doc").size().loc[[1, 7]] <= 8).all()
+    got = defaultdict(set)
+    for r in substring_dedup.passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert got[1] == set(range(1500)) and got[2] == set(range(20, 151)) and not got[3]
+    assert got[4] >= set(range(77, 155)) and got[5] == set(range(3, 81))
+    assert got[6] == set(range(15, 76)) and got[7] == set(range(40, 440))
+
+
 def test_windows_are_those_of_the_tree():
     keys = np.random.RandomState(0).permutation(300).astype(np.uint64)
     low = substring_dedup._minima(keys, 46)
