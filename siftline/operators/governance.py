@@ -10,10 +10,12 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import written
 from .leaks import ASCII_RUN, token_hits
 from .scan import redacted_text
 
@@ -134,13 +136,17 @@ _DECODED = T.StructType([
     T.StructField("ok", T.BooleanType()), T.StructField("leaves", T.ArrayType(T.StructType(_TEXTS("arg", "text")))),
     T.StructField("top", T.ArrayType(T.StructType([*_TEXTS("arg", "folded", "kind", "text"), T.StructField("number", T.DoubleType())]))),
 ])
+#: The same for Arrow.
+_TEXT_FIELDS = lambda *names: [(n, pa.string()) for n in names]
+_DECODED_ARROW = pa.struct([("ok", pa.bool_()), ("leaves", pa.list_(pa.struct(_TEXT_FIELDS("arg", "text")))), ("top", pa.list_(pa.struct([*_TEXT_FIELDS("arg", "folded", "kind", "text"), ("number", pa.float64())])))])
 
 
-@F.pandas_udf(_DECODED)
-def decoded_arguments(arguments: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_DECODED)
+def decoded_arguments(arguments: pa.Array) -> pa.Array:
     """A call's JSON object with escapes resolved. leaves: each key, string and number with the argument it lies in (none
     for the arguments' own names); top: each argument's folded name, kind (text, number, other) and value. Not ok: no
-    object, or one nested too deep. Blank arguments are an empty object."""
+    object, or one nested too deep. Blank arguments are an empty object. Half a surrogate pair becomes a question mark."""
+    folds: dict[str, str] = {}
 
     def walk(value, arg: str, depth: int, leaves: list) -> bool:
         if isinstance(value, dict | list):
@@ -149,13 +155,19 @@ def decoded_arguments(arguments: pd.Series) -> pd.DataFrame:
             inner = value.items() if isinstance(value, dict) else ((None, x) for x in value)
             for k, x in inner:
                 if k is not None:
-                    leaves.append({"arg": arg, "text": k})
+                    leaves.append((arg, k))
                 if not walk(x, arg, depth + 1, leaves):
                     return False
         elif isinstance(value, str | int | float) and not isinstance(value, bool):
-            leaves.append({"arg": arg, "text": str(value)})
+            leaves.append((arg, str(value)))
         return True
 
+    def whole(value):
+        """The value with all its texts fit for UTF-8."""
+        if isinstance(value, str):
+            return value.encode("utf-8", "replace").decode()
+        return [whole(x) for x in value] if isinstance(value, list) else tuple(map(whole, value)) if isinstance(value, tuple) else value
+
     def one(text: str | None):
         if text is not None and not text.strip():
             return True, [], []
@@ -167,7 +179,7 @@ def decoded_arguments(arguments: pd.Series) -> pd.DataFrame:
             return False, [], []
         leaves, top = [], []
         for k, v in found.items():
-            leaves.append({"arg": None, "text": k})
+            leaves.append((None, k))
             number = None
             if isinstance(v, int | float) and not isinstance(v, bool):
                 try:
@@ -175,12 +187,14 @@ def decoded_arguments(arguments: pd.Series) -> pd.DataFrame:
                 except OverflowError:  # beyond all limits
                     number = float("inf")
             kind = "text" if isinstance(v, str) else "other" if number is None else "number"
-            top.append({"arg": k, "folded": _folded(k), "kind": kind, "text": v if kind == "text" else None, "number": number})
+            if k not in folds:
+                folds[k] = _folded(k)
+            top.append((k, folds[k], kind, v if kind == "text" else None, number))
             if not walk(v, k, 2, leaves):
                 return False, [], []
-        return True, leaves, top
+        return whole((True, leaves, top)) if "\\u" in text else (True, leaves, top)
 
-    return pd.DataFrame([one(t) for t in arguments], columns=["ok", "leaves", "top"])
+    return pa.array([one(t) for t in arguments.to_pylist()], _DECODED_ARROW)
 
 
 def authorize_calls(calls: DataFrame, listed: DataFrame, rules: DataFrame, bindings: DataFrame, tool_labels: DataFrame) -> DataFrame:
@@ -191,44 +205,55 @@ def authorize_calls(calls: DataFrame, listed: DataFrame, rules: DataFrame, bindi
     role, tool, max_label. Order: not_listed, malformed_arguments, argument_name, then argument by argument, in the order of the rules'
     column n if there is one, egress of a placeholder and its own checks, and at last egress of query results: a placeholder anywhere, or a disclosed value
     that was copied, needs a resolved binding with a label within the tool's max_label. Without one nothing may pass.
+    listed, rules and tool_labels are policy tables and go to all tasks: where all calls have one role and tool, a join by
+    these has no key left to deal rows out by, and Spark would send the calls to all tasks instead.
     """
-    rows = calls.withColumn("d", decoded_arguments("arguments")).join(listed.select("role", "tool", F.lit(True).alias("ok")), ["role", "tool"], "left")
-    rows = rows.select("call_id", "request_id", "role", "tool", "ok", F.col("d.ok").alias("fine"), "d.leaves", "d.top")
     # an argument stands where its first rule does
     places = rules.groupBy("role", "tool", "arg").agg(F.min("n" if "n" in rules.columns else F.lit(0)).cast("long").alias("place"))
+    ruled = rules.select("role", "tool", "arg", "rule", "value").join(F.broadcast(places), ["role", "tool", "arg"]).withColumn("folded", folded_name("arg"))
+    of_tool = ruled.groupBy("role", "tool").agg(F.collect_list(F.struct("arg", "folded", "rule", "value", "place")).alias("_rules"))
+    rows = calls.select("call_id", "request_id", "role", "tool", decoded_arguments("arguments").alias("d"))
+    rows = rows.join(F.broadcast(listed.select("role", "tool", F.lit(True).alias("ok")).distinct()), ["role", "tool"], "left").join(F.broadcast(of_tool), ["role", "tool"], "left")
+    rows = rows.select("call_id", "request_id", "role", "tool", "ok", "_rules", F.col("d.ok").alias("fine"), "d.leaves", "d.top")
     flaw = lambda order, rule, place=F.lit(0): F.struct(F.lit(3 if 3 <= order <= 6 else order).alias("o"), place.cast("long").alias("place"), F.lit(order).alias("k"), rule.alias("rule"))
-    base = rows.select("call_id", F.when(F.col("ok").isNull(), flaw(0, F.lit("not_listed"))).when(~F.col("fine"), flaw(1, F.lit("malformed_arguments"))).alias("f"))
-    each = rows.where("ok and fine").join(rules.select("role", "tool", "arg", "rule", "value").join(places, ["role", "tool", "arg"]).withColumn("folded", folded_name("arg")), ["role", "tool"])
-    lookalike = F.exists("top", lambda t: (t["arg"] != F.col("arg")) & (t["folded"] == F.col("folded")))
-    v = F.get(F.filter("top", lambda t: t["arg"] == F.col("arg")), F.lit(0))
-    there, is_text = v.isNotNull(), F.coalesce(v["kind"] == "text", F.lit(False))
-    placed = F.exists("leaves", lambda x: F.coalesce(x["arg"] == F.col("arg"), F.lit(False)) & x["text"].rlike(PLACEHOLDER))
-    matches = F.coalesce(F.rlike(v["text"], F.concat(F.lit("^(?:"), F.col("value"), F.lit(r")\z"))), F.lit(False))
-    limit = F.col("value").try_cast("double")
-    within = F.coalesce((v["kind"] == "number") & ~F.isnan(v["number"]) & (F.abs(v["number"]) < float("inf")) & (v["number"] <= limit), F.lit(False))
-    of = lambda order, rule: flaw(order, rule, F.col("place"))
-    broken = (
-        F.when(lookalike, flaw(2, F.lit("argument_name"))).when(placed, of(3, F.lit("egress")))
-        .when((F.col("rule") == "allow_pattern") & ~(is_text & matches), of(4, F.lit("allow_pattern")))
-        .when((F.col("rule") == "deny_pattern") & there & ~(is_text & ~F.coalesce(F.rlike(v["text"], F.col("value")), F.lit(True))), of(5, F.lit("deny_pattern")))
-        .when((F.col("rule") == "max") & there & ~within, of(6, F.lit("max")))
-    )
-    ruled = each.select("call_id", broken.alias("f"))
-    sent = rows.where("ok and fine").select("call_id", "request_id", "role", "tool", "leaves")
-    named = sent.select("call_id", "request_id", "role", "tool", F.explode(F.array_distinct(F.flatten(F.transform("leaves", lambda x: F.regexp_extract_all(x["text"], F.lit(rf"({PLACEHOLDER})"), F.lit(1)))))).alias("name"))
+
+    def broken(r: Column) -> Column:
+        """The flaw of the call's arguments by one rule, or null."""
+        lookalike = F.exists("top", lambda t: (t["arg"] != r["arg"]) & (t["folded"] == r["folded"]))
+        v = F.get(F.filter("top", lambda t: t["arg"] == r["arg"]), F.lit(0))
+        there, is_text = v.isNotNull(), F.coalesce(v["kind"] == "text", F.lit(False))
+        placed = F.exists("leaves", lambda x: F.coalesce(x["arg"] == r["arg"], F.lit(False)) & x["text"].rlike(PLACEHOLDER))
+        matches = F.coalesce(F.rlike(v["text"], F.concat(F.lit("^(?:"), r["value"], F.lit(r")\z"))), F.lit(False))
+        limit = r["value"].try_cast("double")
+        within = F.coalesce((v["kind"] == "number") & ~F.isnan(v["number"]) & (F.abs(v["number"]) < float("inf")) & (v["number"] <= limit), F.lit(False))
+        of = lambda order, rule: flaw(order, F.lit(rule), r["place"])
+        return (
+            F.when(lookalike, flaw(2, F.lit("argument_name"))).when(placed, of(3, "egress"))
+            .when((r["rule"] == "allow_pattern") & ~(is_text & matches), of(4, "allow_pattern"))
+            .when((r["rule"] == "deny_pattern") & there & ~(is_text & ~F.coalesce(F.rlike(v["text"], r["value"]), F.lit(True))), of(5, "deny_pattern"))
+            .when((r["rule"] == "max") & there & ~within, of(6, "max"))
+        )
+
+    own = F.when(F.col("ok").isNull(), flaw(0, F.lit("not_listed"))).when(~F.col("fine"), flaw(1, F.lit("malformed_arguments"))).otherwise(F.array_min(F.array_compact(F.transform("_rules", broken))))
+    names = F.array_distinct(F.flatten(F.transform("leaves", lambda x: F.regexp_extract_all(x["text"], F.lit(rf"({PLACEHOLDER})"), F.lit(1)))))
+    # arguments are decoded once; query results are looked for only where nothing else is broken, as they come last
+    rows = rows.withColumn("f", own)
+    rows = written(rows.select("call_id", "request_id", "role", "tool", "f", F.when(F.col("f").isNull(), names).alias("names"), F.when(F.col("f").isNull(), F.transform("leaves", lambda x: x["text"])).alias("texts")), "decoded-calls")
+    sent = rows.where("f is null")
+    named = sent.select("call_id", "request_id", "role", "tool", F.explode("names").alias("name"))
     text = F.trim(F.col("value").cast("string"))
     # a whole number of a floating-point column may be written without its '.0'
     shown = F.regexp_replace(text, r"^(-?[0-9]+)\.0$", "$1(?:\\\\.0)?")
     quoted = F.when(text.rlike(r"^-?[0-9]+\.0$"), shown).otherwise(F.concat(F.lit(r"\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E")))
     token = F.concat(F.lit(r"(?iu)(?<![0-9A-Za-z])"), quoted, F.lit(r"(?![0-9A-Za-z])"))
     held = bindings.where("disclosed and trim(cast(value as string)) <> ''").select("request_id", "name", text.alias("value"), token.alias("token"))
-    parts = sent.select("call_id", "request_id", "role", "tool", F.explode("leaves").alias("x")).select("call_id", "request_id", "role", "tool", F.col("x.text").alias("text"))
+    parts = sent.select("call_id", "request_id", "role", "tool", F.explode("texts").alias("text"))
     copied = token_hits(parts, held, ["request_id"], ASCII_RUN).where(F.rlike("text", F.col("token"))).select("call_id", "request_id", "role", "tool", "name").distinct()
-    carried = named.unionByName(copied).join(bindings.select("request_id", "name", "status", "label"), ["request_id", "name"], "left").join(tool_labels, ["role", "tool"], "left")
+    carried = named.unionByName(copied).join(bindings.select("request_id", "name", "status", "label"), ["request_id", "name"], "left").join(F.broadcast(tool_labels), ["role", "tool"], "left")
     may = (F.col("status") == "resolved") & F.col("label").isin(*LABELS) & F.col("max_label").isin(*LABELS) & (label_rank(F.col("label")) <= label_rank(F.col("max_label")))
     egress = carried.where(~F.coalesce(may, F.lit(False))).select("call_id", flaw(7, F.lit("egress")).alias("f"))
-    first = reduce(DataFrame.unionByName, [base, ruled, egress]).where("f is not null").groupBy("call_id").agg(F.min("f").alias("f"))
-    return calls.select("call_id").join(first, "call_id", "left").select("call_id", F.when(F.col("f").isNull(), "allow").otherwise("deny").alias("verdict"), "f.rule")
+    first = rows.select("call_id", "f").unionByName(egress).where("f is not null").groupBy("call_id").agg(F.min("f").alias("f"))
+    return rows.select("call_id").join(first, "call_id", "left").select("call_id", F.when(F.col("f").isNull(), "allow").otherwise("deny").alias("verdict"), "f.rule")
 
 
 def approved_arguments(calls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -263,3 +263,30 @@ def test_feed_version_and_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(signatures, "MOST_FEED_BYTES", 10)
     with pytest.raises(signatures.FeedError, match="bytes"):
         signatures.parse_feed(spark, str(tmp_path / "f.json"))
+
+
+def _planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calls_of_one_tool_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """With one role and tool no key is left to join by: the policy is what goes to all tasks, and no call meets another."""
+    plans = []
+    keep = governance.written
+    monkeypatch.setattr(governance, "written", lambda df, name: plans.append(_planned(df)) or keep(df, name))
+    calls = spark.range(2000).selectExpr("id AS call_id", "id % 7 AS request_id", "'r' AS role", "'t' AS tool", "concat('{\"n\": ', id % 20, ', \"s\": \"{x', id % 3, '}\"}') AS arguments")
+    bindings = spark.range(7).selectExpr("id AS request_id", "'{x1}' AS name", "'resolved' AS status", "'public' AS label", "false AS disclosed", "'v' AS value")
+    out = governance.authorize_calls(calls, spark.createDataFrame([("r", "t")], "role string, tool string"), spark.createDataFrame([("r", "t", "n", "max", "9")], "role string, tool string, arg string, rule string, value string"), bindings, spark.createDataFrame([("r", "t", "public")], "role string, tool string, max_label string"))
+    plans.append(_planned(out))
+    assert len(plans) == 2 and not any("CartesianProduct" in p or "BuildLeft" in p for p in plans)
+    assert "BuildRight" in plans[0] and plans[0].count("ArrowEvalPython") == 1 + plans[0].count("folded_name")
+    got = {r.rule: r.n for r in out.groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    assert got == {"max": 1000, "egress": sum(k % 20 <= 9 and k % 3 != 1 for k in range(2000)), None: sum(k % 20 <= 9 and k % 3 == 1 for k in range(2000))}
+
+
+def test_half_a_surrogate_pair_in_arguments(spark):
+    calls = spark.createDataFrame([(1, "x", "r", "t", '{"a": "\\ud800 {x1}"}'), (2, "x", "r", "t", '{"\\udc00": [["\\ud800"]]}')], "call_id int, request_id string, role string, tool string, arguments string")
+    none = spark.createDataFrame([], "request_id string, name string, status string, label string, disclosed boolean, value string")
+    rules = spark.createDataFrame([], "role string, tool string, arg string, rule string, value string")
+    out = governance.authorize_calls(calls, spark.createDataFrame([("r", "t")], "role string, tool string"), rules, none, spark.createDataFrame([], "role string, tool string, max_label string"))
+    assert {r.call_id: r.rule for r in out.collect()} == {1: "egress", 2: None}
