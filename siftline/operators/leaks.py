@@ -6,6 +6,7 @@ import json
 import re
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,13 +205,15 @@ def json_leaves(value) -> list[str]:
     return out
 
 
-def json_depth(value) -> int:
-    """Levels of objects and lists within each other."""
-    depth, level = 0, [value]
-    while level := [x for x in level if isinstance(x, dict | list)]:
-        depth += 1
-        level = [y for x in level for y in (x.values() if isinstance(x, dict) else x)]
-    return depth
+def too_deep(text: str) -> bool:
+    """Whether JSON is nested deeper than MOST_LEVELS, by its brackets outside of strings, so that it isn't parsed for that.
+    True or False where the text isn't JSON."""
+    if text.count("{") + text.count("[") <= MOST_LEVELS:
+        return False
+    bare = re.sub(r'(?s)"(?:[^"\\]|\\.)*+(?:"|\Z)', "", text).encode("utf-8", "replace")
+    steps = np.zeros(256, np.int8)
+    steps[list(b"{[")], steps[list(b"}]")] = 1, -1
+    return bool(bare) and int(steps[np.frombuffer(bare, np.uint8)].cumsum(dtype=np.int64).max()) > MOST_LEVELS
 
 
 def filter_arguments(calls: DataFrame, approved: DataFrame | None = None, index: DataFrame | None = None, min_digits: int = 4) -> DataFrame:
@@ -222,10 +225,9 @@ def filter_arguments(calls: DataFrame, approved: DataFrame | None = None, index:
     def parsed(text: str | None):
         """The JSON value, or the text itself if it is none or nested too deep to be taken apart."""
         try:
-            value = json.loads(text)
-        except (TypeError, ValueError, RecursionError):
+            return text if text is None or too_deep(text) else json.loads(text)
+        except (ValueError, RecursionError):
             return text
-        return text if json_depth(value) > MOST_LEVELS else value
 
     @F.pandas_udf("array<string>")
     def texts(arguments: pd.Series) -> pd.Series:
@@ -251,8 +253,12 @@ def filter_arguments(calls: DataFrame, approved: DataFrame | None = None, index:
                 return x if shown == str(x) else shown
             return x
 
-        rows = []
+        rows, done = [], {}  # arguments that come again within a batch are cleaned once
         for a, k, p in zip(arguments, keep, protected, strict=True):
+            plain = k is None and p is None
+            if plain and a in done:
+                rows.append(done[a])
+                continue
             value, spared, known = parsed(a), set(k) if k is not None else set(), dict(p) if p is not None else {}
             if isinstance(value, dict):
                 new = {}
@@ -261,6 +267,8 @@ def filter_arguments(calls: DataFrame, approved: DataFrame | None = None, index:
             else:
                 new = walk(value, known)
             rows.append((new if value is a or a is None else json.dumps(new, ensure_ascii=False), new != value))
+            if plain:
+                done[a] = rows[-1]
         return pd.DataFrame(rows, columns=["text", "changed"])
 
     rows = calls.join(approved, "call_id", "left") if approved is not None else calls.withColumn("args", F.lit(None).cast("array<string>"))

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -290,3 +291,31 @@ def test_half_a_surrogate_pair_in_arguments(spark):
     rules = spark.createDataFrame([], "role string, tool string, arg string, rule string, value string")
     out = governance.authorize_calls(calls, spark.createDataFrame([("r", "t")], "role string, tool string"), rules, none, spark.createDataFrame([], "role string, tool string, max_label string"))
     assert {r.call_id: r.rule for r in out.collect()} == {1: "egress", 2: None}
+
+
+def test_depth_is_told_without_parsing():
+    rng = random.Random(5)
+
+    def made(depth):
+        inner = rng.choice(['"[[[{{{"', '"\\\\"', '"a\\"]]["', "1", "null"])
+        for _ in range(depth):
+            inner = rng.choice([f"[{inner}, 2]", f'{{"[k": {inner}}}', f'["]", {inner}]'])
+        return inner
+
+    for depth in (0, 1, 150, 199, 200, 201, 230, 900):
+        text = made(depth)
+        json.loads(text)
+        assert leaks.too_deep(text) == (depth > leaks.MOST_LEVELS)
+    assert leaks.too_deep("[" * 20_000 + "]" * 20_000) and not leaks.too_deep('"' + "[" * 20_000 + '"') and not leaks.too_deep("[]" * 20_000)
+    began = time.time()
+    leaks.too_deep("[" * 300 + '"' + '\\"' * 200_000)  # a string without an end
+    assert time.time() - began < 2
+
+
+def test_arguments_that_come_again_have_the_same_result(spark):
+    deep = "[" * 5000 + '"a.b@corp.com"' + "]" * 5000
+    texts = [deep, deep, '{"a": "a.b@corp.com"}', '{"a": "a.b@corp.com"}', None, None, deep]
+    calls = spark.createDataFrame(list(enumerate(texts)), "call_id int, arguments string").coalesce(1)
+    keep = spark.createDataFrame([(3, ["a"]), (5, ["a"])], "call_id int, args array<string>")
+    got = {r.call_id: (r.filtered, r.changed) for r in leaks.filter_arguments(calls, keep).collect()}
+    assert got[0] == got[1] == got[6] == (deep.replace("a.b@corp.com", "[REDACTED]"), True) and got[2] == ('{"a": "[REDACTED]"}', True) and got[3] == ('{"a": "a.b@corp.com"}', False) and got[4] == got[5] == (None, False)
