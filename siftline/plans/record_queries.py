@@ -238,7 +238,7 @@ def r2_alerts(s: SparkSession, d: str) -> DataFrame:
 
 
 def r3_load(s: SparkSession, d: str) -> DataFrame:
-    return jobs.drained(jobs.trailing_minute(_streamed_calls(s, d)), f"r3_{uuid.uuid4().hex}", "complete").groupBy("user_id").agg(F.count("*").alias("seconds"), F.max("load").alias("most"))
+    return jobs.trailing_minutes(_streamed_calls(s, d), f"r3_{uuid.uuid4().hex}").groupBy("user_id").agg(F.count("*").alias("seconds"), F.max("load").alias("most"))
 
 
 def r4_admitted(s: SparkSession, d: str) -> DataFrame:

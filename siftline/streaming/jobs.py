@@ -6,7 +6,7 @@ Rows later than the watermark are dropped; the batch job over the whole log stay
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import injection, scan, signatures
@@ -15,6 +15,8 @@ from ..schemas import AUDIT
 from ..tables import shared_dir
 
 LATE = "10 minutes"
+#: Seconds of a user that one group holds at most.
+SPAN = 3600
 
 
 def audit_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -44,11 +46,41 @@ def budget_alerts(usage: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def trailing_minute(requests: DataFrame, late: str = LATE) -> DataFrame:
-    """R3. (user_id, until, load): requests per sliding minute, a value each second; an approximation of C5 for alerts."""
+    """R3. (user_id, until, load): requests per sliding minute, a value each second; an approximation of C5 for alerts, in mode
+    update or append. The state has 60 rows for a request until the watermark passes; for backfills see trailing_minutes()."""
     counts = requests.withWatermark("ts", late).groupBy("user_id", F.window("ts", "60 seconds", "1 second")).agg(F.count("*").alias("load"))
     return counts.select("user_id", F.col("window.end").alias("until"), "load")
 
 
+def per_second(requests: DataFrame) -> DataFrame:
+    """R3. (user_id, second, n): requests per user and second since 1970 of a batch."""
+    return requests.where("ts is not null").groupBy("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second")).agg(F.count("*").alias("n"))
+
+
+def trailing_load(counts: DataFrame) -> DataFrame:
+    """R3. (user_id, until, load), as trailing_minute() has it, of per_second() counts, of which a second may have several rows.
+
+    A request counts from the second after it until a minute later. The beginnings and ends of these stretches are added up
+    within spans of SPAN seconds of a user; what goes on over a span's end is cut there, so that neither a user nor a
+    span has to be held whole. Seconds come last, one by one, out of stretches of equal load.
+    """
+    begin, end = F.col("second") + 1, F.col("second") + 61
+    cut = F.explode(F.sequence(F.floor(begin / SPAN), F.floor((end - 1) / SPAN)))
+    parts = counts.select("user_id", "n", begin.alias("begin"), end.alias("end"), cut.alias("span"))
+    first, after = F.greatest("begin", F.col("span") * SPAN), F.least("end", (F.col("span") + 1) * SPAN)
+    steps = parts.select("user_id", "span", F.explode(F.array(F.struct(first.alias("at"), F.col("n").alias("d")), F.struct(after.alias("at"), (-F.col("n")).alias("d")))).alias("x"))
+    changes = steps.repartition("user_id", "span").groupBy("user_id", "span", F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
+    w = Window.partitionBy("user_id", "span").orderBy("at")
+    stretches = changes.select("user_id", "at", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("load"), F.lead("at").over(w).alias("next")).where("load > 0")
+    return stretches.select("user_id", F.explode(F.sequence("at", F.col("next") - 1)).alias("until"), "load").select("user_id", F.timestamp_seconds("until").alias("until"), "load")
+
+
+def trailing_minutes(requests: DataFrame, name: str) -> DataFrame:
+    """R3 over what there is, as a table. Loads are sums, so each micro-batch is kept as counts per user and second, without any
+    state, and the counts of all batches are added up when the table is read: no request comes too late."""
+    return trailing_load(drained(requests.select("user_id", "ts"), name, each=per_second))
+
+
 def live_values(messages: DataFrame, issued: DataFrame, ttl_seconds: int, late: str = LATE) -> DataFrame:
     """R5. (id, user_id, ts, text, value): issued values that live when a message comes; an interval join of streams."""
     m = messages.withWatermark("ts", late)

@@ -1,6 +1,8 @@
 """Streams give what the batch jobs give, once all input is read."""
 
 import datetime as dt
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +161,19 @@ def test_log_stream(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.jsonl").write_text('{"request_id": "a", "timestamp": "2026-01-01T00:00:00Z", "verdict": "block"}\nnope\n{"request_id": "b"}\n')
     assert [r.request_id for r in jobs.drained(jobs.audit_stream(spark, str(tmp_path / "log")), "m8").collect()] == ["a"]
+
+
+def test_trailing_minutes_need_no_state(spark, tmp_path):
+    """Counts of batches that come in any order give what the windows of the stream give, over ends of spans too; no state is kept."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["u", "v", None]), T0.replace(minute=59) + dt.timedelta(seconds=rng.choice([rng.random() * 200, rng.randint(0, 150), 7200]))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "user_id string, ts timestamp")
+    for k in (1, 0):
+        df.where(F.col("ts").cast("long") % 2 == k).write.mode("append").parquet(str(tmp_path / "a"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a"))
+    got = sorted(map(str, jobs.trailing_minutes(stream, "t1").collect()))
+    assert got == sorted(map(str, jobs.drained(jobs.trailing_minute(stream, "1 day"), "t2", "complete").collect())) and len(got) > 300
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert not (folder / "stream-t1-state/state").exists() and (folder / "stream-t2-state/state").exists()
+    counts = jobs.per_second(df).unionByName(jobs.per_second(df))
+    assert jobs.trailing_load(counts).agg(F.sum("load")).first()[0] == 2 * jobs.trailing_load(jobs.per_second(df)).agg(F.sum("load")).first()[0] == 2 * 60 * 300
