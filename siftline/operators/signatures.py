@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import zlib
 from functools import partial
 from re import _constants as ops
 from re import _parser as parser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,10 @@ from ..tables import written
 SURFACES = ("input", "tool_result", "url", "tool_definition", "model_output", "tool_args")
 SEVERITIES = ("high", "medium", "low")
 TYPES = ("regex", "substring")
-#: Largest feed file, and most entries whose index goes to all tasks.
+#: Largest feed file, and most entries that are tried on every text.
 MOST_FEED_BYTES, MOST_ENTRIES = 64 << 20, 1_000_000
-#: Characters that an entry is looked up by, and those that ignoring case equates with others than their upper case.
-GRAM, ODD_CASES = 3, set("ski")
+#: Numbers of characters that an entry is looked up by, and those that ignoring case equates with others than their upper case.
+GRAMS, ODD_CASES = (3, 6), set("ski")
 #: Format characters (Unicode category Cf).
 _FORMAT = r"\p{Cf}+"
 
@@ -151,19 +153,32 @@ def required_runs(pattern: str) -> list[str]:
     return [r for r in runs if len(r.lower()) == len(r)]
 
 
+def _place(gram: Column) -> Column:
+    """Where a gram is counted: 26 bits, of which the first 20 tell its cell."""
+    return F.shiftright(F.crc32(gram.cast("binary")), 6)
+
+
 def feed_index(feed: DataFrame) -> DataFrame:
-    """T11. feed (id, severity, applies_to, type, pattern, and pos, its order) with gram: GRAM characters in a row that each text with
-    a match holds once it is in lower case; of those the one that fewest entries have. Null where there are none."""
+    """T11. feed (id, severity, applies_to, type, pattern, and pos, its order) with gram: characters in a row that each text with
+    a match holds once it is in lower case, as many as one of GRAMS; of those the one that fewest entries have, and of these
+    the longest. Null where there are none. Grams are counted in a fixed number of cells, so that a count may be too high."""
 
     @F.pandas_udf("array<string>")
     def grams(kinds: pd.Series, patterns: pd.Series) -> pd.Series:
         runs = [required_runs(p) if k == "regex" else [p.lower()] for k, p in zip(kinds, patterns, strict=True)]
-        return pd.Series([sorted({r[i : i + GRAM] for r in x for i in range(len(r) - GRAM + 1)}) for x in runs], dtype=object)
+        return pd.Series([sorted({r[i : i + n] for r in x for n in GRAMS for i in range(len(r) - n + 1)}) for x in runs], dtype=object)
+
+    rows = written(feed.withColumn("_grams", grams("type", "pattern")), "feed-grams")
+    found = rows.select(F.explode("_grams").alias("gram")).groupBy(F.shiftright(_place(F.col("gram")), 6).alias("cell")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).alias("n")).toArrow()  # up to 2^20 numbers
+    counts = np.zeros(1 << 20, np.int32)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+
+    @F.pandas_udf("string")
+    def rarest(some: pd.Series) -> pd.Series:
+        n = memoryview(counts)
+        return pd.Series([min(x, key=lambda g: (n[zlib.crc32(g.encode()) >> 12], -len(g), g), default=None) for x in some], dtype=object)
 
-    rows = feed.withColumn("_grams", grams("type", "pattern"))
-    every = rows.select("pos", F.explode("_grams").alias("gram"))
-    rarest = every.join(every.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("pos").agg(F.min(F.struct("n", "gram")).alias("_g"))
-    return rows.drop("_grams").join(rarest, "pos", "left").withColumn("gram", F.col("_g.gram")).drop("_g")
+    return rows.withColumn("gram", rarest("_grams")).drop("_grams")
 
 
 def _searcher(kind: str, pattern: str):
@@ -178,23 +193,27 @@ def match_feed(texts: DataFrame, feed: DataFrame, surface: Column, mode: str = "
 
     Every entry is looked up by one gram, so that a text meets only the entries whose gram it holds: a join by equality. Those are
     verified, one by one, with the patterns as they are; entries without a gram are verified on every text, so more than
-    MOST_ENTRIES of those are an error. The grams
-    of up to MOST_ENTRIES entries go to all tasks, so that only theirs are dealt out of a text. key: unique per row.
+    MOST_ENTRIES of those are an error. A bit for each gram of the index, among 2^26, goes to all tasks, so that few others
+    are dealt out of a text. key: unique per row.
     """
     names = texts.columns
     index = written(feed_index(feed), "feed-index")
-    wanted = {r[0] for r in index.where("gram is not null").select("gram").distinct().limit(MOST_ENTRIES + 1).collect()}
-    wanted = wanted if len(wanted) <= MOST_ENTRIES else None
+    places = index.where("gram is not null").select(_place(F.col("gram")).alias("place"))
+    found = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("b")).toArrow()  # up to 2^20 numbers
+    words = np.zeros(1 << 20, "<i8")
+    words[found["word"].to_numpy()] = found["b"].to_numpy()
+    wanted = words.tobytes()
     bare = [r.asDict() for r in index.where("gram is null").orderBy("pos").limit(MOST_ENTRIES + 1).collect()]
     if len(bare) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} entries have no {GRAM} characters that each match must hold; every text would meet each of them")
+        raise ValueError(f"more than {MOST_ENTRIES} entries have no {GRAMS[0]} characters that each match must hold; every text would meet each of them")
 
     @F.pandas_udf("array<string>")
     def held(xs: pd.Series) -> pd.Series:
         out = []
         for x in xs:
-            found = {x[i : i + GRAM] for i in range(len(x) - GRAM + 1)}
-            out.append(sorted(found if wanted is None else found & wanted))
+            found = {x[i : i + n] for n in GRAMS for i in range(len(x) - n + 1)}
+            places = ((g, zlib.crc32(g.encode()) >> 6) for g in found)
+            out.append(sorted(g for g, k in places if wanted[k >> 3] >> (k & 7) & 1))
         return pd.Series(out, dtype=object)
 
     made: dict = {}  # compiled patterns, kept from batch to batch within a task

@@ -327,3 +327,14 @@ def test_forms_of_tool_texts_are_worked_out_once(spark):
     out = injection.scan_tools(tools, "log")
     assert _planned(out).count("[^a-z0-9@$]+") < 10
     assert {r.request_id: (r.verdict, r.reason) for r in out.collect()} == {"a": ("log", "one"), "b": ("block", "Query-D4ta: look-alike name"), "c": ("block", "client tool #1: malformed definition"), "d": ("block", "ok: malformed definition")}
+
+
+def test_entries_that_differ_in_a_number_are_told_apart(spark):
+    """Few of 40,000 entries with the same words share the gram that they are looked up by."""
+    n = F.col("id").cast("string")
+    pattern = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Track("), n, F.lit(")"))).otherwise(F.concat(F.lit(r"\btrack\(0*"), n, F.lit(r"\)")))
+    feed = spark.range(40_000).select(F.col("id").alias("pos"), n.alias("id"), F.lit("low").alias("severity"), F.array(F.lit("input")).alias("applies_to"), F.when(F.col("id") % 2 == 0, "substring").otherwise("regex").alias("type"), pattern.alias("pattern"))
+    assert signatures.feed_index(feed).groupBy("gram").count().agg(F.max("count")).first()[0] < 150
+    texts = spark.createDataFrame([(1, "see track(31234) and TRACK(8)"), (2, "track(00031233)"), (3, "track(99999) ąę"), (4, None), (5, "track(031234), x")], "id int, text string")
+    got = {r.id: r.signature_ids for r in signatures.match_feed(texts, feed, F.lit("input")).collect()}
+    assert got == {1: "8, 31234", 2: "31233", 3: "", 4: "", 5: ""}
