@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import zlib
 from functools import partial
@@ -10,11 +12,12 @@ from re import _parser as parser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import urls
-from ..schemas import FEED
+from ..schemas import FEED, SIGNATURE
 from ..tables import written
 
 #: Where signatures apply, how severe they are, and how they match.
@@ -23,6 +26,8 @@ SEVERITIES = ("high", "medium", "low")
 TYPES = ("regex", "substring")
 #: Largest feed file, and most entries that are tried on every text.
 MOST_FEED_BYTES, MOST_ENTRIES = 64 << 20, 1_000_000
+#: Errors of a long feed that are told.
+MOST_ERRORS = 1000
 #: Numbers of characters that an entry is looked up by, and those that ignoring case equates with others than their upper case.
 GRAMS, ODD_CASES = (3, 6), set("ski")
 #: Format characters (Unicode category Cf).
@@ -52,7 +57,7 @@ def parse_feed(spark: SparkSession, path: str) -> tuple[str, list[dict]]:
     """S5. (version, entries) of a feed file; raises FeedError with all errors.
 
     The version is the file's own, or else that of its content: sha256: and 16 hexadecimal digits. A feed is a policy file:
-    one of over MOST_FEED_BYTES is refused before it is read.
+    one of over MOST_FEED_BYTES is refused before it is read, as its entries are to be literals; see parse_long_feed() for those.
     """
     files = spark.read.format("binaryFile").load(path)
     size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -76,6 +81,119 @@ def parse_feed(spark: SparkSession, path: str) -> tuple[str, list[dict]]:
     return head["version"] or f"sha256:{digest[0][:16]}", rows
 
 
+#: In JSON: what opens or closes something, and the rest of a string.
+_MARK, _REST = re.compile(rb'["{}\[\]]'), re.compile(rb'(?s)(?:[^"\\]|\\.)*+')
+
+
+def _taken_apart(batches):
+    """Pieces of a feed (value, file, at and size in bytes), in order, as its entries, a row each, and at last a row with the rest of
+    the document and the digest of all bytes. Holds one entry at a time, and the rest of the document."""
+    digest, rest, entry, key, name = hashlib.sha256(), bytearray(), bytearray(), bytearray(), b""
+    inside, depth, after, file, at = False, 0, False, None, 0
+    bad = False
+    out = lambda rows: pa.RecordBatch.from_pylist(rows, pa.schema([("entry", pa.binary()), ("rest", pa.binary()), ("digest", pa.string())]))
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            if row["file"] != file:
+                file, at = row["file"], 0
+            piece = row["value"]
+            at += len(piece) + 1
+            piece += b"}" if at <= row["size"] else b""
+            digest.update(piece)
+            here = 0  # up to here the piece is kept
+            k = 0
+            while k < len(piece):
+                if inside:
+                    end = _REST.match(piece, k).end()
+                    if depth == 1:
+                        key += piece[k:end]
+                    inside = end >= len(piece) or piece[end : end + 1] != b'"'
+                    k = end + 1
+                    continue
+                m = _MARK.search(piece, k)
+                if m is None:
+                    break
+                k, mark = m.end(), m[0]
+                if mark == b'"':
+                    inside = True
+                    if depth == 1:
+                        key.clear()
+                elif mark in b"{[":
+                    depth += 1
+                    if depth == 2:
+                        name = bytes(key) if mark == b"[" else b""
+                        if name == b"signatures":
+                            rest += piece[here:k]
+                            here, after = k, False
+                    elif depth == 3 and name == b"signatures" and mark == b"{":
+                        between = (bytes(entry) + piece[here : k - 1]).strip()  # what stands before the entry
+                        bad |= between != (b"," if after else b"")
+                        entry.clear()
+                        here = k - 1
+                else:
+                    depth -= 1
+                    if depth == 2 and name == b"signatures" and mark == b"}":
+                        rows.append({"entry": bytes(entry) + piece[here:k], "rest": None, "digest": None})
+                        entry.clear()
+                        here, after = k, True
+                    elif depth == 1 and name == b"signatures":
+                        bad |= (bytes(entry) + piece[here : k - 1]).strip() != b""
+                        entry.clear()
+                        here, name = k - 1, b""
+            if depth >= 2 and name == b"signatures":
+                entry += piece[here:]
+            else:
+                rest += piece[here:]
+        if rows:
+            yield out(rows)
+    yield out([{"entry": None, "rest": None if bad else bytes(rest + entry), "digest": digest.hexdigest()}])
+
+
+def parse_long_feed(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """S5 for feeds of any length: (version, entries) as parse_feed() has them, the entries as a table. path: a file, or a folder
+    of files that are the document one after the other, by their names. Of errors the message has MOST_ERRORS at most.
+
+    A digest needs the bytes one after the other, so one task streams them, and cuts them into entries on its way; entries are
+    parsed and checked wherever they lie.
+    """
+    raw = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(path)
+    pieces = raw.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    stream = pieces.repartition(1).sortWithinPartitions("file", "start", "n").select("value", "file", "size")
+    parts = written(stream.mapInArrow(_taken_apart, "entry binary, rest binary, digest string"), "feed-parts")
+    last = parts.where("digest is not null").first()
+    head = parts.where("digest is not null").select(F.from_json(F.col("rest").cast("string"), FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("f")).select(F.nullif("f.version", F.lit("")).alias("version")).first()
+    entries = parts.where("digest is null").select(F.from_json(F.col("entry").cast("string"), SIGNATURE).alias("s")).select("s.*")
+
+    @F.pandas_udf("string")
+    def refused(patterns: pd.Series) -> pd.Series:
+        out = []
+        for p in patterns:
+            try:
+                re.compile(p or "")
+                out.append(None)
+            except re.error as e:
+                out.append(str(e))
+        return pd.Series(out, dtype=object)
+
+    wrong = feed_errors(entries).unionByName(entries.select("id", refused(F.when(F.col("type") == "regex", F.col("pattern"))).alias("error")).where("error is not null"))
+    errors = [f"{r['id']}: {r['error']}" for r in wrong.orderBy("id", "error").limit(MOST_ERRORS).collect()]
+    if last["rest"] is None or not _is_object(last["rest"]):
+        errors.append("the feed isn't a JSON object")
+    if entries.isEmpty():
+        errors.append("no signatures")
+    if errors:
+        raise FeedError("; ".join(sorted(errors)))
+    return head["version"] or f"sha256:{last['digest'][:16]}", entries
+
+
+def _is_object(text: bytes) -> bool:
+    try:
+        return isinstance(json.loads(text), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
 def strip_format(text: Column) -> Column:
     """T11. Format characters can't split a pattern."""
     return F.regexp_replace(text, _FORMAT, "")

@@ -284,10 +284,14 @@ def s5_feed_version(s: SparkSession, d: str) -> DataFrame:
     """parts as the entries of a feed file without a version of its own: its version comes from its content."""
     path = f"{shared_dir(s)}/feed-{uuid.uuid4().hex}"
     entry = F.to_json(F.struct(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("category"), F.lit("low").alias("severity"), F.array(F.lit("input")).alias("applies_to"), F.lit("substring").alias("type"), F.col("p_name").alias("pattern")))
-    rows = table(s, d, "part").select("p_partkey", entry.alias("e")).agg(F.concat(F.lit('{"signatures":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "e"))), lambda x: x["e"]), ","), F.lit("]}")).alias("value"))  # one file
-    rows.coalesce(1).write.text(path)
-    version, entries = signatures.parse_feed(s, path)
-    return rows.select(F.lit(version).alias("version"), F.lit(len(entries)).cast("long").alias("entries"))
+    rows = table(s, d, "part").select("p_partkey", entry.alias("e"))
+    last = F.broadcast(rows.agg(F.max("p_partkey").alias("last")))
+    # the document in three folders, whose files follow one another
+    s.range(0, 1, 1, 1).select(F.lit('{"signatures":')).write.option("lineSep", "[").text(f"{path}/0-head")
+    rows.join(last, F.col("p_partkey") < F.col("last")).orderBy("p_partkey").select("e").write.option("lineSep", ",").text(f"{path}/1-entries")
+    rows.join(last, F.col("p_partkey") == F.col("last")).select(F.concat("e", F.lit("]}"))).write.text(f"{path}/2-end")
+    version, entries = signatures.parse_long_feed(s, path)
+    return entries.agg(F.lit(version).alias("version"), F.count("*").alias("entries"))
 
 
 def t11_long_feed(s: SparkSession, d: str) -> DataFrame:

@@ -338,3 +338,30 @@ def test_entries_that_differ_in_a_number_are_told_apart(spark):
     texts = spark.createDataFrame([(1, "see track(31234) and TRACK(8)"), (2, "track(00031233)"), (3, "track(99999) ąę"), (4, None), (5, "track(031234), x")], "id int, text string")
     got = {r.id: r.signature_ids for r in signatures.match_feed(texts, feed, F.lit("input")).collect()}
     assert got == {1: "8, 31234", 2: "31233", 3: "", 4: "", 5: ""}
+
+
+def test_long_feeds_are_read_as_short_ones(spark, tmp_path, monkeypatch):
+    """Whatever stands in and around the entries, and however the document is dealt over files."""
+    entry = lambda k, **more: {"id": f"S-{k}", "category": "c\\", "severity": "high", "applies_to": ["input"], "type": "substring", "pattern": "}x", "extra": {"a": [{"b": '"]}'}]}} | more
+    docs = {
+        "a": json.dumps({"signatures": [entry(k, pattern="}ą\"}{" + "y" * k) for k in range(50)]}, ensure_ascii=False), "b": json.dumps({"version": "7", "signatures": [entry(1)], "source": "x}"}, indent=1),
+        "c": json.dumps({"other": [{"signatures": [{"id": "no"}]}], "signatures": [entry(1), entry(2)]}) + "\n\n", "d": json.dumps({"signatures": []}), "e": json.dumps({"signatures": [entry(1), entry(1)]}),
+        "f": json.dumps({"signatures": [entry(1)]})[:-1], "g": json.dumps({"signatures": [entry(1, pattern="(", type="regex")]}), "h": json.dumps({"signatures": [entry(1), 5]}), "i": "[]", "j": json.dumps({"signatures": [entry(1), entry(2)]}).replace("}, {", "} {"),
+    }
+    for name, text in docs.items():
+        raw = text.encode()
+        (tmp_path / f"{name}.json").write_bytes(raw)
+        (tmp_path / name / "x").mkdir(parents=True)
+        third = len(raw) // 3
+        for k, part in enumerate((raw[:third], raw[third : 2 * third], raw[2 * third :])):
+            (tmp_path / name / ("x" if k == 1 else "") / f"{'axz'[k]}-{k}").write_bytes(part)
+        for path in (tmp_path / f"{name}.json", tmp_path / name):
+            if name in "abc":
+                monkeypatch.setattr(signatures, "MOST_FEED_BYTES", 64 << 20)
+                version, rows = signatures.parse_feed(spark, str(tmp_path / f"{name}.json"))
+                monkeypatch.setattr(signatures, "MOST_FEED_BYTES", 10)
+                got, entries = signatures.parse_long_feed(spark, str(path))
+                assert got == version and sorted(map(str, (r.asDict() for r in entries.collect()))) == sorted(map(str, rows))
+            else:
+                with pytest.raises(signatures.FeedError):
+                    signatures.parse_long_feed(spark, str(path))
