@@ -342,10 +342,17 @@ def _guarded_texts(records: DataFrame) -> Column:
 
 def leaking_records(records: DataFrame, values: DataFrame) -> DataFrame:
     """L6. (request_id, paths): texts of a record that spell a value of its own request. Joins by request and, for whole
-    tokens, by the first run of a value, so that no value meets a text that doesn't hold that run."""
-    texts = records.select("request_id", F.explode(_guarded_texts(records)).alias("t")).select("request_id", "t.*").where("text <> ''")
-    forms = value_forms(values)
-    tokens = token_hits(texts, forms.where("whole"), ["request_id"], ASCII_RUN, value="form").where(F.rlike("text", whole_token(F.col("form"))))
+    tokens, by the first run of a value, so that no value meets a text that doesn't hold that run. Records without a value
+    go first, and of the others' texts those that hold no first run of theirs."""
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({ASCII_RUN})"), F.lit(1)))
+    item = lambda rows: rows.select("request_id", F.explode(_guarded_texts(records)).alias("t"), *[c for c in rows.columns if c == "_runs"]).where("t.text <> ''")
+    forms = written(value_forms(values), "value-forms")  # read twice
+    whole = forms.where("whole").withColumn("_run", F.regexp_extract(F.lower("form"), f"({ASCII_RUN})", 1))
+    wanted = whole.groupBy("request_id").agg(F.collect_set("_run").alias("_runs"))
+    held = F.array_intersect(F.concat(F.array(F.lit("")), runs(F.col("t.text"))), F.col("_runs"))
+    keyed = item(records.join(wanted, "request_id")).select("request_id", "t.*", F.explode(held).alias("_run"))
+    tokens = keyed.join(whole, ["request_id", "_run"]).where(F.rlike("text", whole_token(F.col("form"))))
+    texts = item(records).select("request_id", "t.*")
     vault = texts.join(forms.where("not whole"), "request_id").where(F.contains(F.lower("text"), F.lower("form")))
     return tokens.select("request_id", "path").unionByName(vault.select("request_id", "path")).groupBy("request_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 

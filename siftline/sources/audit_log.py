@@ -103,9 +103,11 @@ def write_audit(records: DataFrame, path: str, load: str | None = None, values:
         return
     name = F.coalesce(F.col("day").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
     known = logged_ids(spark, path, days, load).distinct()
-    fresh = written(rows.withColumn("_day", name).join(known.withColumnRenamed("day", "_day"), ["_day", "request_id"], "left_anti").drop("_day").withColumn("load", F.lit(load)), "audit-new")
+    fresh = rows.withColumn("load", F.lit(load))
+    if not known.isEmpty():  # looked for twice rather than kept: neither this load's folders nor its ids are among the known ones
+        fresh = fresh.withColumn("_day", name).join(known.withColumnRenamed("day", "_day"), ["_day", "request_id"], "left_anti").drop("_day")
     put = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "load")
-    put(fresh).json(path)
+    put(fresh).option("compression", "gzip").json(path)
     put(fresh.select("request_id", "day", "load")).parquet(f"{path}-ids")
 
 

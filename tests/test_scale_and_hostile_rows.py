@@ -365,3 +365,22 @@ def test_long_feeds_are_read_as_short_ones(spark, tmp_path, monkeypatch):
             else:
                 with pytest.raises(signatures.FeedError):
                     signatures.parse_long_feed(spark, str(path))
+
+
+def test_guarding_deals_out_what_may_spell_a_value_only(spark, tmp_path):
+    """Of texts without a first run of a value none is dealt out, and a load is kept as one table and a packed log."""
+    log = spark.range(300).selectExpr("cast(id AS string) AS request_id", "concat('one two three four five six seven v', id, ' and more words') AS prompt_text")
+    values = spark.createDataFrame([("7", "binding", "scalar", "V7 AND"), ("8", "binding", "scalar", "V9 and"), ("9", "vault", "scalar", "ree Fo"), ("10", "binding", "scalar", "-*- +"), ("x", "binding", "scalar", "one")], "request_id string, kind string, expect string, value string")
+    out = leaks.leaking_records(log, values)
+    assert {r.request_id: r.paths for r in out.collect()} == {"7": ["prompt_text"], "9": ["prompt_text"]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan
+    path = str(tmp_path / "log")
+    (tmp_path / "in").write_text("\n".join(record(f"r{k}", prompt_text=f"about {k}") for k in range(40)))
+    rows = spark.read.schema(AUDIT).json(str(tmp_path / "in"))
+    audit_log.write_audit(rows, path, "one", spark.createDataFrame([("r3", "binding", "scalar", "about 3")], "request_id string, kind string, expect string, value string"))
+    audit_log.write_audit(rows, path, "two")
+    back = {r.request_id: r.prompt_text for r in audit_log.read_audit(spark, path).collect()}
+    assert len(back) == 40 and back["r3"] is None and back["r4"] == "about 4" and audit_log.read_audit(spark, path).count() == 40
+    files = [p for p in (tmp_path / "log").rglob("part-*")]
+    assert files and all(p.name.endswith(".json.gz") for p in files)
